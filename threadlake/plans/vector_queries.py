@@ -1,0 +1,27 @@
+"""Queries over chunk vectors."""
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from threadlake.functions.vectors import cosine
+from threadlake.sources.tables import chunks
+
+
+def best_per_session(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
+    """The best chunk of each session for the vector of chunk 0, then the k best sessions."""
+    rows = chunks(spark, sf_dir)
+    query = rows.filter("chunk_id = 0").select(F.col("embedding").alias("q")).limit(1)
+    scored = rows.crossJoin(F.broadcast(query)).select("session_id", "chunk_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
+    best = scored.groupBy("session_id").agg(F.max(F.struct("score", (-F.col("chunk_id")).alias("neg"))).alias("top"))
+    return best.select("session_id", (-F.col("top.neg")).alias("chunk_id"), F.col("top.score").alias("score")).orderBy(F.desc("score"), "session_id").limit(k)
+
+
+QUERIES = {"best_per_session": best_per_session}
+
+ORACLES = {
+    "best_per_session": """
+        WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0),
+        s AS (SELECT label::BIGINT AS session_id, vec_id AS chunk_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS score FROM embeddings, q),
+        r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, chunk_id) AS rn FROM s)
+        SELECT session_id, chunk_id, score FROM r WHERE rn = 1 ORDER BY score DESC, session_id LIMIT 5
+    """,
+}
