@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threadlake.llm import bpe
+from threadlake.llm import bpe, rules, sql
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,11 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op9_bpe": op9_bpe}
+def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule counts and verdicts of every document."""
+    return rules.judge(_table(spark, sf_dir, "documents"))
 
-ORACLES: dict[str, str] = {}
+
+QUERIES = {"op8_rules": op8_rules, "op9_bpe": op9_bpe}
+
+ORACLES = {"op8_rules": sql.RULES}
