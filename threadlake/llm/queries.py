@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threadlake.llm import bpe, rules, sql
+from threadlake.llm import bpe, rules, sql, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,11 +29,16 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score and verdict for every document."""
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule counts and verdicts of every document."""
     return rules.judge(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op8_rules": op8_rules, "op9_bpe": op9_bpe}
+QUERIES = {"op6_toxicity": op6_toxicity, "op8_rules": op8_rules, "op9_bpe": op9_bpe}
 
 ORACLES = {"op8_rules": sql.RULES}
