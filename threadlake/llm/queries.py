@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threadlake.llm import bpe, rules, sql, toxicity
+from threadlake.llm import bpe, rules, sql, substrings, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,16 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without 13-word windows that an earlier one has."""
+    return substrings.without_earlier_windows(_table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that occur at an earlier place, with that place."""
+    return substrings.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score and verdict for every document."""
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -39,6 +49,12 @@ def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op6_toxicity": op6_toxicity, "op8_rules": op8_rules, "op9_bpe": op9_bpe}
+QUERIES = {
+    "op4_substrings": op4_substrings,
+    "op6_toxicity": op6_toxicity,
+    "op8_rules": op8_rules,
+    "op9_bpe": op9_bpe,
+    "op10_passages": op10_passages,
+}
 
-ORACLES = {"op8_rules": sql.RULES}
+ORACLES = {"op4_substrings": sql.SUBSTRINGS, "op8_rules": sql.RULES}

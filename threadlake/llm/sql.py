@@ -58,3 +58,22 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
                  AND word_chars * 1000 // n_words <= m3 AND word_chars * 1000 // n_words >= l3 END AS kept
 FROM f LEFT JOIN lim USING (lang, source)
 """
+
+SUBSTRINGS = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), w AS (
+  SELECT doc_id, p, array_to_string(ws[p:p + 12], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 11, 1))) AS p FROM d)
+), f AS (
+  SELECT k, min(doc_id) AS least FROM w GROUP BY k
+), hit AS (
+  SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS p FROM w JOIN f USING (k) WHERE least < doc_id
+), n AS (
+  SELECT doc_id, count(*) AS n_removed FROM hit GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t
+  FROM (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS p FROM d) ANTI JOIN hit USING (doc_id, p) GROUP BY doc_id
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
