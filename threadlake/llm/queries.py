@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threadlake.llm import bpe, rules, sql, substrings, toxicity
+from threadlake.llm import bpe, decontamination, rules, sql, substrings, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,12 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_passages(_table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document inside exact copies of benchmark windows, and the items they come from."""
+    found = decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score and verdict for every document."""
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -52,9 +58,10 @@ def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_substrings": op4_substrings,
     "op6_toxicity": op6_toxicity,
+    "op7_decontamination": op7_decontamination,
     "op8_rules": op8_rules,
     "op9_bpe": op9_bpe,
     "op10_passages": op10_passages,
 }
 
-ORACLES = {"op4_substrings": sql.SUBSTRINGS, "op8_rules": sql.RULES}
+ORACLES = {"op4_substrings": sql.SUBSTRINGS, "op7_decontamination": sql.DECONTAMINATION, "op8_rules": sql.RULES}
