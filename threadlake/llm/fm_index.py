@@ -67,7 +67,8 @@ class FmIndex:
         if shorter is None:
             shorter = np.zeros(n, np.int64)
         self.places = order
-        self.group = rank[order]  # equal for suffixes with the same first `width` words
+        ranks = rank[order]
+        self.heads = np.flatnonzero(np.concatenate([[True], ranks[1:] != ranks[:-1]])) if n else order  # first of those with the same `width` words
         # Of the suffixes with the same first width - 1 words: the first and the one after the last.
         edge = np.concatenate([[True], shorter[order][1:] != shorter[order][:-1]]) if n else np.zeros(0, bool)
         heads = np.flatnonzero(edge)
@@ -89,18 +90,16 @@ class FmIndex:
 
 
 def matcher(width: int):
-    def run(symbols: np.ndarray, piece: np.ndarray, offset: np.ndarray, anchors: np.ndarray) -> np.ndarray:
-        """The least place of an equal window for each symbol that begins one, else -1."""
-        n, k = len(symbols), int(piece[-1]) + 1 if len(piece) else 0
-        _, words = np.unique(symbols, return_inverse=True)
+    def run(words: np.ndarray, piece: np.ndarray, offset: np.ndarray) -> np.ndarray:
+        """The least place of an equal window for each word that begins one, else -1."""
+        n, k = len(words), int(piece[-1]) + 1 if len(piece) else 0
         length = np.bincount(piece, minlength=k)
         end = np.cumsum(length)
-        text = np.zeros(n + k, np.int64)
+        text = np.zeros(n + k, np.int32)
         text[np.arange(n) + piece] = words + 1
         at_text = end + np.arange(k)  # the end mark of each piece
         index = FmIndex(text, width)
-        heads = np.flatnonzero(np.concatenate([[True], index.group[1:] != index.group[:-1]])) if len(text) else np.zeros(0, np.int64)
-        least = np.minimum.reduceat(index.places, heads) if len(heads) else heads
+        least = np.minimum.reduceat(index.places, index.heads) if n else index.places
         found = np.full(n, -1, np.int64)
         low, high, live = np.zeros(k, np.int64), np.full(k, len(text), np.int64), np.arange(k)
         for step in range(1, int(length.max()) + 1 if k else 0):
@@ -110,13 +109,9 @@ def matcher(width: int):
                 low, high = index.contract(low)
             low, high = index.extend(text[at_text[live] - step], low, high)
             if step >= width:  # every interval holds its own piece at least
-                first = least[np.searchsorted(heads, low, "right") - 1]
-                found[end[live] - step] = first
+                found[end[live] - step] = least[np.searchsorted(index.heads, low, "right") - 1]
         hit = found >= 0
-        mark = np.searchsorted(at_text, found[hit], "right")  # the piece in which the earliest place lies
-        place = found[hit] - mark
-        # Words are known by fewer bits here than elsewhere; the anchor is known by all.
-        found[hit] = np.where(anchors[mark] == anchors[piece[hit]], place, np.flatnonzero(hit))
+        found[hit] -= np.searchsorted(at_text, found[hit], "right")  # less the end marks before it
         return found
 
     return run

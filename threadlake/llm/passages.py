@@ -12,7 +12,7 @@ windows have equal anchors; consecutive windows with one anchor form a piece, a
    all documents, and gathered for each document.
 
 What one task holds is a shard of different pieces; a passage with any number of copies is there once for each slice.
-Words are known by 64 bits of hash, and within a shard by 40 of them next to the whole anchor.
+Words are known here by 40 bits of a mixed hash, so a window is known by 13 or more times as many.
 """
 
 from __future__ import annotations
@@ -28,6 +28,9 @@ from threadlake.llm.packed import Words, dealt, firsts, grams, mix, packed, part
 from threadlake.llm.storage import durable
 
 SYMBOL_BYTES = 5
+_SYMBOL = np.uint64((1 << (8 * SYMBOL_BYTES)) - 1)
+#: Shards for each shuffle partition: an index takes some 100 times the memory of its packed words.
+SHARDS = 4
 #: Windows of a piece at most; longer runs of one anchor, as in periodic text, are cut.
 PIECE_WINDOWS = 64
 _ROW = np.uint64(0x9E3779B97F4A7C15)
@@ -71,14 +74,14 @@ def _anchored_twice(found: Pieces, hashes: np.ndarray, width: int, gram: int) ->
 
 
 def shared_anchors(docs: DataFrame, width: int, gram: int, across: bool, buckets: int) -> DataFrame:
-    """(id, anchors binary), several rows for a document: its anchors that other documents have too, or, unless
+    """(id, anchors binary): a document's anchors that other documents have too, or, unless
     across, that occur twice anywhere."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in parts(batch, 1):
                 words = words_of(part.column(1))
-                hashes = words.hashes()
+                hashes = words.hashes() & _SYMBOL
                 found = pieces_of(words, hashes, width, gram)
                 ids = part.column(0).to_numpy(zero_copy_only=False)[found.row]
                 order = np.lexsort((ids, found.anchor))
@@ -99,11 +102,12 @@ def shared_anchors(docs: DataFrame, width: int, gram: int, across: bool, buckets
                 marked = (anchors[heads] & ~np.uint64(1)) | several
                 order, bounds = dealt(marked >> np.uint64(8), buckets)
                 rest = np.flatnonzero(known & ~is_head)
+                bucket = np.append(np.arange(buckets), int(mix(anchors[:1])[0] % np.uint64(buckets)) if len(anchors) else 0)
+                bounds = np.append(bounds, len(heads) + len(rest))
+                full = np.flatnonzero(np.diff(bounds))
+                bounds = np.append(bounds[full], bounds[-1])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.append(np.arange(buckets), int(mix(anchors[:1])[0] % np.uint64(buckets)) if len(anchors) else 0), pa.int32()),
-                     pa.array(np.append(np.ones(buckets, bool), False)),
-                     packed(np.append(ids[heads][order], ids[rest]), np.append(bounds, len(heads) + len(rest))),
-                     packed(np.append(marked[order], anchors[rest] & ~np.uint64(1)), np.append(bounds, len(heads) + len(rest)))],
+                    [pa.array(bucket[full], pa.int32()), pa.array(full < buckets), packed(np.append(ids[heads][order], ids[rest]), bounds), packed(np.append(marked[order], anchors[rest] & ~np.uint64(1)), bounds)],
                     ["bucket", "head", "ids", "anchors"],
                 )
 
@@ -115,7 +119,7 @@ def shared_anchors(docs: DataFrame, width: int, gram: int, across: bool, buckets
             marks, _ = unpacked(batch.column(3), np.uint64)
             direct = ~head[row]
             if direct.any():
-                yield _by_document(got[direct], marks[direct])
+                yield _by_part(got[direct], marks[direct], buckets)
             ids.append(got[~direct])
             anchors.append(marks[~direct])
         ids, marked = np.concatenate(ids), np.concatenate(anchors)
@@ -128,23 +132,35 @@ def shared_anchors(docs: DataFrame, width: int, gram: int, across: bool, buckets
             low, high = np.minimum.reduceat(ids, begin), np.maximum.reduceat(ids, begin)
             several = (low != high) if across else (size > 1)
             shared = np.repeat(several | (np.bitwise_or.reduceat(marked, begin) & np.uint64(1) > 0), size)
-            yield _by_document(ids[shared], bare[shared])
+            yield _by_part(ids[shared], bare[shared], buckets)
 
-    packs = docs.select("id", "text").mapInArrow(pack, "bucket int, head boolean, ids binary, anchors binary").filter(F.octet_length("ids") > 0)
-    return packs.repartition(buckets, "bucket").mapInArrow(resolve, "id long, anchors binary")
+    packs = docs.select("id", "text").mapInArrow(pack, "bucket int, head boolean, ids binary, anchors binary")
+    found = packs.repartition(buckets, "bucket").mapInArrow(resolve, "part int, ids binary, anchors binary")
 
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(unpacked(b.column(1), np.int64)[0], unpacked(b.column(2), np.uint64)[0]) for b in batches]
+        if got:
+            ids, anchors = (np.concatenate(c) for c in zip(*got))
+            order = np.argsort(ids, kind="stable")
+            ids, anchors = ids[order], anchors[order]
+            begin = firsts(ids)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[begin], pa.int64()), packed(anchors, np.append(begin, len(ids)))], ["id", "anchors"])
 
-def _by_document(ids: np.ndarray, anchors: np.ndarray) -> pa.RecordBatch:
-    order = np.argsort(ids, kind="stable")
-    ids, anchors = ids[order], anchors[order]
-    begin = firsts(ids)
-    return pa.RecordBatch.from_arrays([pa.array(ids[begin], pa.int64()), packed(anchors, np.append(begin, len(ids)))], ["id", "anchors"])
+    return found.repartition(buckets, "part").mapInArrow(gather, "id long, anchors binary")
+
+
+def _by_part(ids: np.ndarray, anchors: np.ndarray, n: int) -> pa.RecordBatch:
+    """Packed rows for the n parts of all documents."""
+    order, bounds = dealt(mix(ids.view(np.uint64)), n)
+    full = np.flatnonzero(np.diff(bounds))
+    bounds = np.append(bounds[full], bounds[-1])
+    return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), packed(ids[order], bounds), packed(anchors[order], bounds)], ["part", "ids", "anchors"])
 
 
 def _found(part: pa.RecordBatch, width: int, gram: int) -> tuple[Words, np.ndarray, Pieces]:
     """Words, hashes and the pieces with shared anchors of rows (id, text, anchors binary)."""
     words = words_of(part.column(1))
-    hashes = words.hashes()
+    hashes = words.hashes() & _SYMBOL
     found = pieces_of(words, hashes, width, gram)
     anchors, row = unpacked(part.column(2), np.uint64)
     key = lambda a, r: mix((a & ~np.uint64(1)) ^ (r.astype(np.uint64) * _ROW))
@@ -158,16 +174,30 @@ def _spelled(hashes: np.ndarray, found: Pieces, width: int) -> tuple[np.ndarray,
     upto = np.cumsum(length)
     place = np.arange(upto[-1] if len(upto) else 0) - np.repeat(upto - length, length)
     symbols = hashes[np.repeat(found.start, length) + place]
-    powers = np.cumprod(np.full(int(length.max()) if len(length) else 0, _ROW, np.uint64))
-    total = np.cumsum(symbols * powers[place])
+    return symbols, length, _own(symbols, length)
+
+
+def _own(symbols: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A hash for each of the pieces that stand one after another in symbols."""
+    upto = np.cumsum(length)
+    if not len(upto):
+        return np.zeros(0, np.uint64)
+    powers = np.cumprod(np.full(int(length.max()), _ROW, np.uint64))
+    total = np.cumsum(mix(symbols) * powers[np.arange(upto[-1]) - np.repeat(upto - length, length)])
     sums = total[upto - 1]
     sums[1:] -= total[upto[:-1] - 1]
-    return symbols, length, mix(sums ^ mix(found.anchor) ^ length.astype(np.uint64))
+    return mix(sums ^ mix(length.astype(np.uint64)))
+
+
+def _symbols(raw: np.ndarray) -> np.ndarray:
+    wide = np.zeros((len(raw) // SYMBOL_BYTES, 8), np.uint8)
+    wide[:, :SYMBOL_BYTES] = raw.reshape(-1, SYMBOL_BYTES)
+    return wide.view(np.uint64).reshape(-1)
 
 
-#: (symbols, piece of each symbol, offset of each symbol in its piece, anchors) -> for each symbol that begins a
-#: window, the least place in symbols of an equal window; -1 elsewhere. Pieces come in order of (document, word).
-Matcher = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+#: (words as small numbers, piece of each word, offset of each word in its piece) -> for each word that begins a
+#: window, the least place in words of an equal window; -1 elsewhere. Pieces come in order of (document, word).
+Matcher = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
 def earliest(docs: DataFrame, width: int, gram: int, matcher: Matcher, shards: int) -> DataFrame:
@@ -189,35 +219,39 @@ def earliest(docs: DataFrame, width: int, gram: int, matcher: Matcher, shards: i
                 _, bounds = dealt(found.anchor[order] >> np.uint64(8), shards)
                 few = Pieces(*(x[order] for x in found))
                 symbols, length, _ = _spelled(hashes, few, width)
-                cut = symbols.view(np.uint8).reshape(-1, 8)[:, :SYMBOL_BYTES]
                 ends = np.concatenate([[0], np.cumsum(length)])
+                full = np.flatnonzero(np.diff(bounds))
+                bounds = np.append(bounds[full], bounds[-1])
+                cut = symbols.view(np.uint8).reshape(-1, 8)[:, :SYMBOL_BYTES].reshape(-1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(shards), pa.int32()), *(packed(x, bounds) for x in (own[order], ids[order], begin[order], length.astype(np.int32), few.anchor)),
-                     packed(cut.reshape(-1), ends[bounds] * SYMBOL_BYTES)],
-                    ["shard", "own", "ids", "begin", "length", "anchor", "symbols"],
+                    [pa.array(full, pa.int32()), packed(ids[order], bounds), packed(begin[order].astype(np.int32), bounds), packed(length.astype(np.uint8), bounds), packed(cut, ends[bounds] * SYMBOL_BYTES)],
+                    ["shard", "ids", "begin", "length", "symbols"],
                 )
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols: list[list[np.ndarray]] = [[] for _ in range(6)]
-        kinds = (np.uint64, np.int64, np.int64, np.int32, np.uint64, np.uint8)
+        cols: list[list[np.ndarray]] = [[] for _ in range(4)]
+        kinds = (np.int64, np.int32, np.uint8, np.uint8)
         for batch in batches:
             for k, kind in enumerate(kinds):
                 cols[k].append(unpacked(batch.column(k + 1), kind)[0])
-        if not cols[0] or not sum(map(len, cols[0])):
+        if not cols[0]:
             return
-        own, ids, begin, length, anchor, raw = (np.concatenate(c) for c in cols)
+        ids, begin, length, raw = (np.concatenate(c) for c in cols)
+        begin, length = begin.astype(np.int64), length.astype(np.int64)
         del cols
-        at = np.cumsum(length, dtype=np.int64) - length
+        at = np.cumsum(length) - length
+        own = _own(_symbols(raw), length)
         order = np.lexsort((begin, ids, own))
         order = order[firsts(own[order])]  # each different piece once, at its first place
         order = order[np.lexsort((begin[order], ids[order]))]
-        own, ids, begin, length, anchor, at = (x[order] for x in (own, ids, begin, length, anchor, at))
-        ends = np.cumsum(length, dtype=np.int64)
-        piece = np.repeat(np.arange(len(own)), length)
-        offset = np.arange(ends[-1]) - np.repeat(ends - length, length)
-        wide = np.zeros((len(piece), 8), np.uint8)
-        wide[:, :SYMBOL_BYTES] = raw.reshape(-1, SYMBOL_BYTES)[np.repeat(at, length) + offset]
-        least = matcher(wide.view(np.uint64).reshape(-1), piece, offset, anchor)
+        own, ids, begin, length, at = (x[order] for x in (own, ids, begin, length, at))
+        ends = np.cumsum(length)
+        piece = np.repeat(np.arange(len(own), dtype=np.int32), length)
+        offset = (np.arange(ends[-1]) - np.repeat(ends - length, length)).astype(np.int32)
+        _, words = np.unique(_symbols(raw), return_inverse=True)
+        words = words[np.repeat(at, length) + offset].astype(np.int32)
+        del raw
+        least = matcher(words, piece, offset)
         at = np.flatnonzero(least >= 0)
         least, piece, offset_of = least[at], piece[at], offset
         src = np.searchsorted(ends, least, "right")
@@ -236,8 +270,7 @@ def earliest(docs: DataFrame, width: int, gram: int, matcher: Matcher, shards: i
         for k in range(0, whole.num_rows, 20_000):
             yield whole.slice(k, 20_000)
 
-    kinds = "shard int, own binary, ids binary, begin binary, length binary, anchor binary, symbols binary"
-    packs = docs.select("id", "text", "anchors").mapInArrow(pack, kinds).filter(F.octet_length("own") > 0)
+    packs = docs.select("id", "text", "anchors").mapInArrow(pack, "shard int, ids binary, begin binary, length binary, symbols binary")
     return packs.repartition(shards, "shard").mapInArrow(answer, "piece long, offsets array<long>, counts array<long>, src_ids array<long>, src_words array<long>")
 
 
@@ -262,7 +295,6 @@ def repeats(docs: DataFrame, width: int, gram: int, matcher: Matcher, across: bo
     digest is digest(text). Rows with a null id have none."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     anchors = shared_anchors(docs.filter("id IS NOT NULL"), width, gram, across, n)
-    anchors = anchors.groupBy("id").agg(F.array_join(F.collect_list(F.hex("anchors")), "").alias("h")).select("id", F.unhex("h").alias("anchors"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,7 +309,7 @@ def repeats(docs: DataFrame, width: int, gram: int, matcher: Matcher, across: bo
     joined = docs.select("id", "text").join(anchors, "id", "left")
     kept = durable(joined.mapInArrow(split, "id long, text string, anchors binary, n_words long, digest string"), "passages")
     twice = kept.filter("anchors IS NOT NULL")
-    answers = earliest(twice, width, gram, matcher, n)
+    answers = earliest(twice, width, gram, matcher, SHARDS * n)
     earlier = "s.src < id" if across else "s.src < id OR s.src = id AND s.src_word < word + s.at"
     zipped = F.arrays_zip(F.col("offsets").alias("at"), F.col("counts").alias("n"), F.col("src_ids").alias("src"), F.col("src_words").alias("src_word"))
     placed = occurrences(twice, width, gram).join(answers.select("piece", zipped.alias("runs")), "piece")

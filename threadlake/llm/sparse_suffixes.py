@@ -22,28 +22,25 @@ def _context(words: np.ndarray, at: np.ndarray, steps: np.ndarray, low: np.ndarr
 def matcher(width: int, gram: int):
     span = width - gram + 1
 
-    def run(symbols: np.ndarray, piece: np.ndarray, offset: np.ndarray, anchors: np.ndarray) -> np.ndarray:
-        """The least place of an equal window for each symbol that begins one, else -1."""
-        n = len(symbols)
+    def run(words: np.ndarray, piece: np.ndarray, offset: np.ndarray) -> np.ndarray:
+        """The least place of an equal window for each word that begins one, else -1."""
+        n = len(words)
         found = np.full(n, -1, np.int64)
         if not n:
             return found
-        _, words = np.unique(symbols, return_inverse=True)
-        words = words.astype(np.int32)
         length = np.bincount(piece)
         end = np.cumsum(length)
         # The anchor of a window is its least k-gram; here k-grams of known words are hashed anew.
-        hashes = grams(mix(symbols + np.uint64(1)), gram)
+        word_hash = mix(words.astype(np.uint64) + np.uint64(1))
+        hashes = grams(word_hash, gram)
         hashes = np.append(hashes, np.zeros(n - len(hashes), np.uint64))
         least = running_min(np.append(hashes, np.zeros(span - 1, np.uint64)), span)[:n]
         starts = np.flatnonzero(offset + width <= length[piece])  # where windows begin
         # The first place of each window's least k-gram: a suffix to keep.
-        here = np.where(hashes == least, np.arange(n), -1)
         nearest = np.full(len(starts), -1, np.int64)
         for k in range(span - 1, -1, -1):
             at = np.minimum(starts + k, n - 1)
             nearest = np.where(hashes[at] == least[starts], at, nearest)
-        del here
         kept = np.unique(nearest)
         # One suffix array over kept places, by the words to the right.
         low, high = (end - length)[piece[kept]], end[piece[kept]]
@@ -62,7 +59,6 @@ def matcher(width: int, gram: int):
         bounds = np.searchsorted(left[by_left], np.arange(span + 1))
         powers = np.cumprod(np.full(span + 1, 0x9E3779B97F4A7C15, np.uint64))
         behind = np.zeros(len(kept), np.uint64)  # hash of the `back` words to the left of each suffix
-        word_hash = mix(symbols)
         for back in range(span):
             if back:
                 at = kept - back
