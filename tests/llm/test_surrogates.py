@@ -1,0 +1,72 @@
+import re
+from collections import defaultdict
+
+from pyspark.sql import functions as F
+
+from threadlake.llm import queries, surrogates
+
+
+def replaced(spark, texts, **more):
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, raw string").repartition(2)
+    return {r.doc_id: r.text for r in surrogates.replace(docs, **more).collect()}
+
+
+def test_formats_and_coreference(spark):
+    texts = [
+        "mail Anna.Lee@mail.example.com or anna.lee@mail.example.com!", "call +1 (407) 555-7710, +1 407 555 7710.", "card 4111 1111 1111 1111 and 4111111111111111", "ip 169.122.221.182.",
+        'token = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"!!', "Mrs. Smith met Herr Anton Weber; Mr Smith left", "", None, "no data, 12 and 345.", "ssn 123-45-6789", "Г-жа Иванова", "ana anna.lee@mail.example.com",
+    ]
+    got = replaced(spark, texts)
+    a, b = re.findall(r"\S+@\S+\.com", got[0])
+    assert a.lower() == b and "anna" not in b and re.fullmatch(r"[a-z]{4}\.[a-z]{3}@[a-z]{4}\.[a-z]{7}\.com", b)
+    assert got[11] == f"ana {b}"
+    x, y = re.fullmatch(r"call (\+1 \(\d{3}\) \d{3}-\d{4}), (\+1 \d{3} \d{3} \d{4})\.", got[1]).groups()
+    assert re.sub(r"\D", "", x) == re.sub(r"\D", "", y) and "407" not in x
+    x, y = re.fullmatch(r"card (\d{4} \d{4} \d{4} \d{4}) and (\d{16})", got[2]).groups()
+    assert x.replace(" ", "") == y != "4111111111111111"
+    assert sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(y))) % 10 == 0
+    assert re.fullmatch(r"ip (\d{1,3}\.){3}\d{1,3}\.", got[3]) and "169.122" not in got[3]
+    assert re.fullmatch(r'token = "[0-9A-F]{40}"!!', got[4]) and "9233A8" not in got[4]
+    m = re.fullmatch(r"Mrs\. (\w+)na met Herr (\w+n) (\w+); Mr (\w+) left", got[5])
+    assert m and "Smith" not in got[5] and "Weber" not in got[5] and m[1] + "na" != m[4]
+    assert (got[6], got[7], got[8]) == ("", None, texts[8])
+    assert re.fullmatch(r"ssn \d{3}-\d{2}-\d{4}", got[9]) and got[9] != texts[9]
+    assert re.fullmatch(r"Г-жа [А-Я][а-я]+на", got[10]) and "Иванова" not in got[10]
+    assert got == replaced(spark, texts) and got[0] != replaced(spark, texts, key="other")[0]
+
+
+def test_distinct_values_stay_distinct(spark):
+    # 900 addresses with one letter and one digit before the @, in a format of 260: surrogates must grow longer.
+    texts = [f"{c}{d}@{h}.com" for c in "abcdefghijklmnopqrstuvwxyz" for d in range(10) for h in ("a", "b")]
+    got = replaced(spark, texts)
+    assert len(set(got.values())) == len(texts) and not set(got.values()) & set(texts)
+
+
+def test_null_ids_repeated_rows_empty_table(spark):
+    rows = [(None, "ip 10.20.30.40"), (1, "ip 10.20.30.40"), (1, "ip 10.20.30.40"), (1, "other")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = surrogates.replace(docs).collect()
+    assert len(got) == 4 and sum(r.n_entities for r in got) == 3 and len({r.text for r in got}) == 2
+    assert not any("10.20.30.40" in r.text for r in got)
+    assert surrogates.replace(docs.limit(0)).count() == 0
+
+
+def test_documents(spark):
+    d = "/root/testdata/sf0.01"
+    before = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    pattern = re.compile(r"[\w.+-]+@[\w-]+\.[\w.]+\w|\+1 \(\d{3}\) \d{3}-\d{4}|(?<!\w)\d{16}(?!\w)|(?<![\w.])\d+\.\d+\.\d+\.\d+|(?<!\w)(?:[0-9a-f]{40}|[0-9A-F]{40})(?!\w)")
+    of = defaultdict(set)
+    for r in queries.op5_surrogates(spark, d).collect():
+        old, new = pattern.findall(before[r.doc_id]), pattern.findall(r.text)
+        assert len(old) == len(new) == r.n_entities and pattern.sub("", before[r.doc_id]) == pattern.sub("", r.text)
+        for a, b in zip(old, new):
+            of[a].add(b)
+    assert len(of) > 50 and all(len(b) == 1 for b in of.values())
+    new = [min(b) for b in of.values()]
+    assert len(set(new)) == len(new) and not set(new) & set(of)
+
+
+def test_main_path_is_native(spark):
+    docs = spark.createDataFrame([(1, "a@b.org")], "doc_id long, text string")
+    plan = surrogates.replace(docs)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and F is not None

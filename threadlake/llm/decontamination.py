@@ -22,6 +22,7 @@ import string
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from threadlake.llm.rules import let
 from threadlake.llm.storage import durable
 
 RAREST = 3
@@ -71,7 +72,8 @@ def index(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def phrases(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
-    """(id, text, hits) of docs (id, text); hits: (start, n, item), the exact matches of item windows in words."""
+    """(id, size, hits) of docs (id, text); size: number of words; hits: (start, n, item), the exact matches of item
+    windows."""
     items = durable(items, "item-words")
     wanted = durable(slots(docs, items, width), "slots")
     n = wanted.count()
@@ -89,9 +91,10 @@ def phrases(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     open_windows = met.join(_bounded(full, n), "key").select("id", "item", "shift", "words", size.alias("n"), starts.alias("starts")).filter("size(starts) > 0")
     windows = F.transform("starts", lambda o: F.struct((F.col("shift") + o).alias("start"), F.col("n").alias("n"), F.array_join(F.slice("words", o + 1, F.col("n")), " ").alias("t"), F.col("item").alias("item")))
     found = open_windows.select("id", windows.alias("c")).groupBy("id").agg(F.flatten(F.collect_list("c")).alias("c"))
-    rows = docs.select("id", "text").join(found, "id", "left").withColumn("words", _words(F.col("text")))
-    hits = F.filter("c", lambda c: _lower(F.array_join(F.slice("words", c["start"] + 1, c["n"]), " ")) == c["t"])
-    return rows.select("id", "text", F.size("words").alias("size"), F.coalesce(F.transform(hits, lambda c: c.dropFields("t")), F.array().cast("array<struct<start:int,n:int,item:string>>")).alias("hits"))
+    none = F.array().cast("array<struct<start:int,n:int,item:string>>")
+    matched = lambda ws: F.filter("c", lambda c: _lower(F.array_join(F.slice(ws, c["start"] + 1, c["n"]), " ")) == c["t"])
+    judged = let(_words(F.col("text")), lambda ws: F.struct(F.size(ws).alias("size"), F.when(F.col("c").isNull(), none).otherwise(F.transform(matched(ws), lambda c: c.dropFields("t"))).alias("hits")))
+    return docs.select("id", "text").join(found, "id", "left").select("id", judged.alias("j")).select("id", "j.size", F.coalesce("j.hits", none).alias("hits"))
 
 
 def proximity(docs: DataFrame, items: DataFrame, width: int = 10, span: int = 20, least: int = 3, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threadlake.llm import bpe, decontamination, rules, sql, substrings, toxicity
+from threadlake.llm import bpe, decontamination, near_duplicates, rules, sql, substrings, surrogates, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,11 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document, and whether it stays."""
+    return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of each document without 13-word windows that an earlier one has."""
     return substrings.without_earlier_windows(_table(spark, sf_dir, "documents")).drop("spans")
@@ -39,6 +44,11 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_passages(_table(spark, sf_dir, "documents"))
 
 
+def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text with surrogates for personal data, and how many it holds."""
+    return surrogates.replace(_table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("n_entities", F.col("n_entities").cast("bigint"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document inside exact copies of benchmark windows, and the items they come from."""
     found = decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -56,7 +66,9 @@ def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_duplicates": op1_near_duplicates,
     "op4_substrings": op4_substrings,
+    "op5_surrogates": op5_surrogates,
     "op6_toxicity": op6_toxicity,
     "op7_decontamination": op7_decontamination,
     "op8_rules": op8_rules,
