@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threadlake.llm import bpe, decontamination, near_duplicates, rules, sql, substrings, surrogates, toxicity
+from threadlake.llm import bpe, decontamination, near_duplicates, rules, sql, substrings, surrogates, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,13 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of tokens of every document, with the pieces and scores of the public vocabulary of 32,000."""
+    import public_tokenizers
+
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of each document without 13-word windows that an earlier one has."""
     return substrings.without_earlier_windows(_table(spark, sf_dir, "documents")).drop("spans")
@@ -67,6 +74,7 @@ def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
+    "op3_token_counts": op3_token_counts,
     "op4_substrings": op4_substrings,
     "op5_surrogates": op5_surrogates,
     "op6_toxicity": op6_toxicity,
