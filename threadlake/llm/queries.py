@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threadlake.llm import bpe, decontamination, near_duplicates, rules, sql, substrings, surrogates, token_counts, toxicity
+from threadlake.llm import bpe, decontamination, near_duplicates, perplexity, rules, sql, substrings, surrogates, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,11 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document under a model of those labelled good, and whether it is kept."""
+    return perplexity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels").filter("quality = 1"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The number of tokens of every document, with the pieces and scores of the public vocabulary of 32,000."""
     import public_tokenizers
@@ -74,6 +79,7 @@ def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
+    "op2_perplexity": op2_perplexity,
     "op3_token_counts": op3_token_counts,
     "op4_substrings": op4_substrings,
     "op5_surrogates": op5_surrogates,

@@ -169,3 +169,21 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", thresho
     """(id, held_out, score, predicted) of every document."""
     scored = score(docs, fit(docs, labels, id_col), id_col)
     return scored.select(id_col, held_out(id_col).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """docs, with all their columns, less those scored at threshold or above; one pass, without a join."""
+    model = fit(docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")), labels, id_col)
+    if model is None:
+        return docs
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+    least = math.log(threshold / (1 - threshold))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, weights = shared.value
+        features = _Features(places)
+        for batch in batches:
+            keep = [bool(weights[features.of(t)].sum() + weights[-1] < least) for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
