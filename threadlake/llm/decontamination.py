@@ -4,7 +4,7 @@
 2. Each window of an item (`width` words, or the whole of a shorter item) is looked up by its RAREST rarest terms. The
    index stores the postings (term, document, position) of those terms, in a written table.
 3. Postings are adjusted by the term's offset in the item. Lists that meet at one (document, item, shift) are
-   intersected: a window is a candidate where all its rarest terms stand in their places.
+   intersected: an item's windows are candidates there if as many rare terms stand in their places as a window has.
 4. Candidates are compared word by word with their document's words: the exact phrase matches. Proximity matches take
    the same postings and ask for terms within a span instead of in their places.
 
@@ -78,17 +78,12 @@ def phrases(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     wanted = durable(slots(docs, items, width), "slots")
     n = wanted.count()
     postings = index(docs, wanted)
-    met = postings.join(_bounded(wanted, n), "term").groupBy("id", "key", (F.col("pos") - F.col("at")).alias("shift")).agg(F.collect_set("at").alias("ats"))
-    chosen = wanted.groupBy("key").agg(F.array_sort(F.collect_set("at")).alias("chosen"))
-    full = items.join(chosen, "key")
-    # Windows all of whose chosen places are met; every window has a chosen place.
+    # Lists that meet at one shift: a window needs all of its rarest terms there.
+    met = postings.join(_bounded(wanted, n), "term").groupBy("id", "key", (F.col("pos") - F.col("at")).alias("shift")).agg(F.count("*").alias("met"))
     size = F.least(F.lit(width), F.size("words"))
-    missing = F.array_except("chosen", "ats")
-    starts = F.filter(
-        F.sequence(F.lit(0), F.size("words") - size),
-        lambda o: (F.col("shift") + o >= 0) & ~F.exists(missing, lambda c: (c >= o) & (c < o + size)),
-    )
-    open_windows = met.join(_bounded(full, n), "key").select("id", "item", "shift", "words", size.alias("n"), starts.alias("starts")).filter("size(starts) > 0")
+    open_windows = met.join(_bounded(items, n), "key").filter(F.col("met") >= F.least(F.lit(RAREST), F.size("words")))
+    starts = F.filter(F.sequence(F.lit(0), F.size("words") - size), lambda o: F.col("shift") + o >= 0)
+    open_windows = open_windows.select("id", "item", "shift", "words", size.alias("n"), starts.alias("starts"))
     windows = F.transform("starts", lambda o: F.struct((F.col("shift") + o).alias("start"), F.col("n").alias("n"), F.array_join(F.slice("words", o + 1, F.col("n")), " ").alias("t"), F.col("item").alias("item")))
     found = open_windows.select("id", windows.alias("c")).groupBy("id").agg(F.flatten(F.collect_list("c")).alias("c"))
     none = F.array().cast("array<struct<start:int,n:int,item:string>>")
