@@ -3,7 +3,7 @@ import hashlib
 import corpus_pipeline
 import numpy as np
 from tests.llm.test_bpe import library
-from tests.llm.test_decontamination import brute as leaks
+from tests.llm.test_decontamination import split
 from tests.llm.test_near_duplicates import brute as classes
 from threadlake.llm import queries
 
@@ -16,6 +16,8 @@ def test_stages_take_effect(spark):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{D}/benchmark.parquet").collect()]
     toxic = {r.doc_id for r in queries.op6_toxicity(spark, D).filter("predicted = 1").collect()}
     assert len(toxic) > 30
+    cuts = {" ".join(ws[o : o + 10]) for _, t in items for ws in [split(t)] for o in range(max(1, len(ws) - 9)) if ws}
+    assert min(len(split(t)) for _, t in items) >= 10
     for name, stage in corpus_pipeline.STAGES[:-1]:
         before = {r.doc_id: r.text for r in docs.collect()}
         docs = stage(spark, docs, D).cache()
@@ -28,7 +30,8 @@ def test_stages_take_effect(spark):
             of, _ = classes(list(before.items()))
             assert after.keys() == set(of.values())
         elif name == "decontamination":
-            assert gone == {i for i, t in before.items() if leaks(t, items)[3]}
+            whole = {i: split(t) for i, t in before.items()}
+            assert gone == {i for i, ws in whole.items() if any(" ".join(ws[p : p + 10]) in cuts for p in range(len(ws) - 9))}
         else:
             assert not gone and sum(before[i] != after[i] for i in after) > 10
         seen.append(len(after))

@@ -226,8 +226,8 @@ def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_c
     scored = durable(perplexities(rows, model, broadcast_rows), "perplexities")
     good = scored.filter("perplexity IS NOT NULL").join(ids, "id", "left_semi")
     quantiles = lambda *keys: good.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("perplexity", [LOW, HIGH], 10_000).alias("q"))
-    every = quantiles().select(F.col("q").alias("all"))
-    fences = scored.select("lang").distinct().join(quantiles("lang"), "lang", "left").crossJoin(every)  # one row for each language
-    fences = fences.select("lang", F.when(F.col("n") >= LEAST_TRUSTED, F.col("q")).otherwise(F.col("all")).alias("q"))
-    inside = F.coalesce(F.col("perplexity").between(F.col("q")[0] * (1 - SLACK), F.col("q")[1] * (1 + SLACK)), F.col("perplexity").isNotNull())
-    return scored.join(fences, "lang").select(F.col("id").alias(id_col), "perplexity", inside.alias("kept"))
+    every = quantiles().first()["q"] or [None, None]  # two numbers
+    fences = quantiles("lang").filter(F.col("n") >= LEAST_TRUSTED).select("lang", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+    low, high = (F.coalesce(c, F.lit(x).cast("double")) for c, x in zip(("low", "high"), every))
+    inside = F.coalesce(F.col("perplexity").between(low * (1 - SLACK), high * (1 + SLACK)), F.col("perplexity").isNotNull())
+    return scored.join(fences, "lang", "left").select(F.col("id").alias(id_col), "perplexity", inside.alias("kept"))
