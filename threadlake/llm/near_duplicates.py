@@ -151,7 +151,7 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """(id, hub, similarity) of pairs (id, hub)."""
     members = pairs.select("id").union(pairs.select(F.col("hub").alias("id"))).distinct()
     # Always by shuffle: members grow with the documents, so a broadcast would only hide the cost at small sizes.
-    texts = durable(docs.join(members.hint("shuffle_merge"), "id", "left_semi").select("id", "text"), "near-texts").dropDuplicates(["id"])
+    texts = durable(docs.join(members.hint("shuffle_merge"), "id", "left_semi").select("id", "text").dropDuplicates(["id"]), "near-texts")
     sides = pairs.join(texts, "id").join(texts.select(F.col("id").alias("hub"), F.col("text").alias("hub_text")), "hub")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
