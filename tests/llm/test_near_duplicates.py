@@ -82,3 +82,24 @@ def test_similarities():
     pairs = [(x, y) for x in texts for y in texts]
     got = near_duplicates.similarities(pa.array([x for x, _ in pairs]), pa.array([y for _, y in pairs]))
     assert np.allclose(got, [jaccard(bag(x), bag(y)) for x, y in pairs])
+
+
+def test_links_between_members_that_are_no_ends(spark):
+    """Variants of one text whose ends in every bucket are often too far from them, beside close copies of variants."""
+    draw = random.Random(11)
+    base = [f"w{draw.randrange(5000)}" for _ in range(120)]
+
+    def edited(words, n):
+        words = list(words)
+        for k in draw.sample(range(len(words)), n):
+            words[k] = f"n{draw.random()}"
+        return words
+
+    far = [edited(base, 4 + k % 5) for k in range(150)]
+    rows = list(enumerate(" ".join(w) for v in far for w in (v, edited(v, draw.randrange(1, 5)))))
+    draw.shuffle(rows)
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    expected, _ = brute(rows)
+    assert 1 < len(set(expected.values())) < len(rows)
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.class_id for r in got.collect()} == expected

@@ -7,10 +7,14 @@ register with the probability of their weighted Jaccard similarity, sum of least
 counts cost their logarithm, and points later than every register's first are never made.
 
 Texts with the same words are one text: the least id stands for them. In each bucket of a band, members are compared
-with its least and its greatest member, never with each other, and all comparisons are exact multiset overlaps of whole
-texts. Classes are the connected components of the links found. A link of similarity 0.8 is missed by all 32 bands of
-4 registers with a probability of 5e-8. In a bucket with other near texts it may be that neither end is the least or
-greatest member; then one of the buckets that they share without those must find it (README has the recall measured).
+with its least and its greatest member, never all with each other, and all comparisons are exact multiset overlaps of
+whole texts. Classes are the connected components of the links found. A link of similarity 0.8 is missed by all 32 bands
+of 4 registers with a probability of 5e-8.
+
+In a bucket of four members or more two texts may be alike though neither is an end. Such a link matters only where it
+would join two classes, so further turns draw new ends, by another order for each turn and eighth of the bands, in the
+buckets that still hold several classes, and compare them with the members of other classes; they go on until a turn
+finds no link. Each turn makes at most 64 pairs for a text, however large the group (README has the recall measured).
 
 Results: texts of one to four words have one shingle of all of them; a null or empty text is nothing's duplicate; of
 repeated rows all are kept, as they have one id; rows with a null id are a class of their own; other columns are not
@@ -123,14 +127,36 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "id long, key binary, bands array<long>")
 
 
-def candidates(texts: DataFrame) -> DataFrame:
-    """(id, hub) of texts (id, bands): pairs to compare, each text with the ends of its buckets."""
-    spread = texts.select("id", F.explode("bands").alias("bucket"))
+def buckets(texts: DataFrame) -> DataFrame:
+    """(id, band, bucket) of texts (id, bands)."""
+    return texts.select("id", F.posexplode("bands").alias("band", "bucket"))
+
+
+def candidates(spread: DataFrame) -> DataFrame:
+    """(id, hub) of buckets: pairs to compare, each text with the ends of its buckets."""
     hubs = spread.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least <> most")
     met = spread.join(hubs, "bucket").select("id", F.explode(F.array("least", "most")).alias("hub")).filter("id <> hub")
     return met.select(F.greatest("id", "hub").alias("id"), F.least("id", "hub").alias("hub")).distinct()
 
 
+def crowded(spread: DataFrame) -> DataFrame:
+    """The buckets of four members or more: in smaller ones the ends meet all others, so nothing is left to compare."""
+    large = spread.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 3").select("bucket")
+    return spread.join(large, "bucket", "left_semi")
+
+
+def bridges(spread: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """(id, hub) of buckets and labels (node, component): each text with this turn's ends of its buckets, where those
+    are of another component."""
+    known = spread.join(labels.withColumnRenamed("node", "id"), "id", "left")
+    known = known.select("id", "bucket", F.coalesce("component", "id").alias("component"), F.xxhash64(F.lit(turn), F.col("band") % 8, "id").alias("place"))
+    member, place = F.struct("id", "component"), F.col("place")
+    ends = known.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(place, member.alias("of"))).alias("least"), F.max(F.struct(place, member.alias("of"))).alias("most"))
+    ends = ends.filter("low <> high").select("bucket", F.array("least.of", "most.of").alias("ends"))
+    met = known.join(ends, "bucket").select("id", "component", F.explode("ends").alias("end")).filter("component <> end.component")
+    return met.select(F.greatest("id", "end.id").alias("id"), F.least("id", "end.id").alias("hub")).distinct()
+
+
 def similarities(left: pa.Array, right: pa.Array) -> np.ndarray:
     """The weighted Jaccard similarity of the shingles of each pair of texts."""
     bag = []
@@ -162,25 +188,38 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return sides.select("id", "hub", "text", "hub_text").mapInArrow(run, "id long, hub long, similarity double")
 
 
-def links(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(id, text_id): for each document with an id and words the least id with the same words; and (a, b, similarity):
-    the links between those."""
+def links(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, text_id): for each document with an id and words the least id with the same words; (a, b, similarity): links
+    between those, enough to hold every class together; and (node, component): their classes."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id IS NOT NULL")
     known = durable(sketches(rows), "sketches")
     firsts_of = known.groupBy("key").agg(F.min_by(F.struct("id", "bands"), "id").alias("x")).select("key", F.col("x.id").alias("text_id"), "x.bands")
     firsts_of = durable(firsts_of, "texts")
     members = known.select("id", "key").join(firsts_of.select("key", "text_id"), "key").select("id", "text_id").distinct()
-    pairs = durable(candidates(firsts_of.select(F.col("text_id").alias("id"), "bands")), "pairs")
-    found = durable(_verified(pairs, rows).filter(F.col("similarity") >= similarity), "near-links")
-    return members, found.select(F.col("id").alias("a"), F.col("hub").alias("b"), "similarity")
+    spread = buckets(firsts_of.select(F.col("text_id").alias("id"), "bands"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        alike = _verified(durable(pairs, "pairs"), rows).filter(F.col("similarity") >= similarity)
+        return durable(alike.select(F.col("id").alias("a"), F.col("hub").alias("b"), "similarity"), "near-links")
+
+    found = verified(candidates(spread))
+    labels = components(found)
+    crowds, turn = durable(crowded(spread), "crowded"), 0
+    while True:
+        turn += 1
+        more = verified(bridges(crowds, labels, turn))
+        if more.isEmpty():
+            return members, found, labels
+        found = found.union(more)
+        labels = components(found)
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, class_id, n_links, kept) of each document: the least id of its class, the number of links that its text has
-    to other texts, and whether it is the one of its class that stays."""
-    members, found = links(docs, similarity, id_col, text_col)
+    """(id, class_id, n_links, kept) of each document: the least id of its class, the number of links found between its
+    text and other texts, and whether it is the one of its class that stays."""
+    members, found, labels = links(docs, similarity, id_col, text_col)
     degree = found.select("a").union(found.select("b")).groupBy(F.col("a").alias("text_id")).agg(F.count("*").alias("n_links"))
-    classes = members.join(components(found).withColumnRenamed("node", "text_id"), "text_id", "left").join(degree, "text_id", "left")
+    classes = members.join(labels.withColumnRenamed("node", "text_id"), "text_id", "left").join(degree, "text_id", "left")
     classes = classes.select("id", F.coalesce("component", "text_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     rows = docs.select(F.col(id_col).cast("long").alias("id")).join(classes, "id", "left")
     own = F.coalesce("class_id", "id")
