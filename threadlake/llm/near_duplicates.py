@@ -167,9 +167,13 @@ def bridges(spread: DataFrame, labels: DataFrame, turn: int, similarity: float =
     member = F.struct("place", "id", "component", "registers")
     ends = known.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(member).alias("least"), F.max(member).alias("most"))
     ends = ends.filter("low <> high").select("bucket", F.array("least", "most").alias("ends"))
-    met = known.join(ends, "bucket").select("id", "component", "registers", F.explode("ends").alias("end")).filter("component <> end.component")
-    agreed = F.size(F.filter(F.zip_with("registers", F.col("end.registers"), lambda x, y: x == y), lambda same: same))
-    return met.filter(agreed >= least).select(F.greatest("id", "end.id").alias("id"), F.least("id", "end.id").alias("hub")).distinct()
+
+    def worth(end):
+        agreed = F.size(F.filter(F.zip_with("registers", end["registers"], lambda x, y: x == y), lambda same: same))
+        return (end["component"] != F.col("component")) & (agreed >= least)
+
+    met = known.join(ends, "bucket").select("id", F.explode(F.transform(F.filter("ends", worth), lambda end: end["id"])).alias("hub"))
+    return met.select(F.greatest("id", "hub").alias("id"), F.least("id", "hub").alias("hub")).distinct()
 
 
 def similarities(left: pa.Array, right: pa.Array) -> np.ndarray:
