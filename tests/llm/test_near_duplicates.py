@@ -103,3 +103,25 @@ def test_links_between_members_that_are_no_ends(spark):
     assert 1 < len(set(expected.values())) < len(rows)
     got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r.doc_id: r.class_id for r in got.collect()} == expected
+
+
+def test_exact_finish_finds_every_link_between_classes(spark):
+    """Every link between different components, whatever the cells that a hot shingle is dealt over."""
+    draw = random.Random(5)
+    base = [f"w{draw.randrange(5000)}" for _ in range(60)]
+    rows = []
+    for i in range(260):
+        words = list(base)
+        for k in draw.sample(range(60), 1 + i % 3):
+            words[k] = f"n{draw.randrange(40)}"
+        rows.append((i, " ".join(words)))
+    rows += [(260, "a " * 50), (261, "a " * 55), (262, "a " * 80), (263, "x y"), (264, "x z"), (265, " ".join(base[:52]))]
+    bags = {i: bag(t) for i, t in rows}
+    part = {i: i if i % 3 else 0 for i in bags}
+    expected = {(b, a) for a in bags for b in bags if a < b and part[a] != part[b] and jaccard(bags[a], bags[b]) >= 0.8}
+    docs = spark.createDataFrame(rows, "id long, text string")
+    crowd = spark.createDataFrame(list(part.items()), "id long, component long")
+    for cell in (16, 4096):
+        got = [(r.id, r.hub) for r in near_duplicates.bridges(crowd, docs, cell=cell).collect()]
+        assert len(got) == len(set(got)) and len(expected) > 50 and expected <= set(got)
+        assert all(part[a] != part[b] for a, b in got)

@@ -12,12 +12,13 @@ whole texts. Classes are the connected components of the links found. A link of
 of 4 registers with a probability of 5e-8.
 
 In a bucket of four members or more two texts may be alike though neither is an end. Such a link matters only where it
-would join two classes, so further turns draw new ends, by another order for each turn and eighth of the bands, in the
-buckets that still hold several classes, and compare them with the members of other classes. From the second turn on
-buckets are split by four more registers, others in each turn, so that ends are nearer to their members. Turns go on
-until the third or a later one finds no link. Each makes at most 64 pairs for a text, however large the group (README has
-the links missed, as measured), and leaves out those whose signatures agree on under 76 of 128 registers, as do those of
-a link of 0.8 with a probability of 3e-8.
+would join two classes, so the texts in crowded buckets that still hold several classes are joined exactly, those of
+different classes with each other. Of the n shingles of a text, a shingle of count w being w of them, those that come
+first in one order for all texts, rarest first, are its prefix: n - ceil(0.8 n) + 1 of them, of which alike texts share
+one. Texts that share one are compared by length, by place of the shared shingle and by a bitmap of their shingles, all
+bounds that no link exceeds, and what is left by exact overlap. The order's counts come from a table of fixed size;
+they decide what it costs, not what is found. A shingle in many texts is dealt over cells of at most some CELL * 2 texts.
+As all links between different classes are found at once, there is nothing left to repeat.
 
 Results: texts of one to four words have one shingle of all of them; a null or empty text is nothing's duplicate; of
 repeated rows all are kept, as they have one id; rows with a null id are a class of their own; other columns are not
@@ -37,10 +38,11 @@ from threadlake.llm.packed import Words, firsts, grams, mix, parts, words_of
 from threadlake.llm.storage import durable
 
 SHINGLE, BANDS, ROWS, SIMILARITY = 5, 32, 4, 0.8
-#: Registers that split a crowded bucket in the later turns.
-MORE_ROWS = 4
-#: Two texts that agree on this many standard deviations fewer registers than alike texts do are not compared.
-DEVIATIONS = 6
+#: Texts of one salt that share a prefix shingle, on average at most; a cell has those of two salts.
+CELL = 4096
+#: Bits of a text's bitmap; counters of the table of shingle counts.
+BITS, COUNTERS = 1024, 1 << 20
+_EPS = 1e-9
 _SEED = np.uint64(0xA24BAED4963EE407)
 _SLICE_BYTES = 4 << 20
 
@@ -105,8 +107,7 @@ def signatures(row: np.ndarray, shingle: np.ndarray, count: np.ndarray, n: int,
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(id, key, bands, registers) of docs (id, text) with words: a 128-bit key of the word sequence, the hash of each
-    band and 8 bits of each register."""
+    """(id, key, bands) of docs (id, text) with words: a 128-bit key of the word sequence and the hash of each band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,11 +129,11 @@ def sketches(docs: DataFrame) -> DataFrame:
                     powers = np.cumprod(np.full(int(length.max()), base, np.uint64))
                     key[:, j] = mix(np.add.reduceat(mix(hashes + np.uint64(j)) * powers[place], words.first[full]) + length.astype(np.uint64))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(full)), pa.array([x.tobytes() for x in key], pa.binary()), pa.FixedSizeListArray.from_arrays(pa.array(band.reshape(-1).view(np.int64)), BANDS).cast(pa.list_(pa.int64())), pa.FixedSizeListArray.from_arrays(pa.array(mix(sig).astype(np.uint8).reshape(-1).view(np.int8)), BANDS * ROWS).cast(pa.list_(pa.int8()))],
-                    ["id", "key", "bands", "registers"],
+                    [part.column(0).take(pa.array(full)), pa.array([x.tobytes() for x in key], pa.binary()), pa.FixedSizeListArray.from_arrays(pa.array(band.reshape(-1).view(np.int64)), BANDS).cast(pa.list_(pa.int64()))],
+                    ["id", "key", "bands"],
                 )
 
-    return docs.select("id", "text").mapInArrow(run, "id long, key binary, bands array<long>, registers array<byte>")
+    return docs.select("id", "text").mapInArrow(run, "id long, key binary, bands array<long>")
 
 
 def buckets(texts: DataFrame) -> DataFrame:
@@ -147,33 +148,126 @@ def candidates(spread: DataFrame) -> DataFrame:
     return met.select(F.greatest("id", "hub").alias("id"), F.least("id", "hub").alias("hub")).distinct()
 
 
-def crowded(spread: DataFrame) -> DataFrame:
-    """The buckets of four members or more: in smaller ones the ends meet all others, so nothing is left to compare."""
+def crowded(spread: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, component) of the texts in buckets of four members or more and of several classes by labels (node, component):
+    in smaller buckets the ends meet all others, so nothing is left to compare."""
     large = spread.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 3").select("bucket")
-    return spread.join(large, "bucket", "left_semi")
-
-
-def bridges(spread: DataFrame, labels: DataFrame, turn: int, similarity: float = SIMILARITY) -> DataFrame:
-    """(id, hub) of buckets with registers and labels (node, component): each text with this turn's ends of its buckets,
-    where those are of another component and their registers do not rule the similarity out."""
-    size = BANDS * ROWS
-    least = size * similarity - DEVIATIONS * (size * similarity * (1 - similarity)) ** 0.5
-    known = spread.join(labels.withColumnRenamed("node", "id"), "id", "left")
-    bucket = F.col("bucket")
-    if turn > 1:
-        offset = [ROWS + (turn * 17 + j * 29) % (size - ROWS) for j in range(MORE_ROWS)]
-        bucket = F.xxhash64(bucket, *(F.get("registers", (F.col("band") * ROWS + o) % size) for o in offset))
-    known = known.select("id", bucket.alias("bucket"), "registers", F.coalesce("component", "id").alias("component"), F.xxhash64(F.lit(turn), F.col("band") % 8, "id").alias("place"))
-    member = F.struct("place", "id", "component", "registers")
-    ends = known.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(member).alias("least"), F.max(member).alias("most"))
-    ends = ends.filter("low <> high").select("bucket", F.array("least", "most").alias("ends"))
-
-    def worth(end):
-        agreed = F.size(F.filter(F.zip_with("registers", end["registers"], lambda x, y: x == y), lambda same: same))
-        return (end["component"] != F.col("component")) & (agreed >= least)
-
-    met = known.join(ends, "bucket").select("id", F.explode(F.transform(F.filter("ends", worth), lambda end: end["id"])).alias("hub"))
-    return met.select(F.greatest("id", "hub").alias("id"), F.least("id", "hub").alias("hub")).distinct()
+    known = spread.join(large, "bucket", "left_semi").join(labels.withColumnRenamed("node", "id"), "id", "left")
+    known = known.select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    several = known.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
+    return known.join(several, "bucket", "left_semi").select("id", "component").distinct()
+
+
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, token): each shingle of count w as w different tokens, sorted by row."""
+    words = words_of(texts)
+    row, shingle, count = bags(words, words.hashes())
+    upto = np.cumsum(count)
+    nth = np.arange(upto[-1] if len(upto) else 0) - np.repeat(upto - count, count)
+    return np.repeat(row, count), mix(np.repeat(shingle, count) + nth.astype(np.uint64) * _SEED)
+
+
+def _counter(token: np.ndarray) -> np.ndarray:
+    return (token % np.uint64(COUNTERS)).astype(np.int64)
+
+
+def _token_counts(texts: DataFrame) -> np.ndarray:
+    """How many texts (id, component, text) have a token, by counter; a table of COUNTERS numbers, whatever the input."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for part in parts(batch, 2):
+                total += np.bincount(_counter(_tokens(part.column(2))[1]), minlength=COUNTERS)
+        full = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(total[full])], ["counter", "n"])
+
+    found = texts.mapInArrow(run, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(COUNTERS, np.int64)
+    out[found.column("counter").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+def _prefixes(texts: DataFrame, similarity: float) -> DataFrame:
+    """(id, component, size, bits, tokens) of texts (id, component, text): the number of tokens, their bitmap and, of the
+    tokens in the common order, the prefix that a text of this similarity shares one of."""
+    shared = texts.sparkSession.sparkContext.broadcast(_token_counts(texts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in parts(batch, 2):
+                row, token = _tokens(part.column(2))
+                size = np.bincount(row, minlength=part.num_rows)
+                bit = (mix(token ^ _SEED) % np.uint64(BITS)).astype(np.int64)
+                odd = np.zeros(part.num_rows * BITS, np.uint8)
+                np.bitwise_xor.at(odd, row * BITS + bit, 1)
+                bits = np.packbits(odd.reshape(-1, BITS), axis=1)
+                order = np.lexsort((token, shared.value[_counter(token)], row))
+                place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+                length = np.where(size > 0, size - np.ceil(similarity * size - _EPS).astype(np.int64) + 1, 0)
+                kept = token[order][place < length[row]].view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.minimum(length, size))]), pa.int32()), pa.array(kept))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size), pa.array([x.tobytes() for x in bits], pa.binary()), lists], ["id", "component", "size", "bits", "tokens"])
+
+    return texts.mapInArrow(run, "id long, component long, size long, bits binary, tokens array<long>")
+
+
+def _alike(cell: np.ndarray, ids: np.ndarray, component: np.ndarray, salt: np.ndarray, one: np.ndarray, size: np.ndarray, place: np.ndarray, bits: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a cell, of rows sorted by cell and size, that no bound rules out."""
+    found, i, step = [], np.arange(len(cell)), 0
+    while len(i):
+        step += 1
+        i = i[i + step < len(cell)]
+        j = i + step
+        i = i[(cell[i] == cell[j]) & (size[i] >= similarity * size[j] - _EPS)]
+        j = i + step
+        worth = (component[i] != component[j]) & (one[i] | (salt[i] != salt[j]))
+        a, b = i[worth], j[worth]
+        least = np.ceil(similarity / (1 + similarity) * (size[a] + size[b]) - _EPS)
+        near = np.minimum(place[a], place[b]) + np.minimum(size[a] - place[a], size[b] - place[b]) >= least
+        a, b, least = a[near], b[near], least[near]
+        near = size[a] + size[b] - np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64) >= 2 * least
+        found.append(np.stack([ids[a[near]], ids[b[near]]]))
+    pairs = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
+    pairs = np.unique(np.sort(pairs, 0), axis=1)
+    return pairs[1], pairs[0]
+
+
+def bridges(crowd: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, cell: int = CELL) -> DataFrame:
+    """(id, hub) of crowd (id, component): the pairs of texts of different components that may be alike."""
+    texts = docs.join(crowd.hint("shuffle_merge"), "id").select("id", "component", "text").dropDuplicates(["id"])
+    known = durable(_prefixes(durable(texts, "crowded-texts"), similarity), "prefixes")
+    spread = known.select("id", "component", F.posexplode("tokens").alias("place", "token"))
+    groups = spread.groupBy("token").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+    groups = groups.filter("low <> high").select("token", F.ceil(F.col("n") / cell).cast("int").alias("salts"))
+    met = spread.join(groups, "token").join(known.select("id", "size", "bits"), "id")
+    met = met.withColumn("salt", F.pmod(F.xxhash64("id"), "salts").cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    met = met.select("token", F.least("salt", "other").alias("low"), F.greatest("salt", "other").alias("high"), "size", "id", "component", "salt", "place", "bits")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = met.repartition(n, "token", "low", "high").sortWithinPartitions("token", "low", "high", "size", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(rows: pa.Table, more: bool) -> tuple[pa.RecordBatch, pa.Table]:
+            """Those of all cells but the last, if more rows come, and the rows of that."""
+            token, low, high, size, ids, component, salt, place = (rows.column(k).to_numpy() for k in range(8))
+            begin = firsts(token, low, high)
+            end = begin[-1] if more else len(token)
+            at = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(token))))
+            bits = np.frombuffer(b"".join(rows.column(8).slice(0, end).to_pylist()), np.uint64).reshape(-1, BITS // 64)
+            a, b = _alike(*(x[:end] for x in (at, ids, component, salt, low == high, size, place.astype(np.int64))), bits, similarity)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["id", "hub"]), rows.slice(end)
+
+        rest = None
+        for batch in batches:
+            if batch.num_rows:
+                rows = pa.Table.from_batches([batch])
+                out, rest = pairs(rows if rest is None else pa.concat_tables([rest, rows]), True)
+                yield out
+        if rest is not None:
+            yield pairs(rest, False)[0]
+
+    return met.mapInArrow(run, "id long, hub long").distinct()
 
 
 def similarities(left: pa.Array, right: pa.Array) -> np.ndarray:
@@ -212,7 +306,7 @@ def links(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id
     between those, enough to hold every class together; and (node, component): their classes."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id IS NOT NULL")
     known = durable(sketches(rows), "sketches")
-    firsts_of = known.groupBy("key").agg(F.min_by(F.struct("id", "bands", "registers"), "id").alias("x")).select("key", F.col("x.id").alias("text_id"), "x.bands", "x.registers")
+    firsts_of = known.groupBy("key").agg(F.min_by(F.struct("id", "bands"), "id").alias("x")).select("key", F.col("x.id").alias("text_id"), "x.bands")
     firsts_of = durable(firsts_of, "texts")
     members = known.select("id", "key").join(firsts_of.select("key", "text_id"), "key").select("id", "text_id").distinct()
     spread = buckets(firsts_of.select(F.col("text_id").alias("id"), "bands"))
@@ -223,14 +317,11 @@ def links(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id
 
     found = verified(candidates(spread))
     labels = components(found)
-    crowds, turn = durable(crowded(spread).join(firsts_of.select(F.col("text_id").alias("id"), "registers"), "id"), "crowded"), 0
-    while True:
-        turn += 1
-        more = verified(bridges(crowds, labels, turn, similarity))
-        if turn > 2 and more.isEmpty():
-            return members, found, labels
-        found = found.union(more)
-        labels = components(found)
+    crowd = durable(crowded(spread, labels), "crowded")
+    if crowd.isEmpty():
+        return members, found, labels
+    found = found.union(verified(bridges(crowd, rows, similarity)))
+    return members, found, components(found)
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
