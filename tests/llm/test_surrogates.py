@@ -70,3 +70,31 @@ def test_main_path_is_native(spark):
     docs = spark.createDataFrame([(1, "a@b.org")], "doc_id long, text string")
     plan = surrogates.replace(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and F is not None
+
+
+def test_written_forms_of_languages(spark):
+    """Each is one entity and nothing of it stays."""
+    forms = [
+        "407-555-7710", "407.555.7710", "(407) 555.7710", "+33 1 23 45 67 89", "01 23 45 67 89", "01.23.45.67.89", "+49 30 1234567", "(030) 1234567", "0151-12345678", "+44 (0)20 7946 0958", "612 345 678", "8 (495) 123-45-67",
+        "GB82 WEST 1234 5698 7654 32", "NL91 ABNA 0417 1643 00", "FR14 2004 1010 0505 0001 3M02 606", "NO93 8601 1117 947", "MT84MALT011000012345MTLCAST001S", "DE89 3704 0044 0532 0130 00",
+        "3782 822463 10005", "378282246310005", "4222222222222", "6304000000000000000", "2001:db8::ff00:42:8329", "fe80::1", "2001:0DB8:85A3:0000:0000:8A2E:0370:7334", "::ffff:192.0.2.128", "078-05-1120",
+    ]
+    docs = spark.createDataFrame([(i, f"say {t} IS it, {t}.") for i, t in enumerate(forms)], "doc_id long, text string")
+    for r in surrogates.replace(docs).collect():
+        m = re.fullmatch(r"say (.+) IS it, (.+)\.", r.text)
+        assert r.n_entities == 2 and m and m[1] == m[2] != forms[r.doc_id], (forms[r.doc_id], r.text)
+        if "::ffff" not in forms[r.doc_id]:
+            assert re.sub(r"[0-9A-Za-z]", "x", m[1]) == re.sub(r"[0-9A-Za-z]", "x", forms[r.doc_id])
+    plain = ["on 01.02.2024 12:30", "std::vector a::b", "1700000000000 ms", "at 12:30:45", "4111111111111111 4111111111111111"]
+    got = replaced(spark, plain)
+    assert [got[i] for i in range(4)] == plain[:4] and re.fullmatch(r"(\d{16}) \1", got[4])
+
+
+def test_names_without_their_title(spark):
+    texts = ["Smith, says Mrs. Smith. Smiths and smith stay; Smith's too.", "Herr Anton Weber kam. Weber ging, Anton Weber blieb, Anton auch.", "Smith and Weber are no names here", "Г-жа Иванова; Иванова."]
+    got = replaced(spark, texts)
+    m = re.fullmatch(r"(\w+), says Mrs\. (\w+)\. Smiths and smith stay; (\w+)'s too\.", got[0])
+    assert m and m[1] == m[2] == m[3] != "Smith"
+    m = re.fullmatch(r"Herr (\w+) (\w+) kam\. (\w+) ging, (\w+) (\w+) blieb, (\w+) auch\.", got[1])
+    assert m and m[2] == m[3] == m[5] != "Weber" and m[1] == m[4] == m[6] != "Anton"
+    assert got[2] == texts[2] and re.fullmatch(r"Г-жа (\w+); \1\.", got[3]) and "Иванова" not in got[3]

@@ -1,7 +1,8 @@
 """Personal data replaced by keyed surrogates of the same type and format; DataFrame functions only.
 
 1. Entities are found by patterns, each type by its own, and written once: e-mail addresses, phone and card numbers,
-   IP addresses, account numbers, social security numbers, secrets in hexadecimal and titled names.
+   IP addresses, account numbers, social security numbers, secrets in hexadecimal and titled names. A name found with
+   a title is one without it too, whole or a word of it, anywhere in the same text.
 2. The different (type, value) pairs get a surrogate made from SHA-256 of key, type, value and attempt. A value means
    what is written: letters in one case, digits without separators, a name without its title. So one entity has one
    surrogate wherever and however it is written.
@@ -24,20 +25,36 @@ from threadlake.llm.storage import durable
 
 _TITLES = {"m": "Mr|Mister|Herr|Señor|Monsieur|Sir|Г-н", "f": "Mrs|Ms|Miss|Frau|Señora|Señorita|Madame|Mme|Г-жа"}
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+_HEX, _SEP = "[0-9A-Fa-f]{1,4}", r"[\p{Zs}.()/-]{0,2}"
+#: Countries by the length of their account numbers.
+_IBANS = {15: "NO", 16: "BE", 18: "DK|FI|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV", 22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA", 23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST", 26: "IS|TR", 27: "BI|DJ|FR|GR|IT|MC|MR|SM", 28: "AL|AZ|BY|CY|DO|GT|HU|LB|NI|PL|SV", 29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU"}
+_IBAN = "|".join(rf"(?:{countries})\d{{2}}(?:[ -]?[A-Z0-9]){{{n - 4}}}" for n, countries in _IBANS.items())
+#: International; then national with an area code, with a trunk 0 but no date, and of nine and eleven digits.
+_PHONES = [
+    r"\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}",
+    rf"\+\d(?:{_SEP}\d){{7,14}}",
+    r"\(\d{3}\) ?\d{3}[ .-]\d{4}",
+    r"(?:1[ .-])?[2-9]\d{2}[ .-][2-9]\d{2}[ .-]\d{4}",
+    rf"(?!\d{{1,2}}[./-]\d{{1,2}}[./-]\d{{4}})\(?0[1-9](?:{_SEP}\d){{7,10}}",
+    r"[6-9]\d{2}(?:[ -]\d{3}){2}",
+    r"[6-9]\d{2}(?:[ -]\d{2}){3}",
+    r"8[ -]?\(?\d{3}\)?[ -]\d{3}[ -]\d{2}[ -]\d{2}",
+]
 #: In the order in which they are tried at a place.
 PATTERNS = {
     "email": r"[\p{L}\p{N}_%+-]+(?:\.[\p{L}\p{N}_%+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![\p{L}\p{N}])",
-    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?\d{4}){3,6}(?: ?\d{1,3})?(?![\p{L}\p{N}])",
-    "card": r"(?<![\p{L}\p{N}])\d{4}(?:[ -]?\d{4}){3}(?![\p{L}\p{N}])",
-    "phone": r"(?<![\p{L}\p{N}])(?:\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}-\d{4})(?![\p{L}\p{N}])",
+    "ip6": rf"(?<![\p{{L}}\p{{N}}:.])(?=[0-9A-Fa-f:]*\d|(?:[0-9A-Fa-f]*:){{3}})(?:(?:[0-9A-Fa-f]{{0,4}}:){{2,7}}{_OCTET}(?:\.{_OCTET}){{3}}|(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,7}}:(?:{_HEX}(?::{_HEX}){{0,5}})?|::{_HEX}(?::{_HEX}){{0,6}})(?![\p{{L}}\p{{N}}:])",
+    "iban": rf"(?<![\p{{L}}\p{{N}}])(?:{_IBAN}|[A-Z]{{2}}\d{{2}}(?: ?\d{{4}}){{3,6}}(?: ?\d{{1,3}})?)(?![\p{{L}}\p{{N}}])",
+    "card": r"(?<![\p{L}\p{N}])(?:\d{4}(?:[ -]?\d{4}){3}(?:[ -]\d{3})?|\d{4}[ -]\d{6}[ -]\d{4,5}|[3-6]\d{12,18})(?![\p{L}\p{N}])",
     "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
     "ip": rf"(?<![\p{{L}}\p{{N}}.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?[\p{{L}}\p{{N}}])",
+    "phone": rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(_PHONES)})(?![\p{{L}}\p{{N}}])",
     "name": rf"(?<!\p{{L}})(?:{_TITLES['m']}|{_TITLES['f']})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?",
 }
 ANY = "|".join(PATTERNS.values())
 #: A text that this doesn't match has no entity; it is cheaper to look for.
-_HINT = rf"[0-9@]|(?:{_TITLES['m']}|{_TITLES['f']})\.? \p{{Lu}}"
+_HINT = rf"[0-9@]|:[A-Fa-f]{{0,4}}:|(?:{_TITLES['m']}|{_TITLES['f']})\.? \p{{Lu}}"
 _IS_TITLE = rf"^(?:{_TITLES['m']}|{_TITLES['f']})\.? "
 _LETTERS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "àáâäçèéêëìíîïñòóôöùúûü", "ÀÁÂÄÇÈÉÊËÌÍÎÏÑÒÓÔÖÙÚÛÜ", "абвгдежзийклмнопрстуфхцчшщыэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЫЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ")
 _SYLLABLES = {"latin": "ba be bo da de do fa fe ka ke la le li lo ma me mi na ne no ra re ri ro sa se ta te ti va ve vo".split(), "cyrillic": "ба бе бо да де до фа фе ка ке ла ле ли ло ма ме ми на не но ра ре ри ро са се та те ти ва ве во".split()}
@@ -45,9 +62,32 @@ _ENDS = {"latin": {"m": "n", "f": "na"}, "cyrillic": {"m": "н", "f": "на"}}
 WIDER, ATTEMPTS = 6, 30
 
 
-def entities(text: Column) -> Column:
-    """The entities of a text in order, as an array of strings."""
-    return F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
+def names_in(text: Column) -> Column:
+    """The values of the names with a title in a text, without repeats; null if there is none."""
+    found = F.regexp_extract_all(text, F.lit(PATTERNS["name"]), F.lit(0))
+    found = F.when(text.rlike(PATTERNS["name"]), F.array_distinct(F.transform(found, lambda raw: value_of(F.lit("name"), raw))))
+    return F.when(text.rlike(_HINT), found)
+
+
+def pattern_of(names: Column) -> Column:
+    """ANY and, without a title, the names, longer ones first; they are letters and spaces only."""
+    whole = F.transform(names, lambda v: F.substring(v, F.lit(3), F.length(v)))
+    every = F.array_distinct(F.concat(whole, F.flatten(F.transform(whole, lambda v: F.split(v, " ")))))
+    longest = F.transform(F.array_sort(F.transform(every, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda x: x["w"])
+    return F.concat(F.lit(ANY + r"|(?<!\p{L})(?:"), F.array_join(longest, "|"), F.lit(r")(?!\p{L})"))
+
+
+def entities(text: Column, names: Column) -> Column:
+    """The entities of a text in order, as an array of strings; names as by names_in."""
+    found = F.when(names.isNull(), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(F.regexp_extract_all(text, pattern_of(names), F.lit(0)))
+    return F.when(text.rlike(_HINT), found)
+
+
+def meant(raw: Column, names: Column) -> Column:
+    """The first of the names that raw, without a title, is the whole or else a word of; null if there is none."""
+    whole = F.filter(names, lambda v: F.substring(v, F.lit(3), F.length(v)) == raw)
+    word = F.filter(names, lambda v: F.array_contains(F.split(F.substring(v, F.lit(3), F.length(v)), " "), raw))
+    return F.coalesce(F.get(whole, F.lit(0)), F.get(word, F.lit(0)))
 
 
 def kind_of(raw: Column) -> Column:
@@ -61,7 +101,7 @@ def value_of(kind: Column, raw: Column) -> Column:
     """What an entity means, however it is written."""
     digits = F.regexp_replace(raw, r"[^A-Z0-9]", "")
     name = F.concat(F.when(raw.rlike(rf"^(?:{_TITLES['f']})\.? "), "f ").otherwise("m "), F.regexp_replace(raw, _IS_TITLE, ""))
-    return F.when(kind.isin("email", "secret"), F.lower(raw)).when(kind == "name", name).when(kind == "ip", raw).otherwise(digits)
+    return F.when(kind.isin("email", "secret", "ip6"), F.lower(raw)).when(kind == "name", name).when(kind == "ip", raw).otherwise(digits)
 
 
 def _noise(key: str, kind: Column, value: Column, attempt: Column) -> Column:
@@ -80,7 +120,7 @@ def _scrambled(text: Column, noise: Column, hexadecimal: bool = False) -> Column
     def one(c: Column, i: Column) -> Column:
         n = _number(noise, i)
         if hexadecimal:
-            return F.substring(F.lit("0123456789abcdef"), n % 16 + 1, F.lit(1))
+            return F.when(c.rlike("[0-9a-f]"), F.substring(F.lit("0123456789abcdef"), n % 16 + 1, F.lit(1))).otherwise(c)
         out = c
         for letters in _LETTERS:
             out = F.when(F.instr(F.lit(letters), c) > 0, F.substring(F.lit(letters), n % len(letters) + 1, F.lit(1))).otherwise(out)
@@ -128,6 +168,8 @@ def surrogate_value(key: str, kind: Column, value: Column, attempt: Column) -> C
         check = (10 - _luhn(F.concat(card, F.lit("0"))) % 10) % 10
         card = F.when(_luhn(value) % 10 == 0, F.concat(card, check.cast("string"))).otherwise(digits)
         ip = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_number(noise, i) % 254 + 1).cast("string")), ".")
+        ip6 = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.substring(noise, i * 4 + 1, F.lit(4))), ":")
+        ip6 = F.when(long | value.contains("."), ip6).otherwise(_scrambled(value, noise, True))
         # The country code of a phone number stands in its first digit.
         phone = F.concat(F.substring(value, 1, 1), F.substring(digits, F.lit(2), F.length(digits)))
         iban = F.concat(F.substring(value, 1, 2), F.substring(digits, F.lit(3), F.length(digits)))
@@ -136,6 +178,7 @@ def surrogate_value(key: str, kind: Column, value: Column, attempt: Column) -> C
             .when(kind == "secret", _scrambled(value, noise, True))
             .when(kind == "card", card)
             .when(kind == "ip", ip)
+            .when(kind == "ip6", ip6)
             .when(kind == "phone", phone)
             .when(kind == "iban", iban)
             .when(kind == "name", _name(value, noise, long))
@@ -153,12 +196,15 @@ def _filled(raw: Column, value: Column) -> Column:
     return F.when(F.length(places) == F.length(raw), value).otherwise(filled)
 
 
-def written(kind: Column, raw: Column, value: Column) -> Column:
-    """A surrogate value in the format of the entity that it replaces."""
+def written(kind: Column, raw: Column, value: Column, own: Column) -> Column:
+    """A surrogate value in the format of the entity that it replaces, whose own value is own."""
     upper = (kind == "secret") & raw.rlike("[A-F]")
     initial = F.when((kind == "email") & (F.lower(raw) != raw), F.when(F.upper(raw) == raw, F.upper(value)).otherwise(F.concat(F.upper(F.substring(value, 1, 1)), F.substring(value, F.lit(2), F.length(value))))).otherwise(value)
     name = F.concat(F.regexp_extract(raw, _IS_TITLE, 0), F.substring(value, F.lit(3), F.length(value)))
-    return F.when(kind == "name", name).when(upper, F.upper(value)).when(kind.isin("email", "secret", "ip"), initial).otherwise(_filled(raw, value))
+    # A word of a name, without a title, is the same word of the surrogate.
+    nth = F.array_position(F.split(F.substring(own, F.lit(3), F.length(own)), " "), raw).cast("int")
+    name = F.when(nth > 0, F.get(F.split(F.substring(value, F.lit(3), F.length(value)), " "), nth - 1)).otherwise(name)
+    return F.when(kind == "name", name).when(upper, F.upper(value)).when(kind.isin("email", "secret", "ip"), initial).when(kind == "ip6", F.when(F.lower(raw) != raw, F.upper(value)).otherwise(value)).otherwise(_filled(raw, value))
 
 
 def assignments(values: DataFrame, key: str) -> DataFrame:
@@ -182,14 +228,15 @@ def assignments(values: DataFrame, key: str) -> DataFrame:
 
 def replace(docs: DataFrame, key: str = "threadlake", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the entities of text_col replaced; a column n_entities is added."""
-    rows = docs.withColumn("__text", F.col(text_col).cast("string")).withColumn("__sum", F.xxhash64("__text"))
-    found = rows.select(F.col(id_col).alias("id"), F.col("__sum").alias("sum"), entities(F.col("__text")).alias("e")).filter("size(e) > 0").distinct()
-    found = durable(found, "entities").select("id", "sum", F.posexplode("e").alias("n", "raw")).withColumn("kind", kind_of(F.col("raw")))
-    found = found.withColumn("value", value_of(F.col("kind"), F.col("raw")))
+    rows = docs.withColumn("__text", F.col(text_col).cast("string")).withColumn("__sum", F.xxhash64("__text")).withColumn("__names", names_in(F.col("__text")))
+    found = rows.select(F.col(id_col).alias("id"), F.col("__sum").alias("sum"), entities(F.col("__text"), F.col("__names")).alias("e"), F.col("__names").alias("names")).filter("size(e) > 0").distinct()
+    found = durable(found, "entities").select("id", "sum", "names", F.posexplode("e").alias("n", "raw")).withColumn("kind", kind_of(F.col("raw")))
+    untitled = F.when((F.col("kind") == "name") & ~F.col("raw").rlike(_IS_TITLE), meant(F.col("raw"), F.col("names")))
+    found = found.withColumn("value", F.coalesce(untitled, value_of(F.col("kind"), F.col("raw"))))
     known = assignments(found, key)
-    new = found.join(known, ["kind", "value"]).select("id", "sum", F.struct("n", written(F.col("kind"), F.col("raw"), F.col("surrogate")).alias("s")).alias("x"))
+    new = found.join(known, ["kind", "value"]).select("id", "sum", F.struct("n", written(F.col("kind"), F.col("raw"), F.col("surrogate"), F.col("value")).alias("s")).alias("x"))
     new = new.groupBy("id", "sum").agg(F.array_sort(F.collect_list("x"))["s"].alias("__new"))
     joined = rows.join(new.withColumnsRenamed({"id": "__id", "sum": "__key"}), (F.col(id_col).eqNullSafe(F.col("__id"))) & (F.col("__sum") == F.col("__key")), "left")
-    stitched = let(F.split("__text", ANY, -1), lambda gaps: F.array_join(F.flatten(F.zip_with(gaps, F.col("__new"), lambda g, s: F.array(g, F.coalesce(s, F.lit(""))))), ""))
+    stitched = let(F.when(F.col("__names").isNull(), F.split("__text", ANY, -1)).otherwise(F.split("__text", pattern_of(F.col("__names")), -1)), lambda gaps: F.array_join(F.flatten(F.zip_with(gaps, F.col("__new"), lambda g, s: F.array(g, F.coalesce(s, F.lit(""))))), ""))
     out = joined.withColumn(text_col, F.when(F.col("__new").isNull(), F.col("__text")).otherwise(stitched))
-    return out.withColumn("n_entities", F.greatest(F.size(F.coalesce("__new", F.array())), F.lit(0))).drop("__text", "__sum", "__new", "__id", "__key")
+    return out.withColumn("n_entities", F.greatest(F.size(F.coalesce("__new", F.array())), F.lit(0))).drop("__text", "__sum", "__names", "__new", "__id", "__key")
