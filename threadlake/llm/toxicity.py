@@ -2,13 +2,16 @@
 
 Confirmed toxic documents are the positive sample P; a sample U of all training documents, whatever their labels, is
 the unlabelled one. A logistic model minimises the risk  prior * R+(P) + max(0, R-(U) - prior * R-(P)),  the estimator
-of Kiryo and others (2017); while the second part is negative, its gradient is followed upwards. Its inputs are
-beginnings of words, of FIRST_LENGTH to LAST_LENGTH letters, and whole words, in lower case, each counted once in a
-document.
+of Kiryo and others (2017); while the second part is negative, its gradient is followed upwards. Its inputs are words in
+lower case, digits and masks inside them included, and their beginnings of PREFIXES letters, each counted once in a
+document; words of scripts without spaces give their pairs of characters too. An L1 and an L2 penalty choose and shrink
+the weights, of both signs.
 
 The sizes of both samples and of the feature set are parameters (max_positive, max_unlabelled, max_features): rows with
-the lowest hash of their id are taken, so that more rows do not change the size of what is collected. The class prior
-is the share of toxic rows among all training labels. Scoring reads every whole text.
+the lowest hash of their id are taken, so that more rows do not change the size of what is collected, and the features
+whose shares in the two samples differ most by their standard error, in either direction. The class prior is the share of
+toxic rows among all training labels, which takes the labelled rows for a random sample of all. Scoring reads every
+whole text.
 
 Results: a null or empty text gets the score of a text without any feature; without positive labels all scores are 0;
 a document labelled twice is toxic if one label says so; rows with a null id are scored, and never train; repeated rows
@@ -17,7 +20,6 @@ are each scored; other columns are not read.
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
@@ -25,15 +27,16 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from threadlake.llm.packed import parts
 from threadlake.llm.storage import durable
 
-FIRST_LENGTH, LAST_LENGTH = 4, 8
-#: How near a kept feature comes to the log ratio of one that only toxic texts have.
-PURITY = 0.86
-_WORD = regex.compile(r"\p{L}{2,}").findall
-_CACHE = 300_000
+PREFIXES = (5, 7, 9, 11)
+_PIECES = regex.compile(r"[\p{L}\p{N}\p{M}@$!*'-]+").findall
+_UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]").search
+#: Words whose features a task remembers; longer ones are read anew each time.
+_CACHE, _CACHED_LENGTH = 100_000, 40
 
 
 def held_out(id_col: str = "doc_id"):
@@ -41,28 +44,37 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def word_features(word: str) -> list[int]:
-    return [crc32(word[:n].encode("utf-8", "surrogatepass")) for n in range(FIRST_LENGTH, min(LAST_LENGTH, len(word)) + 1)] + [crc32(f"{word}$".encode("utf-8", "surrogatepass"))]
+def word_features(token: str) -> list[int]:
+    """Of a run of characters between spaces, in lower case."""
+    found = []
+    for piece in _PIECES(token):
+        if word := piece.strip("@$!*'-"):
+            found += [f"{word}$"] + [word[:n] for n in PREFIXES if n < len(word)]
+            if _UNSPACED(word):
+                found += [f"{word[i : i + 2]}~" for i in range(len(word) - 1)]
+    return [crc32(f.encode("utf-8", "surrogatepass")) for f in found]
 
 
 class _Features(dict):
-    """Features of a word, of those in keep if it is given."""
+    """Features of a token, of those in keep if it is given."""
 
     def __init__(self, keep: dict[int, int] | None = None):
         super().__init__()
         self.keep = keep
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= _CACHE:
-            self.clear()
-        every = word_features(word)
-        self[word] = found = tuple(every if self.keep is None else (self.keep[f] for f in every if f in self.keep))
+    def __missing__(self, token: str) -> tuple[int, ...]:
+        every = word_features(token)
+        found = tuple(every if self.keep is None else (self.keep[f] for f in every if f in self.keep))
+        if len(token) <= _CACHED_LENGTH:
+            if len(self) >= _CACHE:
+                self.clear()
+            self[token] = found
         return found
 
     def of(self, text: str | None) -> list[int]:
         found: set[int] = set()
-        for word in set(_WORD((text or "").lower())):
-            if f := self[word]:
+        for token in set((text or "").lower().split()):
+            if f := self[token]:
                 found.update(f)
         return sorted(found)
 
@@ -88,8 +100,9 @@ def _counted(sample: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, seen = _Features(), (Counter(), Counter())
         for batch in batches:
-            for positive, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen[positive].update(features.of(text))
+            for part in parts(batch, 1):
+                for positive, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    seen[positive].update(features.of(text))
         for positive in (0, 1):
             keys, values = list(seen[positive]), list(seen[positive].values())
             zero = [0] * len(keys)
@@ -100,10 +113,11 @@ def _counted(sample: DataFrame) -> DataFrame:
     return part.groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
 
 
-def fit_weights(rows: list[list[int]], positive: np.ndarray, width: int, prior: float, rounds: int = 400, l2: float = 5e-4) -> np.ndarray:
-    """Weights and, last, the bias that minimise the non-negative risk; full-batch Adam from zero."""
+def fit_weights(rows: list[np.ndarray], positive: np.ndarray, width: int, prior: float, rounds: int = 400, l1: float = 3e-4, l2: float = 2e-3) -> np.ndarray:
+    """Weights and, last, the bias that minimise the non-negative risk and the penalties; full-batch proximal Adam from
+    zero."""
     lengths = np.array([len(r) for r in rows])
-    cols = np.fromiter((f for r in rows for f in r), np.int64, lengths.sum())
+    cols = np.concatenate(rows).astype(np.int64)
     row_of = np.repeat(np.arange(len(rows)), lengths)
     w, m, v = np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1)
     w[-1] = np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
@@ -118,7 +132,9 @@ def fit_weights(rows: list[list[int]], positive: np.ndarray, width: int, prior:
         g = np.append(np.bincount(cols, d[row_of], width), d.sum())
         g[:-1] += l2 * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        scale = np.sqrt(v / (1 - 0.99**t)) + 1e-8
+        w -= 0.05 * (m / (1 - 0.9**t)) / scale
+        w[:-1] = np.sign(w[:-1]) * np.maximum(np.abs(w[:-1]) - 0.05 * l1 / scale[:-1], 0)
     return w
 
 
@@ -131,59 +147,53 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", max_positive
     n_p, n_u = sizes.get(1, 0), sizes.get(0, 0)
     if not n_p or not n_u:
         return None
-    ratio = F.log((F.col("p") + 0.5) / (n_p + 1)) - F.log((F.col("u") + 0.5) / (n_u + 1))
-    # A feature of toxic texts alone has the ratio log(1 / prior), as U holds toxic texts too.
-    strong = _counted(sample).filter(F.col("p") >= 3).withColumn("ratio", ratio).filter(F.col("ratio") > PURITY * math.log(1 / prior))
-    kept = strong.orderBy(F.desc(F.col("ratio") * F.sqrt(F.col("p") + F.col("u"))), "feature").limit(max_features)
+    share = (F.col("p") + F.col("u")) / (n_p + n_u)
+    apart = F.abs(F.col("p") / n_p - F.col("u") / n_u) / F.sqrt(share * (1 - share) * (1 / n_p + 1 / n_u))
+    known = _counted(sample).filter((F.col("p") + F.col("u") >= 3) & (F.col("p") + F.col("u") < n_p + n_u))
+    kept = known.orderBy(F.desc(apart), "feature").limit(max_features)
     places = {r["feature"]: n for n, r in enumerate(kept.select("feature").collect())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = _Features(places)
         for batch in batches:
-            found = [features.of(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["positive", "features"])
+            for part in parts(batch, 1):
+                found = [features.of(t) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int32()))], ["positive", "features"])
 
-    rows = sample.mapInArrow(run, "positive int, features array<int>").collect()  # bounded by both sample sizes
-    rows.sort(key=lambda r: (r["positive"], r["features"]))  # sums in one order, whatever the partitions
-    return places, fit_weights([r["features"] for r in rows], np.array([r["positive"] for r in rows], float), len(places), prior)
+    rows = sample.mapInArrow(run, "positive int, features array<int>").toArrow().combine_chunks()  # bounded by both sample sizes
+    lists = rows.column("features").combine_chunks()
+    flat, bounds = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    rows = zip(rows.column("positive").to_pylist(), (flat[a:b] for a, b in zip(bounds[:-1], bounds[1:])))
+    rows = sorted(rows, key=lambda r: (r[0], r[1].tobytes()))  # sums in one order, whatever the partitions
+    return places, fit_weights([r[1] for r in rows], np.array([r[0] for r in rows], float), len(places), prior)
 
 
-def score(docs: DataFrame, model: tuple[dict[int, int], np.ndarray] | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) of every whole text."""
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
+def scorer(model: tuple[dict[int, int], np.ndarray] | None, docs: DataFrame, text: Column) -> Column:
+    """The score of a text column of docs; only it goes to Python, and only numbers come back."""
     if model is None:
-        return rows.select(id_col, F.lit(0.0).alias("score"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+        return F.lit(0.0)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # max_features weights at most
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         places, weights = shared.value
         features = _Features(places)
-        for batch in batches:
-            z = np.array([weights[features.of(t)].sum() + weights[-1] for t in batch.column(1).to_pylist()], float)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], [id_col, "score"])
+        for every in texts:
+            z = [weights[features.of(t)].sum() + weights[-1] for part in parts(pa.RecordBatch.from_arrays([every], ["text"]), 0) for t in part.column(0).to_pylist()]
+            yield pa.array(1 / (1 + np.exp(-np.clip(np.array(z, float), -30, 30))))
 
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, score double")
+    return score(text)
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", threshold: float = 0.3) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """(id, held_out, score, predicted) of every document."""
-    scored = score(docs, fit(docs, labels, id_col), id_col)
+    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
+    scored = rows.select(id_col, scorer(fit(rows, labels, id_col), rows, F.col("text")).alias("score"))
     return scored.select(id_col, held_out(id_col).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """docs, with all their columns, less those scored at threshold or above; one pass, without a join."""
-    model = fit(docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")), labels, id_col)
-    if model is None:
-        return docs
-    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
-    least = math.log(threshold / (1 - threshold))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, weights = shared.value
-        features = _Features(places)
-        for batch in batches:
-            keep = [bool(weights[features.of(t)].sum() + weights[-1] < least) for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    text = F.col(text_col).cast("string")
+    model = fit(docs.select(F.col(id_col), text.alias("text")), labels, id_col)
+    return docs if model is None else docs.filter(scorer(model, docs, text) < threshold)
