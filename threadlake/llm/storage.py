@@ -11,9 +11,11 @@ _KEY = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; only where it is unset (tests, one machine), a new local folder."""
+    """The session's spark.checkpoint.dir; only where it is unset and one machine does all, a new local folder."""
     found = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{_KEY} must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set(_KEY, found)
     return found.rstrip("/")
@@ -24,3 +26,14 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/threadlake/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete what `durable` wrote for tables that nothing reads any more; tables from elsewhere are left alone."""
+    for table in tables:
+        spark = table.sparkSession
+        root = f"{shared_dir(spark)}/threadlake/"
+        for path in {file[: file.rindex("/")] for file in table.inputFiles()}:
+            if path.removeprefix("file:").lstrip("/").startswith(root.removeprefix("file:").lstrip("/")):
+                folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+                folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
