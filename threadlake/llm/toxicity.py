@@ -22,7 +22,6 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +32,11 @@ from threadlake.llm.packed import parts
 from threadlake.llm.storage import durable
 
 PREFIXES = (5, 7, 9, 11)
+_EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„‘’…–—¿¡"
 _PIECES = regex.compile(r"[\p{L}\p{N}\p{M}@$!*'-]+").findall
 _UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]").search
-#: Words whose features a task remembers; longer ones are read anew each time.
-_CACHE, _CACHED_LENGTH = 100_000, 40
+#: Words whose features a task remembers, and features that it counts before it hands them on.
+_CACHE, _COUNTED, _CACHED_LENGTH = 50_000, 200_000, 40
 
 
 def held_out(id_col: str = "doc_id"):
@@ -44,35 +44,36 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
-def word_features(token: str) -> list[int]:
+def word_features(token: str) -> list[str]:
     """Of a run of characters between spaces, in lower case."""
+    word = token.strip(_EDGE)
     found = []
-    for piece in _PIECES(token):
+    for piece in [word] if word.isalnum() else _PIECES(word):
         if word := piece.strip("@$!*'-"):
-            found += [f"{word}$"] + [word[:n] for n in PREFIXES if n < len(word)]
-            if _UNSPACED(word):
+            found.append(f"{word}$")
+            found += [word[:n] for n in PREFIXES if n < len(word)]
+            if not word.isascii() and _UNSPACED(word):
                 found += [f"{word[i : i + 2]}~" for i in range(len(word) - 1)]
-    return [crc32(f.encode("utf-8", "surrogatepass")) for f in found]
+    return found
 
 
 class _Features(dict):
-    """Features of a token, of those in keep if it is given."""
+    """Features of a token, or with places the places of those in it."""
 
-    def __init__(self, keep: dict[int, int] | None = None):
+    def __init__(self, places: dict[str, int] | None = None):
         super().__init__()
-        self.keep = keep
-
-    def __missing__(self, token: str) -> tuple[int, ...]:
-        every = word_features(token)
-        found = tuple(every if self.keep is None else (self.keep[f] for f in every if f in self.keep))
-        if len(token) <= _CACHED_LENGTH:
-            if len(self) >= _CACHE:
-                self.clear()
+        self.places = places
+
+    def __missing__(self, token: str) -> tuple:
+        found = tuple(word_features(token))
+        if self.places is not None:
+            found = tuple(self.places[f] for f in found if f in self.places)
+        if len(self) < _CACHE and len(token) <= _CACHED_LENGTH:
             self[token] = found
         return found
 
-    def of(self, text: str | None) -> list[int]:
-        found: set[int] = set()
+    def of(self, text: str | None) -> list:
+        found = set()
         for token in set((text or "").lower().split()):
             if f := self[token]:
                 found.update(f)
@@ -99,17 +100,23 @@ def _counted(sample: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, seen = _Features(), (Counter(), Counter())
+
+        def flush(positive: int) -> pa.RecordBatch:
+            keys, n = list(seen[positive]), pa.array(list(seen[positive].values()), pa.int64())
+            seen[positive].clear()
+            zero = pa.array(np.zeros(len(keys), np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *((n, zero) if positive else (zero, n))], ["feature", "p", "u"])
+
         for batch in batches:
             for part in parts(batch, 1):
                 for positive, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     seen[positive].update(features.of(text))
+                    if len(seen[positive]) > _COUNTED:
+                        yield flush(positive)
         for positive in (0, 1):
-            keys, values = list(seen[positive]), list(seen[positive].values())
-            zero = [0] * len(keys)
-            p, u = (values, zero) if positive else (zero, values)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(p, pa.int64()), pa.array(u, pa.int64())], ["feature", "p", "u"])
+            yield flush(positive)
 
-    part = sample.mapInArrow(run, "feature long, p long, u long")
+    part = sample.mapInArrow(run, "feature string, p long, u long")
     return part.groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
 
 
@@ -138,7 +145,7 @@ def fit_weights(rows: list[np.ndarray], positive: np.ndarray, width: int, prior:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", max_positive: int = 6_000, max_unlabelled: int = 18_000, max_features: int = 4_000) -> tuple[dict[int, int], np.ndarray] | None:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", max_positive: int = 6_000, max_unlabelled: int = 18_000, max_features: int = 4_000) -> tuple[dict[str, int], np.ndarray] | None:
     """The features kept, by their place, and the weights; None without positive labels."""
     sample, prior, positives = _training(docs, labels, id_col, max_positive, max_unlabelled)
     if not positives:
@@ -168,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", max_positive
     return places, fit_weights([r[1] for r in rows], np.array([r[0] for r in rows], float), len(places), prior)
 
 
-def scorer(model: tuple[dict[int, int], np.ndarray] | None, docs: DataFrame, text: Column) -> Column:
+def scorer(model: tuple[dict[str, int], np.ndarray] | None, docs: DataFrame, text: Column) -> Column:
     """The score of a text column of docs; only it goes to Python, and only numbers come back."""
     if model is None:
         return F.lit(0.0)
