@@ -44,7 +44,7 @@ CELL = 4096
 BITS, COUNTERS = 1024, 1 << 20
 _EPS = 1e-9
 _SEED = np.uint64(0xA24BAED4963EE407)
-_SLICE_BYTES = 4 << 20
+_SLICE_BYTES = 1 << 20
 
 
 def bags(words: Words, hashes: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
