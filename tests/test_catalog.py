@@ -25,7 +25,7 @@ def con():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_same_as_sql(spark, con, name):
     df, rel = catalog.QUERIES[name](spark, D), con.sql(catalog.ORACLES[name])
     names = sorted(df.columns)

@@ -2,26 +2,23 @@
 
 from threadlake.plans.statements import oracle, spark_query
 
-#: Rank floor(n * p / 100), at most n - 1, in order of value. Counts by whole value find the bucket in which a rank
-#: lies, and only that bucket's rows are ordered, so an operation with a third of all rows is not one task's.
-PERCENTILES = """WITH b AS (SELECT operation, CAST(floor(duration_ms) AS BIGINT) AS bucket, count(*) AS n, min(duration_ms) AS low, max(duration_ms) AS high FROM metrics GROUP BY operation, CAST(floor(duration_ms) AS BIGINT)),
-    c AS (SELECT operation, bucket, n, sum(n) OVER (PARTITION BY operation ORDER BY bucket) - n AS before, sum(n) OVER (PARTITION BY operation) AS total FROM b),
-    w AS (SELECT c.operation, c.bucket, c.before, p.p, least(CAST(floor(c.total * p.p / 100) AS BIGINT), c.total - 1) AS place
-          FROM c JOIN (SELECT 50 AS p UNION ALL SELECT 90 UNION ALL SELECT 95 UNION ALL SELECT 99) p
-          ON least(CAST(floor(c.total * p.p / 100) AS BIGINT), c.total - 1) >= c.before AND least(CAST(floor(c.total * p.p / 100) AS BIGINT), c.total - 1) < c.before + c.n),
-    r AS (SELECT m.operation, m.duration_ms, CAST(floor(m.duration_ms) AS BIGINT) AS bucket, row_number() OVER (PARTITION BY m.operation, CAST(floor(m.duration_ms) AS BIGINT) ORDER BY m.duration_ms) - 1 AS k
-          FROM metrics m WHERE EXISTS (SELECT 1 FROM w WHERE w.operation = m.operation AND w.bucket = CAST(floor(m.duration_ms) AS BIGINT))),
-    v AS (SELECT w.operation, w.p, r.duration_ms FROM w JOIN r ON w.operation = r.operation AND w.bucket = r.bucket AND w.place - w.before = r.k),
-    e AS (SELECT operation, min(low) AS low, max(high) AS high, CAST(sum(n) AS BIGINT) AS n FROM b GROUP BY operation)
-    SELECT e.operation, e.n, e.low, e.high, max(CASE WHEN v.p = 50 THEN v.duration_ms END) AS p50, max(CASE WHEN v.p = 90 THEN v.duration_ms END) AS p90,
-    max(CASE WHEN v.p = 95 THEN v.duration_ms END) AS p95, max(CASE WHEN v.p = 99 THEN v.duration_ms END) AS p99, max(CASE WHEN v.p = 90 THEN v.duration_ms END) <= 200 AS slo_met
-    FROM e JOIN v ON e.operation = v.operation GROUP BY e.operation, e.n, e.low, e.high"""
+#: Rank floor(n * p / 100), at most n - 1, in order of value. Equal values are counted first, in the tasks, so that the
+#: running sums only see different values; an operation of the list that has no rows gives zeros and meets its target.
+PERCENTILES = """WITH v AS (SELECT operation, duration_ms, count(*) AS n FROM metrics GROUP BY operation, duration_ms),
+    c AS (SELECT operation, duration_ms, sum(n) OVER (PARTITION BY operation ORDER BY duration_ms) - n AS before, n, sum(n) OVER (PARTITION BY operation) AS total FROM v),
+    w AS (SELECT operation, duration_ms, before, before + n AS upto, total, CAST(floor(total * 50 / 100) AS BIGINT) AS r50, least(CAST(floor(total * 90 / 100) AS BIGINT), total - 1) AS r90,
+          least(CAST(floor(total * 95 / 100) AS BIGINT), total - 1) AS r95, least(CAST(floor(total * 99 / 100) AS BIGINT), total - 1) AS r99 FROM c),
+    p AS (SELECT operation, CAST(max(total) AS BIGINT) AS n, min(duration_ms) AS low, max(duration_ms) AS high, max(CASE WHEN r50 >= before AND r50 < upto THEN duration_ms END) AS p50, max(CASE WHEN r90 >= before AND r90 < upto THEN duration_ms END) AS p90,
+          max(CASE WHEN r95 >= before AND r95 < upto THEN duration_ms END) AS p95, max(CASE WHEN r99 >= before AND r99 < upto THEN duration_ms END) AS p99 FROM w GROUP BY operation),
+    o AS (SELECT 'click' AS operation UNION ALL SELECT 'error' UNION ALL SELECT 'purchase' UNION ALL SELECT 'signup' UNION ALL SELECT 'view' UNION ALL SELECT 'never_seen')
+    SELECT o.operation, coalesce(n, 0) AS n, coalesce(low, 0e0) AS low, coalesce(high, 0e0) AS high, coalesce(p50, 0e0) AS p50, coalesce(p90, 0e0) AS p90, coalesce(p95, 0e0) AS p95, coalesce(p99, 0e0) AS p99, coalesce(p90 <= 200, true) AS slo_met
+    FROM o LEFT JOIN p ON o.operation = p.operation"""
 
 BODIES = {
     "latency_percentiles": PERCENTILES,
     "metric_summary": "SELECT operation, count(*) AS n, floor(avg(duration_ms) * 10 + 0.5e0) / 10 AS mean, min(duration_ms) AS least, max(duration_ms) AS most FROM metrics GROUP BY operation",
     "metric_window": "WITH newest AS (SELECT max(at_s) AS at_s FROM metrics) SELECT m.id, m.operation FROM metrics m JOIN newest ON m.at_s > newest.at_s - 604800",
-    "metric_retention": """SELECT operation, id FROM (SELECT operation, id, row_number() OVER (PARTITION BY operation, user_id ORDER BY at_s DESC, id DESC) AS r FROM metrics) t WHERE r <= 5""",
+    "metric_retention": """SELECT operation, id FROM (SELECT operation, id, row_number() OVER (PARTITION BY operation ORDER BY at_s DESC, id DESC) AS r FROM metrics WHERE at_s > (SELECT max(at_s) - 604800 FROM metrics)) t WHERE r <= 500""",
     "capture_health": """WITH r AS (SELECT id, user_id, operation, row_number() OVER (PARTITION BY user_id ORDER BY at_s DESC, id DESC) AS r FROM metrics)
         SELECT user_id, count(*) AS n, floor(avg(CASE WHEN operation <> 'error' THEN 1e2 ELSE 0e0 END) * 10 + 0.5e0) / 10 AS success,
         count(*) >= 8 AND avg(CASE WHEN operation <> 'error' THEN 1e0 ELSE 0e0 END) < 0.6e0 AS alert FROM r WHERE r <= 20 GROUP BY user_id""",
@@ -34,7 +31,7 @@ BODIES = {
         SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.month, b.month) AS month, greatest(coalesce(a.n, 0), coalesce(b.n, 0)) AS n
         FROM a FULL OUTER JOIN b ON a.user_id = b.user_id AND a.month = b.month""",
     "limits_reached": """WITH u AS (SELECT user_id, month, count(*) AS used FROM metrics WHERE operation = 'purchase' GROUP BY user_id, month)
-        SELECT user_id, month, used, used >= 8 AS blocked, greatest(0, 8 - used) AS remaining FROM u""",
+        SELECT user_id, month, used, used >= 8 AS over_limit, true AS allowed, CASE WHEN used >= 8 THEN 999 ELSE 8 - used END AS remaining FROM u""",
     "user_plans": """WITH latest AS (SELECT user_id, status, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN status = 'F' THEN 1 ELSE 0 END, created_at DESC, id DESC) AS r FROM subscriptions),
         used AS (SELECT user_id, count(*) AS n FROM metrics GROUP BY user_id)
         SELECT u.user_id, coalesce(l.status, 'free') AS plan, coalesce(d.n, 0) AS used FROM users u LEFT JOIN latest l ON u.user_id = l.user_id AND l.r = 1 LEFT JOIN used d ON u.user_id = d.user_id""",

@@ -93,7 +93,7 @@ BODIES = {
     "keyword_counts": "SELECT session_id, message_index, CAST((length(lower(content)) - length(replace(lower(content), 'the', ''))) / 3 AS BIGINT) AS n FROM messages",
     "merged_snapshots": """WITH a AS (SELECT session_id, count(*) AS n FROM messages WHERE message_index < 5 GROUP BY session_id),
         b AS (SELECT session_id, count(*) AS n FROM messages WHERE message_index % 2 = 0 GROUP BY session_id)
-        SELECT coalesce(a.session_id, b.session_id) AS session_id, CASE WHEN coalesce(b.n, 0) > coalesce(a.n, 0) THEN 'new' ELSE 'old' END AS kept,
+        SELECT coalesce(a.session_id, b.session_id) AS session_id, CASE WHEN b.n IS NOT NULL AND b.n >= coalesce(a.n, 0) THEN 'new' ELSE 'old' END AS kept,
         greatest(coalesce(a.n, 0), coalesce(b.n, 0)) AS n FROM a FULL OUTER JOIN b ON a.session_id = b.session_id""",
 }
 
