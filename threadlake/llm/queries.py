@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from threadlake.llm import bpe, decontamination, near_duplicates, perplexity, rules, sql, substrings, surrogates, token_counts, toxicity
+from threadlake.llm.storage import short_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
