@@ -10,16 +10,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from threadlake.llm import bpe, decontamination, near_duplicates, surrogates, toxicity
 from threadlake.llm.queries import word_vocabulary
-from threadlake.llm.storage import durable
+from threadlake.llm.storage import durable, short_batches
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents scored as toxic."""
+    short_batches(spark)
     return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates."""
+    short_batches(spark)
     gone = near_duplicates.near_duplicates(docs).filter("NOT kept").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
@@ -40,6 +42,7 @@ def surrogates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, and digests of them and of the text decoded from them."""
+    short_batches(spark)
     coded = bpe.decode(bpe.encode(docs, word_vocabulary()), word_vocabulary())
     return coded.select(
         "doc_id",
