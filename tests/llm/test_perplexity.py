@@ -45,20 +45,20 @@ class Brute:
         return math.exp(-sum(found) / len(found)) if found else None
 
 
-def test_same_as_brute_force_by_both_ways(spark):
+def test_same_as_brute_force_in_blocks_of_any_size(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("n_chars < 3000")
     texts = [r.text for r in docs.orderBy("doc_id").limit(40).collect()]
-    brute = Brute(texts[:25])
-    model = perplexity.train(spark.createDataFrame([(t,) for t in texts[:25]], "text string"))
-    rows = [(i, "en", t) for i, t in enumerate([*texts, "", "éèü 日本", "zq" * 2000])] + [(None, "x", "abc"), (7, "en", texts[7]), (900, "en", None)]
-    table = spark.createDataFrame(rows, "id long, lang string, text string")
-    for most in (10**9, 0):
-        got = perplexity.perplexities(table, model, most).collect()
+    brute = [Brute(texts[:25]), Brute(texts[25:])]
+    model = perplexity.train(spark.createDataFrame([(int(n >= 25), t) for n, t in enumerate(texts)], "model long, text string"))
+    rows = [(i, "en", t, i % 2) for i, t in enumerate([*texts, "", "éèü 日本", "zq" * 2000, texts[3] * 200])] + [(None, "x", "abc", 0), (7, "en", texts[7], 1), (900, "en", None, 1)]
+    table = spark.createDataFrame(rows, "id long, lang string, text string, model long")
+    for size in (1 << 25, 1 << 14):
+        got = perplexity.perplexities(table, model, size).collect()
         assert len(got) == len(rows)
         for r in got:
-            text = "abc" if r.id is None else "" if r.id == 900 else rows[r.id][2]
-            want = brute.perplexity(text)
-            assert (r.perplexity is None) == (want is None) and (want is None or math.isclose(r.perplexity, want, rel_tol=1e-9)), (most, r)
+            text, m = ("abc", 0) if r.id is None else (None, 1) if r.id == 900 else (rows[r.id][2], r.id % 2)
+            want = brute[m].perplexity(text) if text else None
+            assert (r.perplexity is None) == (want is None) and (want is None or math.isclose(r.perplexity, want, rel_tol=1e-9)), (size, r)
 
 
 def test_held_out_junk_goes_and_clean_texts_stay(spark):
@@ -66,7 +66,7 @@ def test_held_out_junk_goes_and_clean_texts_stay(spark):
     other = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
     rows = perplexity.classify(docs, labels.filter("quality = 1").filter(~other)).join(labels.filter(other), "doc_id").collect()
     good, bad = [r.kept for r in rows if r.quality == 1], [r.kept for r in rows if r.quality == 0]
-    assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.15 * len(bad), (sum(good), len(good), sum(bad), len(bad))
+    assert sum(good) >= 0.97 * len(good) and sum(bad) <= 0.1 * len(bad), (sum(good), len(good), sum(bad), len(bad))
 
 
 def test_empty_tables(spark):

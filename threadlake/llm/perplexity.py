@@ -1,13 +1,15 @@
-"""Quality by perplexity: an interpolated modified Kneser-Ney model of byte n-grams, trained on trusted texts.
-
-1. Every trusted text is counted: n-grams of ORDER bytes, summed in each task before the shuffle. The counts of lower
-   orders are numbers of different continuations to the left, counted from the order above.
-2. Discounts come from each order's counts of counts. Probabilities and back-off weights come from joins of the count
-   tables by context and by suffix, all sharded by n-gram.
-3. Every text is scored over all its bytes. A model of up to BROADCAST_ROWS rows goes to the tasks as hash tables;
-   a larger one is joined, sharded by n-gram, to each text's n-gram counts. Both give the same numbers.
-4. A text is kept if its perplexity lies between two quantiles of the trusted texts of its language, widened by SLACK;
-   a language with fewer than LEAST_TRUSTED trusted texts takes the quantiles of all of them.
+"""Quality by perplexity: interpolated modified Kneser-Ney models of byte n-grams, trained on trusted texts.
+
+1. Documents are dealt over FOLDS by their id. A document is scored by the model of the trusted texts of the other folds,
+   so that trusted texts, which set the limits, are judged like all others: by a model that has not seen them.
+2. Every trusted text is counted: n-grams of ORDER bytes, summed in each task before the shuffle. The counts of lower
+   orders are numbers of different continuations to the left, counted from the order above. Discounts come from each
+   order's counts of counts; probabilities and back-off weights from joins of the count tables, sharded by n-gram.
+3. Texts are dealt into blocks of some BLOCK_BYTES. The different n-grams of all blocks are looked up once each, by joins
+   sharded by n-gram, at every size in the same way. Each block gets the probabilities of its own n-grams back, and every
+   text of it is scored over all its bytes. Nothing of the model passes the driver or is broadcast.
+4. A text is kept if its perplexity lies between two quantiles of the trusted texts of its language, and
+   so are all but LOW + 1 - HIGH of texts like them; a language with fewer than LEAST_TRUSTED trusted texts takes the quantiles of all of them.
 
 Results: a null or empty text has no perplexity and isn't kept; without trusted texts every text with bytes is kept; a
 null language counts as the empty string; repeated rows are each scored; rows with a null id are scored and never
@@ -23,14 +25,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from threadlake.llm.packed import mix, parts
-from threadlake.llm.storage import durable
+from threadlake.llm.packed import parts
+from threadlake.llm.storage import durable, forget
 
-ORDER = 5
-BROADCAST_ROWS = 2_000_000
-LOW, HIGH, SLACK, LEAST_TRUSTED = 0.005, 0.995, 0.05, 50
+ORDER, FOLDS = 5, 2
+#: Text of a block; the languages whose limits are sent to all tasks, and the salts that spread more of them.
+BLOCK_BYTES, LANGUAGES, SALTS = 32 << 20, 10_000, 64
+LOW, HIGH, LEAST_TRUSTED = 0.01, 0.99, 50
 _MERGE = 1 << 21
 _UNIFORM = float(np.log(1 / 256))
+#: A key is the number of a model and the bytes of an n-gram.
+_BITS = 8 * ORDER
 
 
 def codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -52,182 +57,155 @@ def codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counted(docs: DataFrame) -> DataFrame:
-    """(gram, n) of the column text."""
+    """(model, gram, n) of (model, text), with the n-grams of ORDER bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, counts, size = [], [], 0
+        keys, counts, size = [], [], 0
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
-            keys, at = np.unique(np.concatenate(grams), return_inverse=True)
-            return keys, np.bincount(at, np.concatenate(counts), len(keys)).astype(np.int64)
+            found, at = np.unique(np.concatenate(keys), return_inverse=True)
+            return found, np.bincount(at, np.concatenate(counts), len(found)).astype(np.int64)
+
+        def out(found: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array((found >> np.uint64(_BITS)).astype(np.int64)), pa.array((found & np.uint64((1 << _BITS) - 1)).view(np.int64)), pa.array(n)], ["model", "gram", "n"])
 
         for batch in batches:
-            for part in parts(batch, 0):
-                keys, n = np.unique(codes(part.column(0))[0], return_counts=True)
-                grams.append(keys)
+            for part in parts(batch, 1):
+                found, n = np.unique(_keys(part.column(0), part.column(1))[0], return_counts=True)
+                keys.append(found)
                 counts.append(n)
-                size += len(keys)
+                size += len(found)
                 if size > _MERGE:
-                    keys, n = merged()
-                    if len(keys) > _MERGE // 2:  # too many to hold: Spark adds up the rest
-                        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["gram", "n"])
-                        keys, n = keys[:0], n[:0]
-                    grams, counts, size = [keys], [n], len(keys)
-        if grams:
-            keys, n = merged()
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["gram", "n"])
+                    found, n = merged()
+                    if len(found) > _MERGE // 2:  # too many to hold: Spark adds up the rest
+                        yield out(found, n)
+                        found, n = found[:0], n[:0]
+                    keys, counts, size = [found], [n], len(found)
+        if keys:
+            yield out(*merged())
+
+    return docs.select("model", "text").mapInArrow(run, "model long, gram long, n long").groupBy("model", "gram").agg(F.sum("n").alias("n"))
 
-    return docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
+def _keys(models: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The key of the n-gram that ends at each byte, and the offsets of the texts."""
+    grams, offsets = codes(texts)
+    return grams | np.repeat(models.to_numpy(zero_copy_only=False).astype(np.uint64) << np.uint64(_BITS), np.diff(offsets)), offsets
 
-def _discounts(counts: DataFrame) -> list[float]:
-    """Of counts 1, 2 and 3 or more."""
-    n = counts.agg(*(F.count(F.when(F.col("n") == k, 1)) for k in (1, 2, 3, 4))).first()
-    if not n[0]:
-        return [0.0, 0.0, 0.0]
-    y = n[0] / (n[0] + 2 * n[1])
-    return [min(k, max(0.0, k - (k + 1) * y * n[k] / n[k - 1])) if n[k - 1] else float(k) / 2 for k in (1, 2, 3)]
+
+def _discounts(counts: DataFrame) -> DataFrame:
+    """(model, d1, d2, d3): of counts 1, 2 and 3 or more."""
+    n = counts.groupBy("model").agg(*(F.count(F.when(F.col("n") == k, 1)).alias(f"n{k}") for k in (1, 2, 3, 4)))
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    discount = lambda k: F.when(F.col("n1") == 0, 0.0).when(F.col(f"n{k}") == 0, k / 2).otherwise(F.least(F.lit(float(k)), F.greatest(F.lit(0.0), k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")))).alias(f"d{k}")
+    return n.select("model", *(discount(k) for k in (1, 2, 3)))
 
 
 def train(trusted: DataFrame) -> DataFrame:
-    """(order, gram, p, back): log probability of each n-gram seen, or with p null the log weight of a context."""
+    """(order, model, gram, p, back) of trusted (model, text): log probability of each n-gram seen, or with p null the log
+    weight of a context of n - 1 bytes."""
     levels = {ORDER: durable(_counted(trusted), "grams")}
     for order in range(ORDER - 1, 0, -1):
-        shorter = levels[order + 1].select(F.col("gram").bitwiseAND((1 << (8 * order)) - 1).alias("gram"))
-        levels[order] = durable(shorter.groupBy("gram").agg(F.count("*").alias("n")), "grams")
+        shorter = levels[order + 1].select("model", F.col("gram").bitwiseAND((1 << (8 * order)) - 1).alias("gram"))
+        levels[order] = durable(shorter.groupBy("model", "gram").agg(F.count("*").alias("n")), "grams")
     model, below = None, None
     for order in range(1, ORDER + 1):
-        d = _discounts(levels[order])
-        less = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        rows = levels[order].select("gram", F.shiftright("gram", 8).alias("context"), "n", less.alias("d"))
-        context = rows.groupBy("context").agg(F.sum("n").alias("total"), F.sum("d").alias("freed"))
-        weighed = rows.join(context, "context").select("gram", ((F.col("n") - F.col("d")) / F.col("total")).alias("own"), (F.col("freed") / F.col("total")).alias("gamma"))
+        # One row a fold.
+        rows = levels[order].join(F.broadcast(_discounts(levels[order])), "model")
+        less = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+        rows = rows.select("model", "gram", F.shiftright("gram", 8).alias("context"), "n", less.alias("d"))
+        context = rows.groupBy("model", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("freed"))
+        weighed = rows.join(context, ["model", "context"]).select("model", "gram", ((F.col("n") - F.col("d")) / F.col("total")).alias("own"), (F.col("freed") / F.col("total")).alias("gamma"))
         if below is None:
             weighed = weighed.withColumn("q", F.lit(1 / 256))
         else:
-            weighed = weighed.withColumn("suffix", F.col("gram").bitwiseAND((1 << (8 * (order - 1))) - 1)).join(below, "suffix")
-        seen = durable(weighed.select("gram", (F.col("own") + F.col("gamma") * F.col("q")).alias("p")), "probabilities")
-        below = seen.select(F.col("gram").alias("suffix"), F.col("p").alias("q"))
-        backs = context.select(F.lit(order).alias("order"), F.col("context").alias("gram"), F.lit(None).cast("double").alias("p"), F.log(F.greatest(F.col("freed") / F.col("total"), F.lit(1e-12))).alias("back"))
-        both = seen.select(F.lit(order).alias("order"), "gram", F.log("p").alias("p"), F.lit(None).cast("double").alias("back")).unionByName(backs)
+            weighed = weighed.withColumn("suffix", F.col("gram").bitwiseAND((1 << (8 * (order - 1))) - 1)).join(below, ["model", "suffix"])
+        seen = durable(weighed.select("model", "gram", (F.col("own") + F.col("gamma") * F.col("q")).alias("p")), "probabilities")
+        below = seen.select("model", F.col("gram").alias("suffix"), F.col("p").alias("q"))
+        backs = context.select(F.lit(order).alias("order"), "model", F.col("context").alias("gram"), F.lit(None).cast("double").alias("p"), F.log(F.greatest(F.col("freed") / F.col("total"), F.lit(1e-12))).alias("back"))
+        both = seen.select(F.lit(order).alias("order"), "model", "gram", F.log("p").alias("p"), F.lit(None).cast("double").alias("back")).unionByName(backs)
         model = both if model is None else model.unionByName(both)
-    return durable(model, "language-model")
-
-
-class _Table:
-    """Whole numbers to values, by open addressing; what is not there gives NaN."""
-
-    _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.mask = (1 << max(4, int(2 * len(keys)).bit_length())) - 1
-        self.keys, self.values, self.steps = np.full(self.mask + 1, self._NONE), np.full(self.mask + 1, np.nan), 0
-        left = np.arange(len(keys))
-        start = self._start(keys)
-        while len(left):
-            slot = (start[left] + self.steps) & self.mask
-            free = np.flatnonzero(self.keys[slot] == self._NONE)
-            _, first = np.unique(slot[free], return_index=True)
-            put = free[first]
-            self.keys[slot[put]], self.values[slot[put]] = keys[left[put]], values[left[put]]
-            left = np.delete(left, put)
-            self.steps += 1
-
-    def _start(self, keys: np.ndarray) -> np.ndarray:
-        return (mix(keys) & np.uint64(self.mask)).astype(np.int64)
-
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        at = self._start(keys)
-        hit = self.keys[at] == keys
-        out = np.where(hit, self.values[at], np.nan)
-        left = np.flatnonzero(~hit & (self.keys[at] != self._NONE))
-        for step in range(1, self.steps):
-            if not len(left):
-                break
-            slot = (at[left] + step) & self.mask
-            hit = self.keys[slot] == keys[left]
-            out[left[hit]] = self.values[slot[hit]]
-            left = left[~hit & (self.keys[slot] != self._NONE)]
-        return out
-
-
-def _log_probabilities(grams: np.ndarray, seen: list[_Table], backs: list[_Table]) -> np.ndarray:
-    total, left = np.zeros(len(grams)), np.arange(len(grams))
-    for order in range(ORDER, 0, -1):
-        p = seen[order - 1](grams)
-        known = ~np.isnan(p)
-        total[left[known]] += p[known]
-        left, grams = left[~known], grams[~known]
-        if not len(left):
-            return total
-        total[left] += np.nan_to_num(backs[order - 1](grams >> np.uint64(8)))
-        grams = grams & np.uint64((1 << (8 * (order - 1))) - 1)
-    total[left] += _UNIFORM
-    return total
-
-
-def _score_by_tables(docs: DataFrame, model: DataFrame) -> DataFrame:
-    rows = model.toArrow()  # no more than BROADCAST_ROWS
-    order, gram, p, back = (c.to_numpy() for c in rows.columns)
-    gram = gram.astype(np.int64).view(np.uint64)
-    pick = lambda k, v: (gram[(order == k) & ~np.isnan(v)], v[(order == k) & ~np.isnan(v)])
-    shared = docs.sparkSession.sparkContext.broadcast([(pick(k, p), pick(k, back)) for k in range(1, ORDER + 1)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, backs = ([_Table(*x[k]) for x in shared.value] for k in (0, 1))
-        for batch in batches:
-            for part in parts(batch, 2):
-                grams, offsets = codes(part.column(2))
-                upto = np.concatenate([[0.0], np.cumsum(_log_probabilities(grams, seen, backs))])
-                size = np.diff(offsets)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size, pa.int64()), pa.array(upto[offsets[1:]] - upto[offsets[:-1]])], ["id", "lang", "n_bytes", "log_p"])
-
-    return docs.select("id", "lang", "text").mapInArrow(run, "id long, lang string, n_bytes long, log_p double")
-
-
-def _score_by_joins(docs: DataFrame, model: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in parts(batch, 1):
-                grams, offsets = codes(part.column(1))
-                for r in range(part.num_rows):
-                    keys, n = np.unique(grams[offsets[r] : offsets[r + 1]], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0)[r : r + 1].to_numpy(zero_copy_only=False), len(keys)), pa.int64()), pa.array(keys.view(np.int64)), pa.array(n, pa.int64())], ["uid", "gram", "n"])
-
-    # Rows may share an id or have none, so they are told apart by a number of their own, written with them.
-    rows = durable(docs.withColumn("uid", F.monotonically_increasing_id()), "scored-texts")
-    left = rows.select("uid", "text").mapInArrow(run, "uid long, gram long, n long").withColumn("w", F.lit(0.0))
-    sums = None
-    for order in range(ORDER, 0, -1):
-        at = model.filter(F.col("order") == order)
-        looked = durable(left.join(at.filter("p IS NOT NULL").select("gram", "p"), "gram", "left"), "looked-up")
-        known = looked.filter("p IS NOT NULL").groupBy("uid").agg(F.sum(F.col("n") * (F.col("w") + F.col("p"))).alias("s"))
-        sums = known if sums is None else sums.unionByName(known)
-        backs = at.filter("back IS NOT NULL").select(F.col("gram").alias("context"), "back")
-        left = looked.filter("p IS NULL").withColumn("context", F.shiftright("gram", 8)).join(backs, "context", "left")
-        left = left.select("uid", F.col("gram").bitwiseAND((1 << (8 * (order - 1))) - 1).alias("gram"), "n", (F.col("w") + F.coalesce("back", F.lit(0.0))).alias("w"))
-    sums = sums.unionByName(left.groupBy("uid").agg(F.sum(F.col("n") * (F.col("w") + _UNIFORM)).alias("s")))
-    total = sums.groupBy("uid").agg(F.sum("s").alias("log_p"))
-    return rows.join(total, "uid", "left").select("id", "lang", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.coalesce("log_p", F.lit(0.0)).alias("log_p"))
-
-
-def perplexities(docs: DataFrame, model: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """(id, lang, perplexity) of docs (id, lang, text); null where a text has no bytes."""
-    scored = (_score_by_tables if model.count() <= broadcast_rows else _score_by_joins)(docs, model)
-    return scored.select("id", "lang", F.when(F.col("n_bytes") > 0, F.exp(-F.col("log_p") / F.col("n_bytes"))).alias("perplexity"))
-
-
-def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    found = durable(model, "language-model")
+    forget(*levels.values())
+    return found
+
+
+def _priced(keys: DataFrame, model: DataFrame) -> DataFrame:
+    """(key, log_p) of different keys (key). Those not seen whole are looked up in all lower orders at once."""
+    key = lambda c: F.shiftleft("model", _BITS).bitwiseOR(F.col(c))
+    whole = model.filter((F.col("order") == ORDER) & F.col("p").isNotNull()).select(key("gram").alias("key"), "p")
+    looked = keys.join(whole, "key", "left")
+    number, gram = F.shiftrightunsigned("key", _BITS), F.col("key").bitwiseAND((1 << _BITS) - 1)
+    of = lambda order: gram.bitwiseAND((1 << (8 * order)) - 1)
+    wanted = [F.struct(F.lit(f"p{k}").alias("slot"), of(k).alias("gram")) for k in range(1, ORDER)] + [F.struct(F.lit(f"b{k}").alias("slot"), F.shiftright(of(k), 8).alias("gram")) for k in range(1, ORDER + 1)]
+    asked = looked.filter("p IS NULL").select("key", number.alias("model"), F.explode(F.array(*wanted)).alias("x")).select("key", "model", "x.*")
+    slots = model.select("model", "gram", F.concat(F.when(F.col("p").isNull(), "b").otherwise("p"), F.col("order").cast("string")).alias("slot"), F.coalesce("p", "back").alias("value"))
+    found = asked.join(slots, ["model", "slot", "gram"], "left").groupBy("key").agg(*(F.max(F.when(F.col("slot") == s, F.col("value"))).alias(s) for s in [f"p{k}" for k in range(1, ORDER)] + [f"b{k}" for k in range(1, ORDER + 1)]))
+    back = lambda k: F.coalesce(f"b{k}", F.lit(0.0))
+    total = back(1) + _UNIFORM
+    for k in range(2, ORDER + 1):
+        total = back(k) + F.coalesce(F.col(f"p{k - 1}"), total)
+    return looked.filter("p IS NOT NULL").select("key", F.col("p").alias("log_p")).unionByName(found.select("key", total.alias("log_p")))
+
+
+def perplexities(docs: DataFrame, model: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(id, lang, perplexity) of docs (id, lang, text, model); null where a text has no bytes."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(-(-size // block_bytes), min(docs.sparkSession.sparkContext.defaultParallelism, size >> 20), 1)
+    block = F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).alias("block")
+    # Both uses of the blocks read this one shuffle.
+    texts = docs.select(block, "id", "lang", "text", "model").repartition(blocks, "block")
+
+    def different(group: pa.Table) -> pa.Table:
+        found = np.zeros(0, np.uint64)
+        for batch in group.to_batches():
+            for part in parts(batch, 3):
+                found = np.union1d(found, _keys(part.column(4), part.column(3))[0])
+        number = group.column(0)[0].as_py()
+        return pa.table({"block": pa.array(np.full(len(found), number, np.int64)), "key": pa.array(found.view(np.int64))})
+
+    asked = texts.groupBy("block").applyInArrow(different, "block long, key long").repartition(blocks, "key")
+    answers = asked.join(_priced(asked.select("key").distinct(), model), "key").select("block", "key", "log_p")
+
+    def scored(group: pa.Table, table: pa.Table) -> pa.Table:
+        known, log_p = table.column("key").to_numpy().view(np.uint64), table.column("log_p").to_numpy()
+        order = np.argsort(known)
+        known, log_p = known[order], log_p[order]
+        ids, langs, values = [], [], []
+        for batch in group.to_batches():
+            for part in parts(batch, 3):
+                keys, offsets = _keys(part.column(4), part.column(3))
+                found, at = np.unique(keys, return_inverse=True)
+                upto = np.concatenate([[0.0], np.cumsum(log_p[np.searchsorted(known, found)][at] if len(found) else [])])
+                n = np.diff(offsets)
+                ids.append(part.column(1))
+                langs.append(part.column(2))
+                values.append(pa.array(np.exp(-(upto[offsets[1:]] - upto[offsets[:-1]]) / np.maximum(n, 1)), mask=n == 0))
+        return pa.table({"id": pa.chunked_array(ids, pa.int64()), "lang": pa.chunked_array(langs, pa.string()), "perplexity": pa.chunked_array(values, pa.float64())})
+
+    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, "id long, lang string, perplexity double")
+
+
+def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, perplexity, kept) of every document; trusted: (id), the documents to learn from."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col(text_col).cast("string").alias("text"))
+    fold = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(FOLDS))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col(text_col).cast("string").alias("text"), fold.cast("long").alias("model"))
     ids = trusted.select(F.col(id_col).cast("long").alias("id")).filter("id IS NOT NULL").distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    model = train(rows.join(ids, "id", "left_semi"))
-    scored = durable(perplexities(rows, model, broadcast_rows), "perplexities")
+    seen = rows.join(ids.hint("shuffle_hash"), "id", "left_semi")
+    # The model of a fold learns from the texts of all others.
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(FOLDS - 1).cast("long")), lambda k: k != F.col("model"))
+    model = train(seen.select(F.explode(others).alias("model"), "text"))
+    scored = durable(perplexities(rows, model), "perplexities")
+    forget(model)
     good = scored.filter("perplexity IS NOT NULL").join(ids, "id", "left_semi")
     quantiles = lambda *keys: good.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx("perplexity", [LOW, HIGH], 10_000).alias("q"))
     every = quantiles().first()["q"] or [None, None]  # two numbers
     fences = quantiles("lang").filter(F.col("n") >= LEAST_TRUSTED).select("lang", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
     low, high = (F.coalesce(c, F.lit(x).cast("double")) for c, x in zip(("low", "high"), every))
-    inside = F.coalesce(F.col("perplexity").between(low * (1 - SLACK), high * (1 + SLACK)), F.col("perplexity").isNotNull())
-    return scored.join(fences, "lang", "left").select(F.col("id").alias(id_col), "perplexity", inside.alias("kept"))
+    inside = F.coalesce(F.col("perplexity").between(low, high), F.col("perplexity").isNotNull())
+    if fences.count() <= LANGUAGES:
+        met = scored.join(F.broadcast(fences), "lang", "left")
+    else:
+        salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt")
+        met = scored.select("*", salt).join(fences.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["lang", "salt"], "left")
+    return met.select(F.col("id").alias(id_col), "perplexity", inside.alias("kept"))
