@@ -81,6 +81,19 @@ def test_repeated_rows_and_empty_table(spark):
     assert substrings.repeated_passages(none).count() == 0
 
 
+def test_texts_of_one_id_are_told_apart(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    got = substrings.without_earlier_windows(spark.createDataFrame([(1, a), (2, f"{a} {b}"), (2, b), (3, b), (2, None)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got) == [(1, 40, 0), (2, 0, 0), (2, 40, 0), (2, 80, 40), (3, 40, 40)]
+
+
+def test_wide_windows(spark):
+    rows = [(1, " ".join(map(str, range(700)))), (2, " ".join(map(str, range(100, 600)))), (3, " ".join(map(str, range(249))))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_removed) for r in substrings.without_earlier_windows(docs, width=250).collect()) == [(1, 0), (2, 500), (3, 0)]
+    assert [(r.doc_id, r.start, r.n_words) for r in substrings.repeated_passages(docs, width=300).collect()] == [(2, 0, 500)]
+
+
 def test_index_finds_patterns():
     draw = np.random.default_rng(2)
     text = np.append(draw.integers(1, 6, 3000), 0)

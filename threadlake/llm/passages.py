@@ -224,13 +224,13 @@ def earliest(docs: DataFrame, width: int, gram: int, matcher: Matcher, shards: i
                 bounds = np.append(bounds[full], bounds[-1])
                 cut = symbols.view(np.uint8).reshape(-1, 8)[:, :SYMBOL_BYTES].reshape(-1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(full, pa.int32()), packed(ids[order], bounds), packed(begin[order].astype(np.int32), bounds), packed(length.astype(np.uint8), bounds), packed(cut, ends[bounds] * SYMBOL_BYTES)],
+                    [pa.array(full, pa.int32()), packed(ids[order], bounds), packed(begin[order].astype(np.int32), bounds), packed(length.astype(np.uint16), bounds), packed(cut, ends[bounds] * SYMBOL_BYTES)],
                     ["shard", "ids", "begin", "length", "symbols"],
                 )
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols: list[list[np.ndarray]] = [[] for _ in range(4)]
-        kinds = (np.int64, np.int32, np.uint8, np.uint8)
+        kinds = (np.int64, np.int32, np.uint16, np.uint8)
         for batch in batches:
             for k, kind in enumerate(kinds):
                 cols[k].append(unpacked(batch.column(k + 1), kind)[0])
@@ -275,7 +275,7 @@ def earliest(docs: DataFrame, width: int, gram: int, matcher: Matcher, shards: i
 
 
 def occurrences(docs: DataFrame, width: int, gram: int) -> DataFrame:
-    """docs: (id, text, anchors). (piece, id, word): where each piece with a shared anchor begins."""
+    """docs: (id, text, anchors, own). (piece, id, own, word): where each piece with a shared anchor begins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -284,9 +284,19 @@ def occurrences(docs: DataFrame, width: int, gram: int) -> DataFrame:
                 if len(found.row):
                     ids = part.column(0).to_numpy(zero_copy_only=False)[found.row]
                     own = _spelled(hashes, found, width)[2]
-                    yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(ids, pa.int64()), pa.array(found.start - words.first[found.row], pa.int64())], ["piece", "id", "word"])
+                    texts = part.column(3).take(pa.array(found.row))
+                    yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(ids, pa.int64()), texts, pa.array(found.start - words.first[found.row], pa.int64())], ["piece", "id", "own", "word"])
 
-    return docs.select("id", "text", "anchors").mapInArrow(run, "piece long, id long, word long")
+    return docs.select("id", "text", "anchors", "own").mapInArrow(run, "piece long, id long, own long, word long")
+
+
+def _told_apart(docs: DataFrame) -> DataFrame:
+    """docs (id, text) with own: 0, or for an id that has several texts a hash of the text."""
+    several = docs.filter("id IS NOT NULL").groupBy("id").agg(F.min(F.xxhash64("text")).alias("low"), F.max(F.xxhash64("text")).alias("high")).filter("low <> high")
+    several = durable(several.select("id", F.lit(True).alias("several")), "ids-of-several-texts")
+    if several.isEmpty():
+        return docs.select("id", "text", F.lit(0).cast("long").alias("own"))
+    return docs.join(several, "id", "left").select("id", "text", F.when(F.col("several"), F.xxhash64("text")).otherwise(0).alias("own"))
 
 
 def repeats(docs: DataFrame, width: int, gram: int, matcher: Matcher, across: bool, digest: Callable[[pa.Array], pa.Array]) -> DataFrame:
@@ -294,6 +304,7 @@ def repeats(docs: DataFrame, width: int, gram: int, matcher: Matcher, across: bo
     occur first at src_id, src_word, a smaller id if across, else an earlier place. text only if there can be runs; else
     digest is digest(text). Rows with a null id have none."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    docs = _told_apart(docs)
     anchors = shared_anchors(docs.filter("id IS NOT NULL"), width, gram, across, n)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,15 +315,15 @@ def repeats(docs: DataFrame, width: int, gram: int, matcher: Matcher, across: bo
                 sums = digest(pa.array([t if a else None for t, a in zip(texts, alone)], pa.string()))
                 sums = pa.array([x if a else None for x, a in zip(sums.to_pylist(), alone)], pa.string())
                 text = pa.array([None if a else t for t, a in zip(texts, alone)], pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(0), text, part.column(2), pa.array(n_words, pa.int64()), sums], ["id", "text", "anchors", "n_words", "digest"])
+                yield pa.RecordBatch.from_arrays([part.column(0), text, part.column(2), part.column(3), pa.array(n_words, pa.int64()), sums], ["id", "text", "anchors", "own", "n_words", "digest"])
 
-    joined = docs.select("id", "text").join(anchors, "id", "left")
-    kept = durable(joined.mapInArrow(split, "id long, text string, anchors binary, n_words long, digest string"), "passages")
+    joined = docs.join(anchors, "id", "left").select("id", "text", "anchors", "own")
+    kept = durable(joined.mapInArrow(split, "id long, text string, anchors binary, own long, n_words long, digest string"), "passages")
     twice = kept.filter("anchors IS NOT NULL")
     answers = earliest(twice, width, gram, matcher, SHARDS * n)
     earlier = "s.src < id" if across else "s.src < id OR s.src = id AND s.src_word < word + s.at"
     zipped = F.arrays_zip(F.col("offsets").alias("at"), F.col("counts").alias("n"), F.col("src_ids").alias("src"), F.col("src_words").alias("src_word"))
     placed = occurrences(twice, width, gram).join(answers.select("piece", zipped.alias("runs")), "piece")
-    runs = placed.select("id", "word", F.explode("runs").alias("s")).filter(earlier)
-    runs = runs.groupBy("id").agg(F.array_sort(F.collect_set(F.struct((F.col("word") + F.col("s.at")).alias("word"), F.col("s.n").alias("n"), F.col("s.src").alias("src_id"), F.col("s.src_word").alias("src_word")))).alias("runs"))
-    return kept.drop("anchors").join(runs, "id", "left")
+    runs = placed.select("id", "own", "word", F.explode("runs").alias("s")).filter(earlier)
+    runs = runs.groupBy("id", "own").agg(F.array_sort(F.collect_set(F.struct((F.col("word") + F.col("s.at")).alias("word"), F.col("s.n").alias("n"), F.col("s.src").alias("src_id"), F.col("s.src_word").alias("src_word")))).alias("runs"))
+    return kept.drop("anchors").join(runs, ["id", "own"], "left").drop("own")

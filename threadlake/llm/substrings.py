@@ -1,8 +1,8 @@
 """Substring de-duplication of documents: by FM-indexes (windows that an earlier document has) and by sparse suffix
 arrays (passages that occur at an earlier place).
 
-Results of both: a null or empty text has no words; texts shorter than a window are kept whole; rows with one id are
-taken to hold one text and each get its result; rows with a null id are compared with nothing; an empty table gives no
+Results of both: a null or empty text has no words; texts shorter than a window are kept whole; rows with one id
+are one document, and each of its texts gets its own result; rows with a null id are compared with nothing; an empty table gives no
 rows; other columns are not read.
 """
 
