@@ -1,8 +1,8 @@
 """Registered queries and their SQL twins."""
 
-from threadlake.plans import fact_queries, operator_oracles, operator_queries, session_queries
+from threadlake.plans import fact_queries, operator_oracles, operator_queries, report_queries, session_queries
 
-_MODULES = (session_queries, fact_queries)
+_MODULES = (session_queries, fact_queries, report_queries)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()} | operator_queries.QUERIES
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()} | operator_oracles.ORACLES
