@@ -276,3 +276,69 @@ ORACLES = {
 }
 
 QUERIES = {name: globals()[name] for name in ORACLES}
+
+
+# -- pages and billing
+
+
+def page_texts(spark, sf_dir):
+    from threadlake.sources.files import html_text
+
+    return table(spark, sf_dir, "pages").select("page_id", html_text(F.col("html")).alias("text"))
+
+
+def _billing(spark, sf_dir):
+    names = F.array(*map(F.lit, ("activated", "charged", "cancelled", "payment_failed", "expired")))
+    o = orders(spark, sf_dir)
+    return o.select((F.col("o_orderkey") % 5000).alias("event_id"), F.col("o_custkey").alias("subscription_id"), F.element_at(names, (F.col("o_orderkey") % 5 + 1).cast("int")).alias("event"), F.struct("o_orderdate", "o_orderkey").alias("at"), F.timestamp_add("DAY", F.lit(30), "o_orderdate").alias("period_end"))
+
+
+def subscription_states(spark, sf_dir):
+    from threadlake.operators.subscriptions import states
+
+    found = states(_billing(spark, sf_dir), F.lit("1996-01-01 00:00:00").cast("timestamp_ntz"))
+    return found.select("subscription_id", "plan", "status", F.col("at.o_orderkey").alias("order_key"))
+
+
+def live_cache(spark, sf_dir):
+    from threadlake.operators.subscriptions import alive
+
+    at = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), "ts")
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "user_id", at.alias("at"))
+    return alive(e, F.lit(1705276800), 86400, "user_id", 3).select("id", "user_id")
+
+
+def allowed_requests(spark, sf_dir):
+    from threadlake.operators.subscriptions import with_allowance
+
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", F.col("ts").alias("at"), F.col("event_id").alias("id"))
+    plans = table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("user_id"), F.when(F.col("c_acctbal") > 5000, "pro").otherwise("trial").alias("plan"))
+    return with_allowance(e, plans, {"free": 5, "trial": 8, "pro": 20}, "event_type").select("id", "plan", "allowed", "used")
+
+
+_BLOCKS = "</?(?:p|div|section|article|header|footer|nav|ul|ol|li|h[1-6]|table|tr|blockquote|main|aside)\\b[^>]*>"
+_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&"))
+
+
+def _page_text() -> str:
+    out = "regexp_replace(html, '<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<button\\b.*?</button\\s*>|<svg\\b.*?</svg\\s*>|<noscript\\b.*?</noscript\\s*>|<!--.*?-->', '', 'gis')"
+    out = f"regexp_replace(regexp_replace({out}, '<br\\s*/?>', chr(10), 'gi'), '{_BLOCKS}', chr(10), 'gi')"
+    out = f"regexp_replace({out}, '<[^>]*>', '', 'gs')"
+    for entity, character in _ENTITIES:
+        out = f"replace({out}, '{entity}', '{character}')"
+    return f"regexp_replace(regexp_replace({out}, '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
+
+
+ORACLES |= {
+    "page_texts": f"SELECT page_id, {_page_text()} AS text FROM pages",
+    "subscription_states": """WITH b AS (SELECT o_orderkey % 5000 AS event_id, o_custkey AS s, ['activated', 'charged', 'cancelled', 'payment_failed', 'expired'][o_orderkey % 5 + 1] AS event, o_orderdate, o_orderkey FROM orders
+            QUALIFY row_number() OVER (PARTITION BY o_orderkey % 5000 ORDER BY o_orderdate, o_orderkey) = 1),
+        l AS (SELECT *, max(CASE WHEN event IN ('activated', 'charged') THEN o_orderdate + INTERVAL 30 DAY END) OVER (PARTITION BY s) AS paid FROM b),
+        t AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY s ORDER BY o_orderdate DESC, o_orderkey DESC, event_id DESC) = 1)
+        SELECT s AS subscription_id, CASE WHEN event IN ('activated', 'charged', 'payment_failed') OR event = 'cancelled' AND paid > TIMESTAMP '1996-01-01' THEN 'pro' ELSE 'free' END AS plan,
+        CASE event WHEN 'payment_failed' THEN 'past_due' WHEN 'cancelled' THEN 'cancelled' WHEN 'expired' THEN 'completed' ELSE 'active' END AS status, o_orderkey AS order_key FROM t""",
+    "live_cache": "WITH e AS (SELECT event_id, user_id, floor(epoch(ts))::BIGINT AS s FROM events) SELECT event_id AS id, user_id FROM e WHERE 1705276800 - s < 86400 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY s DESC, event_id DESC) <= 3",
+    "allowed_requests": """WITH p AS (SELECT e.*, coalesce(CASE WHEN c_custkey IS NULL THEN NULL WHEN c_acctbal > 5000 THEN 'pro' ELSE 'trial' END, 'free') AS plan FROM events e LEFT JOIN customer ON c_custkey = user_id AND c_custkey % 3 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k, CASE plan WHEN 'free' THEN 5 WHEN 'trial' THEN 8 ELSE 20 END AS most FROM p) SELECT event_id AS id, plan, k <= most AS allowed, least(k, most) AS used FROM r""",
+}
+QUERIES = {name: globals()[name] for name in ORACLES}
