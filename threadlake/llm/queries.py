@@ -58,9 +58,17 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_passages(_table(spark, sf_dir, "documents"))
 
 
+#: For the tables of tests only; who replaces real data sets spark.threadlake.surrogateKey to a key of their own.
+SAMPLE_KEY = "sample key"
+
+
+def surrogate_key(spark: SparkSession) -> str:
+    return spark.conf.get("spark.threadlake.surrogateKey", None) or SAMPLE_KEY
+
+
 def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text with surrogates for personal data, and how many it holds."""
-    return surrogates.replace(_table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("n_entities", F.col("n_entities").cast("bigint"))
+    return surrogates.replace(_table(spark, sf_dir, "documents").select("doc_id", "text"), surrogate_key(spark)).withColumn("n_entities", F.col("n_entities").cast("bigint"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
