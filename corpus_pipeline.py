@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from threadlake.llm import bpe, decontamination, near_duplicates, surrogates, toxicity
-from threadlake.llm.queries import word_vocabulary
+from threadlake.llm.queries import surrogate_key, word_vocabulary
 from threadlake.llm.storage import durable, short_batches
 
 
@@ -34,9 +34,9 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def surrogates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with surrogates for personal data; n_chars is that of the new text."""
-    new = surrogates.replace(docs)
+    new = surrogates.replace(docs, surrogate_key(spark))
     if "n_chars" in docs.columns:
-        new = new.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        new = new.withColumn("n_chars", F.when(F.col(new.columns[-1]) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return new.select(docs.columns)
 
 
