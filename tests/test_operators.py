@@ -75,7 +75,7 @@ def test_ties_go_to_the_pending_snapshot(spark):
     assert rows(merging.best_known(one, two)) == [(1, 3, "pending"), (2, 5, "stored"), (3, 1, "pending")]
 
 
-WANT = [(1, "m1", "assistant", "Hello there friend"), (2, "c9", "assistant", "One two"), (3, "u", "user", "typed text"), (4, "k", "assistant", "a much longer replacement")]
+WANT = [(1, "m1", "assistant", "Hello there friend"), (2, "c9", "assistant", "One two"), (3, "u", "user", "typed text"), (4, "k", "assistant", "a much longer replacement"), (6, "b1", "assistant", "Block text"), (7, "p1", "assistant", "The whole answer")]
 
 
 def test_streams_are_assembled(spark):
@@ -113,3 +113,30 @@ def test_bursts_and_repeats(spark):
     assert windows.once(twice).count() == 2
     asked = spark.createDataFrame([(1, 0, 1, 5), (1, 10, 2, 5), (1, 20, 3, 6), (1, 90, 4, 6)], "key long, at long, id long, count long")
     assert [r.id for r in windows.cooled_down(asked, 60).orderBy("id").collect()] == [1, 3, 4]
+
+
+def test_histories(spark):
+    node = lambda i, role, t, *parts: {"message": {"id": i, "author": {"role": role}, "content": {"parts": list(parts)}, "create_time": t}}
+    body = json.dumps({"mapping": {"x": node("x", "assistant", 2.0, "second"), "y": node("y", "user", 1.0, "fir", "st"), "z": node("z", "system", 0.0, "no"), "e": node("e", "user", 3.0, " "), "root": {"message": None}}})
+    got = assembly.history_messages(spark.createDataFrame([(1, body), (2, "{broken"), (3, None)], "history_id long, body string"))
+    assert rows(got) == [(1, 0, "user", "first"), (1, 1, "assistant", "second")]
+
+
+def test_health_as_a_stream(spark, tmp_path):
+    for n in range(2):
+        (tmp_path / f"{n}.json").write_text("\n".join(json.dumps({"platform": "p", "at": 100 * n + i, "ok": n == 0}) for i in range(12)))
+        os.utime(tmp_path / f"{n}.json", (n + 1, n + 1))
+    stream = spark.readStream.schema("platform string, at long, ok boolean").option("maxFilesPerTrigger", 1).json(str(tmp_path))
+    query = windows.health_stream(stream).writeStream.format("memory").queryName("health").outputMode("update").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert rows(spark.table("health")) == [("p", 12, 1.0, False), ("p", 20, 0.4, True)]
+
+
+def test_flushed_keeps_the_newest_of_each_key(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "0.json").write_text('{"key":1,"at":1}\n{"key":1,"at":2}\n{"key":2,"at":1}')
+    stream = spark.readStream.schema("key long, at long").json(str(tmp_path / "in"))
+    query = windows.flushed(stream, str(tmp_path / "out"), str(tmp_path / "check"), "key", "at", "1 second")
+    query.processAllAvailable()
+    query.stop()
+    assert rows(spark.read.parquet(str(tmp_path / "out")).select("key", "at")) == [(1, 2), (2, 1)]

@@ -316,6 +316,21 @@ def allowed_requests(spark, sf_dir):
     return with_allowance(e, plans, {"free": 5, "trial": 8, "pro": 20}, "event_type").select("id", "plan", "allowed", "used")
 
 
+def event_bursts(spark, sf_dir):
+    from threadlake.streaming.windows import debounced
+
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("id"))
+    return debounced(e, "12 hours").select("key", "n", "last_id")
+
+
+def cooled_requests(spark, sf_dir):
+    from threadlake.streaming.windows import cooled_down
+
+    at = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), "ts")
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), at.alias("at"), F.col("event_id").alias("id"), F.col("event_type").alias("count"))
+    return cooled_down(e, 43200).select("id")
+
+
 _BLOCKS = "</?(?:p|div|section|article|header|footer|nav|ul|ol|li|h[1-6]|table|tr|blockquote|main|aside)\\b[^>]*>"
 _ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&"))
 
@@ -330,6 +345,10 @@ def _page_text() -> str:
 
 
 ORACLES |= {
+    "event_bursts": """WITH g AS (SELECT user_id, event_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS opens FROM events),
+        b AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS burst FROM g) SELECT user_id AS key, count(*) AS n, last(event_id ORDER BY ts, event_id) AS last_id FROM b GROUP BY user_id, burst""",
+    "cooled_requests": """WITH e AS (SELECT event_id, event_type, floor(epoch(ts))::BIGINT AS s, user_id FROM events), l AS (SELECT *, lag(s) OVER w AS was, lag(event_type) OVER w AS kind FROM e WINDOW w AS (PARTITION BY user_id ORDER BY s, event_id))
+        SELECT event_id AS id FROM l WHERE was IS NULL OR s - was >= 43200 OR kind <> event_type""",
     "page_texts": f"SELECT page_id, {_page_text()} AS text FROM pages",
     "subscription_states": """WITH b AS (SELECT o_orderkey % 5000 AS event_id, o_custkey AS s, ['activated', 'charged', 'cancelled', 'payment_failed', 'expired'][o_orderkey % 5 + 1] AS event, o_orderdate, o_orderkey FROM orders
             QUALIFY row_number() OVER (PARTITION BY o_orderkey % 5000 ORDER BY o_orderdate, o_orderkey) = 1),

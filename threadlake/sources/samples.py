@@ -69,6 +69,12 @@ STREAMS = [
     (4, 2, 'data: {"v":"a much longer replacement","p":"/message/content/parts/0","o":"replace"}'),
     (4, 3, 'data: {"v":"!","p":"/message/metadata","o":"append"}'),
     (5, 0, "data: [DONE]"),
+    (6, 0, 'data: {"type":"message_start","message":{"id":"b1","role":"assistant"}}'),
+    (6, 1, 'data: {"type":"content_block_delta","delta":{"text":"Block "}}'),
+    (6, 2, 'data: {"type":"content_block_delta","delta":{"text":"text"}}'),
+    (7, 0, '42["progress",{"id":"p1","status":"pending","answer":"half"}]'),
+    (7, 1, '42/ns,["answer",{"id":"p1","status":"completed","answer":"The whole answer"}]'),
+    (7, 2, "42[broken"),
 ]
 
 

@@ -7,49 +7,79 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 SCHEMA = "stream_id long, message_id string, role string, content string"
 
 
+def _text(content) -> str:
+    """A message's text: its parts that are strings, or its text."""
+    if not isinstance(content, dict):
+        return content if isinstance(content, str) else ""
+    parts = content.get("parts")
+    return "".join(p for p in parts if isinstance(p, str)) if isinstance(parts, list) else str(content.get("text") or "")
+
+
+def _snapshot(state: dict, message: dict) -> None:
+    state["at"] = str(message.get("id") or "_")
+    role = (message.get("author") or {}).get("role")
+    if role in ("user", "assistant"):
+        text, before = _text(message.get("content")), state["messages"].get(state["at"], [role, ""])[1]
+        state["messages"][state["at"]] = [role, text if len(text) >= len(before) else before]
+
+
+def _patch(state: dict, event: dict) -> None:
+    held = state["messages"].get(state["at"])
+    if held and "/content/" in event["p"]:
+        longer = event["v"] if len(event["v"]) > len(held[1]) or not held[1] else held[1]
+        held[1] = held[1] + event["v"] if event.get("o") == "append" else longer
+
+
+def _append(state: dict, at: str, role: str, text: str) -> None:
+    state["at"] = at
+    held = state["messages"].setdefault(at, [role, ""])
+    held[1] += text
+
+
+def _packet(state: dict, line: str) -> None:
+    """A socket packet of kind 42, maybe with a namespace: [event, payload]; only final payloads count."""
+    body = line[2:]
+    event = json.loads(body.partition(",")[2] if body.startswith("/") else body)
+    payload = event[1] if isinstance(event, list) and len(event) > 1 else None
+    if isinstance(payload, dict) and (payload.get("status") in ("completed", "done", "final") or payload.get("final") is True):
+        state["messages"][str(payload.get("id") or "_")] = ["assistant", _text(payload.get("answer") or payload.get("text"))]
+
+
 def advance(state: dict, line: str | None) -> None:
     """One line's effect on state: {'at': current message id, 'messages': {id: [role, content]}}.
 
     A snapshot replaces a shorter content; a patch to the content of the current message appends, or replaces a shorter
-    one; a delta appends. Other roles than user and assistant only change the current message, and broken lines nothing."""
+    one; a delta appends, whether of choices or of content blocks after a message's start; a final packet of a socket is
+    a whole answer. Other roles than user and assistant only change the current message, and broken lines nothing."""
     line = (line or "").strip()
-    payload = line[5:].strip() if line.startswith("data:") else ""
-    if not payload or payload == "[DONE]":
-        return
     try:
-        event = json.loads(payload)
+        if line.startswith("42"):
+            return _packet(state, line)
+        payload = line[5:].strip() if line.startswith("data:") else ""
+        event = json.loads(payload) if payload and payload != "[DONE]" else None
     except ValueError:
         return
     if not isinstance(event, dict):
         return
-    held, message = state["messages"], event.get("message")
-    if isinstance(message, dict):
-        state["at"] = str(message.get("id") or "_")
-        role = (message.get("author") or {}).get("role")
-        if role not in ("user", "assistant"):
-            return
-        content = message.get("content") or {}
-        pieces = content.get("parts")
-        text = "".join(p for p in pieces if isinstance(p, str)) if isinstance(pieces, list) else content.get("text") or ""
-        before = held.get(state["at"], [role, ""])[1]
-        held[state["at"]] = [role, text if len(text) >= len(before) else before]
-    elif isinstance(event.get("v"), str) and isinstance(event.get("p"), str) and state["at"] is not None:
-        if state["at"] in held and "/content/" in event["p"]:
-            role, before = held[state["at"]]
-            longer = event["v"] if len(event["v"]) > len(before) or not before else before
-            held[state["at"]] = [role, before + event["v"] if event.get("o") == "append" else longer]
+    message, delta = event.get("message"), event.get("delta")
+    if event.get("type") == "message_start" and isinstance(message, dict):
+        _append(state, str(message.get("id") or "_"), str(message.get("role") or "assistant"), "")
+    elif event.get("type") == "content_block_delta" and isinstance(delta, dict):
+        _append(state, state["at"] or "_", "assistant", str(delta.get("text") or ""))
+    elif isinstance(message, dict):
+        _snapshot(state, message)
+    elif isinstance(event.get("v"), str) and isinstance(event.get("p"), str):
+        _patch(state, event)
     elif isinstance(event.get("choices"), list) and event["choices"]:
         delta = event["choices"][0].get("delta") or {}
         if delta.get("content"):
-            state["at"] = str(event.get("id") or "legacy")
-            role, before = held.get(state["at"], [delta.get("role") or "assistant", ""])
-            held[state["at"]] = [role, before + str(delta["content"])]
+            _append(state, str(event.get("id") or "legacy"), str(delta.get("role") or "assistant"), str(delta["content"]))
 
 
 def _new() -> dict:
@@ -83,6 +113,19 @@ def assemble(lines: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, SCHEMA)
 
 
+HISTORY = "mapping map<string, struct<message: struct<id: string, author: struct<role: string>, content: struct<parts: array<string>>, create_time: double>>>"
+
+
+def history_messages(histories: DataFrame) -> DataFrame:
+    """(history_id, place, role, content) of histories (history_id, body): JSON trees of messages, in order of time; JVM only.
+    Malformed bodies give no rows."""
+    node = F.explode(F.map_values(F.from_json("body", HISTORY)["mapping"])).alias("n")
+    rows = histories.select("history_id", node).select("history_id", "n.message.*").filter(F.col("author.role").isin("user", "assistant"))
+    content = F.trim(F.array_join("content.parts", ""))
+    place = F.row_number().over(Window.partitionBy("history_id").orderBy("create_time", "id")) - 1
+    return rows.filter(content != "").select("history_id", place.cast("bigint").alias("place"), F.col("author.role").alias("role"), content.alias("content"))
+
+
 def assemble_stream(lines: DataFrame) -> DataFrame:
     """The same over a streaming DataFrame: after each micro-batch the messages, as known by then, of the streams in it.
     Lines of one stream must come in order from one micro-batch to the next."""

@@ -45,3 +45,27 @@ def request_windows_stream(requests: DataFrame, limit: int, seconds: int) -> Dat
         yield pd.DataFrame(out, columns=["key", "at", "id", "ok", "remaining"])
 
     return requests.groupBy("key").applyInPandasWithState(run, "key long, at long, id long, ok boolean, remaining long", "start long, count long", "append", GroupStateTimeout.NoTimeout)
+
+
+def health_stream(captures: DataFrame, last: int = 20, least: int = 8, floor: float = 0.6) -> DataFrame:
+    """After each micro-batch, for the platforms in it: (platform, n, success, alert) over their last captures
+    (platform, at, ok); an alert needs `least` of them and a success rate below floor."""
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        held = list(group.get[0]) if group.exists else []
+        held = (held + [bool(x) for x in pd.concat(list(parts)).sort_values("at")["ok"]])[-last:]
+        group.update((held,))
+        rate = sum(held) / len(held)
+        yield pd.DataFrame({"platform": [key[0]], "n": [len(held)], "success": [rate], "alert": [len(held) >= least and rate < floor]})
+
+    return captures.groupBy("platform").applyInPandasWithState(run, "platform string, n long, success double, alert boolean", "held array<boolean>", "update", GroupStateTimeout.NoTimeout)
+
+
+def flushed(rows: DataFrame, path: str, checkpoint: str, key: str, at: str, every: str = "30 seconds"):
+    """Start a query that writes each interval's rows to a folder, the newest of each key."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        newest = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), at).alias("x")).select("x.*")
+        newest.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
