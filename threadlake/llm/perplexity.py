@@ -5,9 +5,10 @@
 2. Every trusted text is counted: n-grams of ORDER bytes, summed in each task before the shuffle. The counts of lower
    orders are numbers of different continuations to the left, counted from the order above. Discounts come from each
    order's counts of counts; probabilities and back-off weights from joins of the count tables, sharded by n-gram.
-3. Texts are dealt into blocks of some BLOCK_BYTES. The different n-grams of all blocks are looked up once each, by joins
-   sharded by n-gram, at every size in the same way. Each block gets the probabilities of its own n-grams back, and every
-   text of it is scored over all its bytes. Nothing of the model passes the driver or is broadcast.
+3. Every text is read once, where it lies. The COMMON n-grams most often seen in training, a table of fixed size, are
+   looked up in the task; of all other n-grams each text hands on its counts. Those are looked up once for all texts, by
+   joins sharded by n-gram, and summed for each text. So what texts share most costs no shuffle, what is sent to all tasks
+   has one bound at every size, and nothing else of the model leaves its tables.
 4. A text is kept if its perplexity lies between two quantiles of the trusted texts of its language, and
    so are all but LOW + 1 - HIGH of texts like them; a language with fewer than LEAST_TRUSTED trusted texts takes the quantiles of all of them.
 
@@ -25,12 +26,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from threadlake.llm.packed import parts
+from threadlake.llm.packed import firsts, parts
 from threadlake.llm.storage import durable, forget
 
 ORDER, FOLDS = 5, 2
-#: Text of a block; the languages whose limits are sent to all tasks, and the salts that spread more of them.
-BLOCK_BYTES, LANGUAGES, SALTS = 32 << 20, 10_000, 64
+#: N-grams looked up in the tasks, 16 bytes each; the languages whose limits are sent to all tasks, and the salts that
+#: spread more of them.
+COMMON, LANGUAGES, SALTS = 1 << 20, 10_000, 64
+BROADCAST_IDS = 2_000_000
 LOW, HIGH, LEAST_TRUSTED = 0.01, 0.99, 50
 _MERGE = 1 << 21
 _UNIFORM = float(np.log(1 / 256))
@@ -102,8 +105,8 @@ def _discounts(counts: DataFrame) -> DataFrame:
 
 
 def train(trusted: DataFrame) -> DataFrame:
-    """(order, model, gram, p, back) of trusted (model, text): log probability of each n-gram seen, or with p null the log
-    weight of a context of n - 1 bytes."""
+    """(order, model, gram, n, p, back) of trusted (model, text): count and log probability of each n-gram seen, or with p
+    null the log weight of a context of n - 1 bytes."""
     levels = {ORDER: durable(_counted(trusted), "grams")}
     for order in range(ORDER - 1, 0, -1):
         shorter = levels[order + 1].select("model", F.col("gram").bitwiseAND((1 << (8 * order)) - 1).alias("gram"))
@@ -115,15 +118,15 @@ def train(trusted: DataFrame) -> DataFrame:
         less = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         rows = rows.select("model", "gram", F.shiftright("gram", 8).alias("context"), "n", less.alias("d"))
         context = rows.groupBy("model", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("freed"))
-        weighed = rows.join(context, ["model", "context"]).select("model", "gram", ((F.col("n") - F.col("d")) / F.col("total")).alias("own"), (F.col("freed") / F.col("total")).alias("gamma"))
+        weighed = rows.join(context, ["model", "context"]).select("model", "gram", "n", ((F.col("n") - F.col("d")) / F.col("total")).alias("own"), (F.col("freed") / F.col("total")).alias("gamma"))
         if below is None:
             weighed = weighed.withColumn("q", F.lit(1 / 256))
         else:
             weighed = weighed.withColumn("suffix", F.col("gram").bitwiseAND((1 << (8 * (order - 1))) - 1)).join(below, ["model", "suffix"])
-        seen = durable(weighed.select("model", "gram", (F.col("own") + F.col("gamma") * F.col("q")).alias("p")), "probabilities")
+        seen = durable(weighed.select("model", "gram", "n", (F.col("own") + F.col("gamma") * F.col("q")).alias("p")), "probabilities")
         below = seen.select("model", F.col("gram").alias("suffix"), F.col("p").alias("q"))
-        backs = context.select(F.lit(order).alias("order"), "model", F.col("context").alias("gram"), F.lit(None).cast("double").alias("p"), F.log(F.greatest(F.col("freed") / F.col("total"), F.lit(1e-12))).alias("back"))
-        both = seen.select(F.lit(order).alias("order"), "model", "gram", F.log("p").alias("p"), F.lit(None).cast("double").alias("back")).unionByName(backs)
+        backs = context.select(F.lit(order).alias("order"), "model", F.col("context").alias("gram"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("double").alias("p"), F.log(F.greatest(F.col("freed") / F.col("total"), F.lit(1e-12))).alias("back"))
+        both = seen.select(F.lit(order).alias("order"), "model", "gram", "n", F.log("p").alias("p"), F.lit(None).cast("double").alias("back")).unionByName(backs)
         model = both if model is None else model.unionByName(both)
     found = durable(model, "language-model")
     forget(*levels.values())
@@ -148,42 +151,53 @@ def _priced(keys: DataFrame, model: DataFrame) -> DataFrame:
     return looked.filter("p IS NOT NULL").select("key", F.col("p").alias("log_p")).unionByName(found.select("key", total.alias("log_p")))
 
 
-def perplexities(docs: DataFrame, model: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _common(model: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, in order, and log probabilities of the whole n-grams of the highest counts, `most` at most."""
+    whole = model.filter((F.col("order") == ORDER) & F.col("p").isNotNull())
+    sizes = whole.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).agg(F.count("*").alias("k")).orderBy(F.desc("n")).collect()  # 65,536 rows at most
+    upto = np.cumsum([r.k for r in sizes])
+    least = [r.n for r, k in zip(sizes, upto) if k <= most]
+    found = whole.filter(F.col("n") >= (least[-1] if least else 1 << 62)).select(F.shiftleft("model", _BITS).bitwiseOR(F.col("gram")).alias("key"), "p").toArrow()  # `most` rows
+    keys, p = found.column("key").to_numpy().astype(np.int64).view(np.uint64), found.column("p").to_numpy()
+    order = np.argsort(keys)
+    return keys[order], p[order]
+
+
+def perplexities(docs: DataFrame, model: DataFrame, common: int = COMMON) -> DataFrame:
     """(id, lang, perplexity) of docs (id, lang, text, model); null where a text has no bytes."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(-(-size // block_bytes), min(docs.sparkSession.sparkContext.defaultParallelism, size >> 20), 1)
-    block = F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).alias("block")
-    # Both uses of the blocks read this one shuffle.
-    texts = docs.select(block, "id", "lang", "text", "model").repartition(blocks, "block")
-
-    def different(group: pa.Table) -> pa.Table:
-        found = np.zeros(0, np.uint64)
-        for batch in group.to_batches():
-            for part in parts(batch, 3):
-                found = np.union1d(found, _keys(part.column(4), part.column(3))[0])
-        number = group.column(0)[0].as_py()
-        return pa.table({"block": pa.array(np.full(len(found), number, np.int64)), "key": pa.array(found.view(np.int64))})
-
-    asked = texts.groupBy("block").applyInArrow(different, "block long, key long").repartition(blocks, "key")
-    answers = asked.join(_priced(asked.select("key").distinct(), model), "key").select("block", "key", "log_p")
-
-    def scored(group: pa.Table, table: pa.Table) -> pa.Table:
-        known, log_p = table.column("key").to_numpy().view(np.uint64), table.column("log_p").to_numpy()
-        order = np.argsort(known)
-        known, log_p = known[order], log_p[order]
-        ids, langs, values = [], [], []
-        for batch in group.to_batches():
-            for part in parts(batch, 3):
-                keys, offsets = _keys(part.column(4), part.column(3))
-                found, at = np.unique(keys, return_inverse=True)
-                upto = np.concatenate([[0.0], np.cumsum(log_p[np.searchsorted(known, found)][at] if len(found) else [])])
-                n = np.diff(offsets)
-                ids.append(part.column(1))
-                langs.append(part.column(2))
-                values.append(pa.array(np.exp(-(upto[offsets[1:]] - upto[offsets[:-1]]) / np.maximum(n, 1)), mask=n == 0))
-        return pa.table({"id": pa.chunked_array(ids, pa.int64()), "lang": pa.chunked_array(langs, pa.string()), "perplexity": pa.chunked_array(values, pa.float64())})
+    shared = docs.sparkSession.sparkContext.broadcast(_common(model, common))
 
-    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, "id long, lang string, perplexity double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, log_p = shared.value
+        for batch in batches:
+            for part in parts(batch, 2):
+                keys, offsets = _keys(part.column(3), part.column(2))
+                found, at = np.unique(keys, return_inverse=True)
+                place = np.minimum(np.searchsorted(held, found), max(len(held) - 1, 0))
+                known = held[place] == found if len(held) else np.zeros(len(found), bool)
+                value = np.where(known, log_p[place] if len(held) else 0.0, 0.0)
+                upto = np.concatenate([[0.0], np.cumsum(value[at])])
+                rest = np.flatnonzero(~known[at])
+                row = np.searchsorted(offsets, rest, "right") - 1
+                order = np.lexsort((at[rest], row))
+                row, which = row[order], at[rest][order]
+                head = firsts(row, which)
+                count = np.diff(np.append(head, len(row)))
+                lists = pa.array(np.searchsorted(row[head], np.arange(part.num_rows + 1)), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(np.diff(offsets), pa.int64()), pa.array(upto[offsets[1:]] - upto[offsets[:-1]]), pa.ListArray.from_arrays(lists, pa.array(found[which[head]].view(np.int64))), pa.ListArray.from_arrays(lists, pa.array(count.astype(np.int64)))],
+                    ["id", "lang", "n_bytes", "log_p", "key", "n"],
+                )
+
+    partly = docs.select("id", "lang", "text", "model").mapInArrow(run, "id long, lang string, n_bytes long, log_p double, key array<long>, n array<long>")
+    # Rows may share an id or have none, so they are told apart by a number of their own, written with them.
+    partly = durable(partly.withColumn("uid", F.monotonically_increasing_id()), "partly-scored")
+    rare = partly.filter("size(key) > 0").select("uid", F.explode(F.arrays_zip("key", "n")).alias("x")).select("uid", "x.*")
+    priced = durable(_priced(rare.select("key").distinct(), model), "priced")
+    rest = rare.join(priced, "key").groupBy("uid").agg(F.sum(F.col("n") * F.col("log_p")).alias("rest"))
+    total = F.col("log_p") + F.coalesce("rest", F.lit(0.0))
+    met = partly.drop("key", "n").join(rest, "uid", "left")
+    return met.select("id", "lang", F.when(F.col("n_bytes") > 0, F.exp(-total / F.col("n_bytes"))).alias("perplexity"))
 
 
 def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,7 +205,8 @@ def classify(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_c
     fold = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(FOLDS))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col(text_col).cast("string").alias("text"), fold.cast("long").alias("model"))
     ids = trusted.select(F.col(id_col).cast("long").alias("id")).filter("id IS NOT NULL").distinct()
-    seen = rows.join(ids.hint("shuffle_hash"), "id", "left_semi")
+    # Two million ids of eight bytes at most are sent to all tasks; more are joined.
+    seen = rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
     # The model of a fold learns from the texts of all others.
     others = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(FOLDS - 1).cast("long")), lambda k: k != F.col("model"))
     model = train(seen.select(F.explode(others).alias("model"), "text"))
