@@ -47,3 +47,15 @@ def test_odd_rows_pass(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "/root/testdata/sf0.001").cache()
         assert docs.count() == 4
+
+
+def test_every_stage_takes_odd_tables(spark):
+    d = "/root/testdata/sf0.001"
+    columns = "doc_id long, text string, lang string, source string, n_chars long, id long, component string, score double"
+    long = "a very long text of words " * 8_000
+    rows = [(1, long, "en", "s", len(long), 7, "x", 0.5), (2, long, "en", "s", len(long), 7, "x", 0.5), (3, "short one", None, None, 9, None, None, None), (3, "short one", None, None, 9, None, None, None), (4, "", "en", "s", 0, 1, "x", 0.1)]
+    for docs, sizes in ((spark.createDataFrame([], columns), [0, 0, 0, 0, 0]), (spark.createDataFrame(rows, columns), [5, 4, 4, 4, 4])):
+        for (_, stage), size in zip(corpus_pipeline.STAGES, sizes):
+            before, docs = docs.columns, stage(spark, docs, d).cache()
+            assert docs.count() == size
+            assert docs.columns == before or stage is corpus_pipeline.STAGES[-1][1]

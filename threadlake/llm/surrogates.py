@@ -244,6 +244,7 @@ def replace(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "
     pieces = F.when(F.col("kind") == "name", words).otherwise(F.array(piece(F.col("kind"), value_of(F.col("kind"), F.col("raw")))))
     title = F.when(F.col("kind") == "name", F.regexp_extract("raw", _IS_TITLE, 0)).otherwise("")
     found = found.select("id", "sum", "n", "raw", title.alias("title"), F.posexplode(pieces).alias("nth", "piece")).select("id", "sum", "n", "raw", "title", "nth", "piece.*")
+    found = durable(found, "pieces")  # read by each of the steps below, and dear to make: it tries all patterns on each entity
     known = assignments(found.filter("kind <> 'initial'"), key)
     # There are too few initials to keep them apart.
     letter = _scrambled(F.col("value"), _noise(key, F.col("kind"), F.col("value"), F.lit(0)))
