@@ -13,6 +13,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _slices_of_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents, in Arrow batches of 10,000 rows: repeated pieces leave each slice of a batch once, so whole slices are
+    worth more than memory here."""
+    docs = _table(spark, sf_dir, "documents")
+    short_batches(spark, 10_000)
+    return docs
+
+
 def word_vocabulary() -> str:
     import public_tokenizers
 
@@ -50,12 +58,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of each document without 13-word windows that an earlier one has."""
-    return substrings.without_earlier_windows(_table(spark, sf_dir, "documents")).drop("spans")
+    return substrings.without_earlier_windows(_slices_of_many(spark, sf_dir)).drop("spans")
 
 
 def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that occur at an earlier place, with that place."""
-    return substrings.repeated_passages(_table(spark, sf_dir, "documents"))
+    return substrings.repeated_passages(_slices_of_many(spark, sf_dir))
 
 
 #: For the tables of tests only; who replaces real data sets spark.threadlake.surrogateKey to a key of their own.
