@@ -48,9 +48,9 @@ def unindexed_sessions(spark, sf_dir):
 
 def upload_candidates(spark, sf_dir):
     local = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id")).distinct()
-    remote = table(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("session_id"))
-    dead = orders(spark, sf_dir).filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("session_id"))
-    fetched = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("session_id"))
+    remote = table(spark, sf_dir, "customer").filter("c_acctbal > 5000").select(F.col("c_custkey").alias("session_id"))
+    dead = orders(spark, sf_dir).filter("o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("session_id"))
+    fetched = table(spark, sf_dir, "supplier").filter("s_acctbal < 0").select(F.col("s_suppkey").alias("session_id"))
     return reduce(lambda a, b: a.join(b, "session_id", "left_anti"), (remote, dead, fetched), local)
 
 
@@ -210,7 +210,7 @@ ORACLES = {
         SELECT session_id FROM s WHERE EXISTS (SELECT 1 FROM late l WHERE l.session_id = s.session_id AND contains(lower(l.content), 'the'))
         OR contains(lower((SELECT arg_min(content, message_index) FROM m WHERE m.session_id = s.session_id AND role = 'user')[:72]), 'the')""",
     "unindexed_sessions": f"WITH {_M} SELECT session_id, count(*) AS n FROM m WHERE session_id NOT IN (SELECT conv_id FROM conversations WHERE conv_id % 3 = 0) GROUP BY session_id HAVING count(*) >= 3",
-    "upload_candidates": """SELECT DISTINCT conv_id AS session_id FROM conversations WHERE conv_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) AND conv_id NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') AND conv_id NOT IN (SELECT s_suppkey FROM supplier)""",
+    "upload_candidates": """SELECT DISTINCT conv_id AS session_id FROM conversations WHERE conv_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000) AND conv_id NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT') AND conv_id NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)""",
     "sync_actions": """WITH x AS (SELECT o_custkey AS id, max(o_orderdate) FILTER (o_orderstatus = 'O') AS a, max(o_orderdate) FILTER (o_orderstatus = 'F') AS b FROM orders WHERE o_orderstatus IN ('O', 'F') GROUP BY o_custkey)
         SELECT id, CASE WHEN a IS NULL THEN 'new' WHEN b > a THEN 'update' WHEN a = b THEN 'same' ELSE 'upload' END AS action FROM x""",
     "users_of_month": "SELECT c_custkey AS user_id, (SELECT count(*) FROM events WHERE user_id = c_custkey AND ts >= '2024-01-01' AND ts < '2024-02-01') AS used, coalesce((SELECT first(o_orderstatus ORDER BY o_orderdate DESC, o_orderkey DESC) FROM orders WHERE o_custkey = c_custkey), 'none') AS status FROM customer",
