@@ -103,6 +103,20 @@ def parts(batch: pa.RecordBatch, text: int, limit: int = CHUNK_BYTES) -> Iterato
         at = to
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Tables of at least so many rows, but for the last, of batches that a session's setting may have made short."""
+    waiting, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            waiting.append(batch)
+            n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(waiting).combine_chunks()
+            waiting, n = [], 0
+    if waiting:
+        yield pa.Table.from_batches(waiting).combine_chunks()
+
+
 def packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     """Binary values: the bytes of values[bounds[i] : bounds[i + 1]]."""
     values = np.ascontiguousarray(values)

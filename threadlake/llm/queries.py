@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threadlake.llm import bpe, decontamination, near_duplicates, perplexity, rules, sql, substrings, surrogates, token_counts, toxicity
+from threadlake.llm import bpe, decontamination, near_duplicates, perplexity, prefix_tries, rules, sql, substrings, surrogates, token_counts, toxicity
 from threadlake.llm.storage import short_batches
 
 
@@ -95,6 +95,11 @@ def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(_table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations."""
+    return prefix_tries.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_perplexity": op2_perplexity,
@@ -106,6 +111,7 @@ QUERIES = {
     "op8_rules": op8_rules,
     "op9_bpe": op9_bpe,
     "op10_passages": op10_passages,
+    "op11_prefix_trie": op11_prefix_trie,
 }
 
-ORACLES = {"op4_substrings": sql.SUBSTRINGS, "op7_decontamination": sql.DECONTAMINATION, "op8_rules": sql.RULES}
+ORACLES = {"op4_substrings": sql.SUBSTRINGS, "op7_decontamination": sql.DECONTAMINATION, "op8_rules": sql.RULES, "op11_prefix_trie": sql.PREFIX_TRIE}

@@ -101,3 +101,43 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN i USING (doc_id)
 """
+
+PREFIX_TRIE = r"""
+WITH own AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i,
+         {'r': coalesce(role, ''), 't': coalesce(text, '')} AS x
+  FROM conversations WHERE conv_id IS NOT NULL
+), conv AS (
+  SELECT c, count(*) AS n FROM own GROUP BY c
+), bits AS (
+  SELECT v, list_reduce([v::BIGINT] || range(8), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS code FROM range(256) t(v)
+), codes AS (
+  SELECT list(code ORDER BY v) AS l FROM bits
+), h AS (
+  SELECT c, xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(c::VARCHAR, ''), lambda d: ascii(d)::BIGINT), lambda a, b: xor(a >> 8, codes.l[xor(a, b) % 256 + 1])), 4294967295) % 6 AS h
+  FROM conv, codes
+), lead_n AS (
+  SELECT h.c, h.h, least(h.h, coalesce(conv.n, 0)) AS m FROM h LEFT JOIN conv ON conv.c = h.c - h.c % 100
+), turn AS (
+  SELECT lead_n.c, i AS d, x FROM lead_n JOIN own ON own.c = lead_n.c - lead_n.c % 100 AND i <= h
+  UNION ALL SELECT lead_n.c, m + i - h, x FROM lead_n JOIN own ON own.c = lead_n.c AND i > h
+), path AS (
+  SELECT a.c, a.d, sha256(string_agg(sha256(b.x.r) || sha256(b.x.t), '' ORDER BY b.d)) AS k, any_value(length(a.x.t)) AS chars
+  FROM turn a JOIN turn b ON a.c = b.c AND b.d <= a.d GROUP BY a.c, a.d
+  UNION ALL SELECT c, 0, '', 0 FROM conv
+), node AS (
+  SELECT k, d, min(c) AS owner, count(*) AS n_convs, any_value(chars) AS chars FROM path GROUP BY k, d
+), up AS (
+  SELECT DISTINCT a.k, b.k AS parent FROM path a JOIN path b ON a.c = b.c AND a.d = b.d + 1
+), child AS (
+  SELECT parent AS k, count(*) AS n_children FROM up GROUP BY parent
+), under AS (
+  SELECT p.k, sum(CASE WHEN child.k IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * node.chars) AS saved
+  FROM node LEFT JOIN child USING (k) JOIN path p ON p.c = node.owner AND p.d <= node.d GROUP BY p.k
+), ends AS (
+  SELECT k, sha256(string_agg(c::VARCHAR, ',' ORDER BY c)) AS digest FROM path JOIN (SELECT c, max(d) AS d FROM path GROUP BY c) USING (c, d) GROUP BY k
+)
+SELECT node.owner AS conv_id, node.d::BIGINT AS depth, parents.owner AS parent_conv_id, node.n_convs::BIGINT AS n_convs, coalesce(n_children, 0)::BIGINT AS n_children,
+       n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, coalesce(digest, sha256('')) AS ends_sha256
+FROM node JOIN under USING (k) LEFT JOIN child USING (k) LEFT JOIN ends USING (k) LEFT JOIN up USING (k) LEFT JOIN node parents ON parents.k = up.parent
+"""

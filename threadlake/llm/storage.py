@@ -26,6 +26,11 @@ def short_batches(spark: SparkSession, rows: int = 1_000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
+def partitions(df: DataFrame) -> int:
+    """The number of partitions that the session shuffles into."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back, so that a lost executor costs a read, not a recount."""
     path = f"{shared_dir(df.sparkSession)}/threadlake/{name}-{uuid.uuid4().hex}"
