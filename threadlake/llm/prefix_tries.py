@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
+from threadlake.llm.joins import joined
 from threadlake.llm.packed import firsts, gathered
 from threadlake.llm.storage import durable, forget, partitions
 
@@ -324,12 +325,6 @@ def end_digests(path: DataFrame, n: int) -> DataFrame:
     return dealt.mapInArrow(digests, "depth long, k1 long, k2 long, ends_sha256 string")
 
 
-def _joined(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame) -> DataFrame:
-    """left join right, inner: rows with the keys of hot, which are few whatever the input, by broadcast."""
-    few = F.broadcast(right.join(F.broadcast(hot), on, "left_semi"))
-    return left.join(F.broadcast(hot), on, "left_anti").join(right.hint("shuffle_merge"), on).unionByName(left.join(few, on))
-
-
 def _chain_sums(shared: DataFrame) -> DataFrame:
     """(node key, conv_id, saved) of nodes with several members: what the owner's chain saves from there on down, by sums of
     blocks of depths and within them, so that a chain of any length is no single group."""
@@ -358,16 +353,16 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     # Only conversations that lie in several partitions can have more rows than a partition: one for each partition at most.
     long = spark.createDataFrame([(c,) for c in sorted(set(carries.after.values()))], "conv_id long")
     sums = path.select("conv_id", *_KEY)
-    given = _joined(sums, chains.select("conv_id", "from", "saved", "leaves"), ["conv_id"], long).filter(F.col("depth") < F.col("from"))
+    given = joined(sums, chains.select("conv_id", "from", "saved", "leaves"), ["conv_id"], long).filter(F.col("depth") < F.col("from"))
     shared = nodes.filter("n_convs > 1")
-    own = _joined(_chain_sums(shared), chains.select("conv_id", "leaves"), ["conv_id"], long)
+    own = joined(_chain_sums(shared), chains.select("conv_id", "leaves"), ["conv_id"], long)
 
     children = nodes.filter("depth > 0").groupBy((F.col("depth") - 1).alias("depth"), F.col("p1").alias("k1"), F.col("p2").alias("k2")).agg(F.count("*").alias("n_children"))
     children = durable(children, "children")
     total = nodes.count()
     hot = children.filter(F.col("n_children") > F.lit(total) / HOT).select(*_KEY)
     asked = chains.filter("from > 0").select((F.col("from") - 1).alias("depth"), F.col("p1").alias("k1"), F.col("p2").alias("k2"), F.struct(F.col("from").alias("depth"), "k1", "k2").alias("node"))
-    parents = _joined(asked, nodes.select(*_KEY, "conv_id"), _KEY, hot).select("node.*", F.col("conv_id").alias("parent_conv_id"))
+    parents = joined(asked, nodes.select(*_KEY, "conv_id"), _KEY, hot).select("node.*", F.col("conv_id").alias("parent_conv_id"))
 
     kinds = {"conv_id": "long", "n_convs": "long", "parent_conv_id": "long", "n_children": "long", "n_leaves": "long", "saved_tokens": "long", "ends_sha256": "string"}
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threadlake.llm import bpe, decontamination, near_duplicates, perplexity, prefix_tries, rules, sql, substrings, surrogates, token_counts, toxicity
+from threadlake.llm import bpe, decontamination, near_duplicates, ngram_join, perplexity, prefix_tries, rules, sql, substrings, surrogates, token_counts, toxicity
 from threadlake.llm.storage import short_batches
 
 
@@ -100,6 +100,11 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_tries.prefix_trie(_table(spark, sf_dir, "conversations"))
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every document by links of similar sets of three-word shingles."""
+    return ngram_join.alike(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_perplexity": op2_perplexity,
@@ -112,6 +117,7 @@ QUERIES = {
     "op9_bpe": op9_bpe,
     "op10_passages": op10_passages,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_ngram_join": op12_ngram_join,
 }
 
 ORACLES = {"op4_substrings": sql.SUBSTRINGS, "op7_decontamination": sql.DECONTAMINATION, "op8_rules": sql.RULES, "op11_prefix_trie": sql.PREFIX_TRIE}
