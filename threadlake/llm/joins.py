@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
-def joined(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame) -> DataFrame:
-    """left join right, inner. Rows with the keys of hot, of which there are only so many whatever the input (the caller
-    says why), join by broadcast where they lie; all others by shuffle, where no key has many rows."""
-    few = F.broadcast(right.join(F.broadcast(hot), on, "left_semi"))
-    return left.join(F.broadcast(hot), on, "left_anti").join(right.hint("shuffle_merge"), on).unionByName(left.join(few, on))
+def joined(left: DataFrame, right: DataFrame, on: list[str], key: str, hot: list) -> DataFrame:
+    """left join right, inner. Rows whose key is in hot, a list that is only so long whatever the input (the caller says
+    why), are joined by broadcast where they lie; all others by shuffle, where no key has many rows."""
+    rest = right.hint("shuffle_merge")
+    if not hot:
+        return left.join(rest, on)
+    is_hot = F.col(key).isin(hot)
+    return left.filter(~is_hot).join(rest.filter(~is_hot), on).unionByName(left.filter(is_hot).join(F.broadcast(right.filter(is_hot)), on))

@@ -1,11 +1,12 @@
 """Links between documents whose sets of word n-grams are alike, by a prefix-tree join: exact, without lists of all pairs.
 
 1. A document's n-grams, as 64-bit hashes, are put in one order for all documents, by a table of fixed size of how many
-   have them. Two sets of Jaccard similarity s or more share one of the first n - ceil(s n) + 1 n-grams, the prefix.
-   Documents with the same set are one: their least id stands for them.
-2. A prefix n-gram that several sets have makes a cell of them. Most cells say the same: each set's anchor is the n-gram
-   of its prefix that most have. A cell whose sets all have one anchor lies within that one's cell and is left out, as is
-   one that has the same sets as another.
+   have them. Two sets of Jaccard similarity s or more share m of the first n - ceil(s n) + m n-grams, the prefix, m being
+   n / MORE. So a set can be left out if fewer of its prefix, by a tenth, are in another's prefix; this is looked at twice,
+   as each set left out leaves n-grams alone. Documents with the same set are one: their least id stands for them.
+2. A prefix n-gram that several sets have makes a cell of them. Most cells say the same: one whose sets all have another
+   n-gram in common, of the TOPS in each one's prefix that most sets have, lies within that one's cell and is left out, as
+   is one that has the same sets as another.
 3. In a cell the sets, with their n-grams ordered by how many of the cell have them, form a trie. All sets of a block go
    down the trie together: at each node the overlap with the path so far is carried on, so that it is found once for all
    sets below, and the node's subtree is left when what remains of the set and of the longest set below cannot reach the
@@ -41,6 +42,10 @@ from threadlake.llm.storage import durable, forget, partitions
 
 #: Two sets link when DEN * overlap >= NUM * union.
 NUM, DEN, WIDTH = 90, 100, 3
+#: One in so many n-grams more than needed are in a prefix.
+MORE = 20
+#: n-grams of each set that are tried as wider cells.
+TOPS = 4
 #: n-grams of a cell's sets, about; hot n-grams are those of more than one in HOT of all rows, so HOT of them at most.
 CELL, HOT = 1 << 20, 1024
 #: n-grams of one step down the trie; numbers of a block's table of which set has which n-gram.
@@ -106,7 +111,7 @@ def prefixes(rows: DataFrame) -> DataFrame:
                 order = np.lexsort((found.gram, shared.value[_counter(found.gram)], found.row))
                 begin = np.cumsum(found.size) - found.size
                 place = np.arange(len(found.row)) - begin[found.row]
-                length = np.where(found.size >= least, found.size - _least_overlap(found.size) + 1, 0)
+                length = np.where(found.size >= least, found.size - _least_overlap(found.size) - (-found.size // MORE), 0)
                 kept = found.gram[order][place < length[found.row]].view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), pa.array(kept))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found.size), pa.array([x.tobytes() for x in found.key], pa.binary()), lists], ["id", "n", "key", "prefix"])
@@ -114,21 +119,33 @@ def prefixes(rows: DataFrame) -> DataFrame:
     return rows.select("id", "text").mapInArrow(run, "id long, n long, key binary, prefix array<long>")
 
 
+def _shared(posted: DataFrame) -> tuple[DataFrame, list[int]]:
+    """posted (node, n, gram) with sets and weight, how many sets have it and their size together, without n-grams that one
+    set alone has and without sets that have too few of the others; and the hot n-grams."""
+    grams = durable(posted.groupBy("gram").agg(F.count("*").alias("sets"), F.sum("n").alias("weight")).filter("sets > 1"), "shared-grams")
+    # No n-gram outside of this list has more than one in HOT of the rows, and a list of more than HOT cannot be.
+    hot = [row.gram for row in grams.filter(F.col("sets") > F.lit(posted.count()) / HOT).select("gram").collect()]
+    met = durable(joined(posted, grams, ["gram"], "gram", hot), "shared-prefix-grams")
+    alive = met.groupBy("node").agg(F.count("*").alias("k"), F.first("n").alias("n")).filter(F.col("k") * MORE * DEN >= F.col("n") * NUM).select("node")
+    return durable(met.join(alive.hint("shuffle_merge"), "node", "left_semi"), "shared-by-many"), hot
+
+
 def cells(texts: DataFrame, cell: int = CELL) -> DataFrame:
     """(node, gram, part, low, high) of texts (node, n, prefix): the cells that each has to be in."""
     posted = durable(texts.select("node", "n", F.explode("prefix").alias("gram")), "prefix-grams")
-    grams = durable(posted.groupBy("gram").agg(F.count("*").alias("sets"), F.sum("n").alias("weight")).filter("sets > 1"), "shared-grams")
-    # No n-gram outside of this list has more than one in HOT of the rows, and a list of more than HOT cannot be.
-    hot = grams.filter(F.col("sets") > F.lit(posted.count()) / HOT).select("gram")
-    shared = durable(joined(posted, grams, ["gram"], hot), "shared-prefix-grams")
-    anchors = shared.groupBy("node").agg(F.max(F.struct("sets", "gram")).alias("anchor")).select("node", F.col("anchor.gram").alias("anchor"))
-    bits = F.xxhash64("node")
-    lists = shared.join(anchors, "node").groupBy("gram").agg(F.min("anchor").alias("low"), F.max("anchor").alias("high"), F.bit_xor(bits).alias("digest"), F.min("node").alias("first"), F.count("*").alias("sets"), F.max("weight").alias("weight"))
-    kept = lists.filter("low <> high OR low = gram")
+    once, _ = _shared(posted)
+    forget(posted)
+    shared, hot = _shared(once.select("node", "n", "gram"))
+    mine = F.struct("sets", "gram")
+    tops = shared.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(mine), False), 1, TOPS).alias("tops"))
+    lists = durable(shared.groupBy("gram").agg(F.bit_xor(F.xxhash64("node")).alias("digest"), F.min("node").alias("first"), F.count("*").alias("n"), F.max("weight").alias("weight")).filter("n > 1"), "lists")
+    wider = shared.join(tops, "node").select("gram", mine.alias("mine"), F.explode("tops").alias("top")).filter("top > mine")
+    wider = wider.groupBy("gram", "top").agg(F.count("*").alias("n")).join(lists.select("gram", "n"), ["gram", "n"], "left_semi").select("gram").distinct()
+    kept = lists.join(wider, "gram", "left_anti")
     # Of n-grams with the same sets one is enough.
-    kept = kept.groupBy("digest", "first", "sets").agg(F.min_by(F.struct("gram", "weight"), "gram").alias("x")).select("x.gram", "x.weight")
+    kept = kept.groupBy("digest", "first", "n").agg(F.min_by(F.struct("gram", "weight"), "gram").alias("x")).select("x.gram", "x.weight")
     kept = durable(kept, "cells")
-    met = joined(shared.select("node", "n", "gram"), kept, ["gram"], hot.join(kept, "gram", "left_semi"))
+    met = joined(shared.select("node", "n", "gram"), kept, ["gram"], "gram", hot)
     size_class = F.floor(F.log("n") / math.log(DEN / NUM)).cast("int")
     part = F.when(F.col("weight") > cell, F.array(size_class, size_class - 1)).otherwise(F.array(F.lit(-1)))
     met = durable(met.select("node", "n", "gram", F.explode(part).alias("part")), "cell-members")

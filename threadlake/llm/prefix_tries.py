@@ -338,7 +338,7 @@ def _chain_sums(shared: DataFrame) -> DataFrame:
 
 def prefix_trie(conversations: DataFrame) -> DataFrame:
     """(conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256) of each node."""
-    spark, n = conversations.sparkSession, partitions(conversations)
+    n = partitions(conversations)
     local = durable(turns(conversations, n), "turns")
     carries = _carries(local)
     path = durable(paths(local, carries, n), "paths")
@@ -351,18 +351,18 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     chains = nodes.groupBy("conv_id").agg(top.alias("top"), F.sum((F.col("n_convs") - 1) * F.col("chars")).alias("saved"), F.max(leaf).cast("long").alias("leaves"))
     chains = durable(chains.select("conv_id", F.col("top.depth").alias("from"), F.col("top.k1").alias("k1"), F.col("top.k2").alias("k2"), F.col("top.p1").alias("p1"), F.col("top.p2").alias("p2"), "saved", "leaves"), "chains")
     # Only conversations that lie in several partitions can have more rows than a partition: one for each partition at most.
-    long = spark.createDataFrame([(c,) for c in sorted(set(carries.after.values()))], "conv_id long")
+    long = sorted({int(c) for c in carries.after.values()})
     sums = path.select("conv_id", *_KEY)
-    given = joined(sums, chains.select("conv_id", "from", "saved", "leaves"), ["conv_id"], long).filter(F.col("depth") < F.col("from"))
+    given = joined(sums, chains.select("conv_id", "from", "saved", "leaves"), ["conv_id"], "conv_id", long).filter(F.col("depth") < F.col("from"))
     shared = nodes.filter("n_convs > 1")
-    own = joined(_chain_sums(shared), chains.select("conv_id", "leaves"), ["conv_id"], long)
+    own = joined(_chain_sums(shared), chains.select("conv_id", "leaves"), ["conv_id"], "conv_id", long)
 
     children = nodes.filter("depth > 0").groupBy((F.col("depth") - 1).alias("depth"), F.col("p1").alias("k1"), F.col("p2").alias("k2")).agg(F.count("*").alias("n_children"))
     children = durable(children, "children")
     total = nodes.count()
-    hot = children.filter(F.col("n_children") > F.lit(total) / HOT).select(*_KEY)
+    hot = [row.k1 for row in children.filter(F.col("n_children") > F.lit(total) / HOT).select("k1").collect()]
     asked = chains.filter("from > 0").select((F.col("from") - 1).alias("depth"), F.col("p1").alias("k1"), F.col("p2").alias("k2"), F.struct(F.col("from").alias("depth"), "k1", "k2").alias("node"))
-    parents = joined(asked, nodes.select(*_KEY, "conv_id"), _KEY, hot).select("node.*", F.col("conv_id").alias("parent_conv_id"))
+    parents = joined(asked, nodes.select(*_KEY, "conv_id"), _KEY, "k1", hot).select("node.*", F.col("conv_id").alias("parent_conv_id"))
 
     kinds = {"conv_id": "long", "n_convs": "long", "parent_conv_id": "long", "n_children": "long", "n_leaves": "long", "saved_tokens": "long", "ends_sha256": "string"}
 
