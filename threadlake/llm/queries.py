@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threadlake.llm import bpe, decontamination, near_duplicates, ngram_join, perplexity, prefix_tries, rules, sql, substrings, surrogates, token_counts, toxicity
+from threadlake.llm import bpe, decontamination, hard_negatives, near_duplicates, ngram_join, perplexity, prefix_tries, rules, sql, substrings, surrogates, token_counts, toxicity
 from threadlake.llm.storage import short_batches
 
 
@@ -105,6 +105,13 @@ def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.alike(_table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector, with one label in seven moved on by one."""
+    rows = hard_negatives.whole_vectors(_table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding")
+    moved = F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(rows.withColumn("label", moved), F.col("id") % 50 == 0)
+
+
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_perplexity": op2_perplexity,
@@ -118,6 +125,7 @@ QUERIES = {
     "op10_passages": op10_passages,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_ngram_join": op12_ngram_join,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
-ORACLES = {"op4_substrings": sql.SUBSTRINGS, "op7_decontamination": sql.DECONTAMINATION, "op8_rules": sql.RULES, "op11_prefix_trie": sql.PREFIX_TRIE}
+ORACLES = {"op4_substrings": sql.SUBSTRINGS, "op7_decontamination": sql.DECONTAMINATION, "op8_rules": sql.RULES, "op11_prefix_trie": sql.PREFIX_TRIE, "op13_hard_negatives": sql.HARD_NEGATIVES}
