@@ -125,3 +125,19 @@ def test_exact_finish_finds_every_link_between_classes(spark):
         got = [(r.id, r.hub) for r in near_duplicates.bridges(crowd, docs, cell=cell).collect()]
         assert len(got) == len(set(got)) and len(expected) > 50 and expected <= set(got)
         assert all(part[a] != part[b] for a, b in got)
+
+
+def test_an_id_with_two_texts(spark):
+    """Every row gives one row, and a text without a duplicate stays though another text of its id goes."""
+    rows = [(1, "one two three four five six"), (2, "one two three four five six"), (2, "another text that nothing else has"), (3, "zz yy"), (4, "seven words that only this row has"), (4, "one two three four five six"), (None, "zz yy"), (3, "zz yy")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_duplicates.near_duplicates(docs).collect()
+    assert len(got) == len(rows) and sorted((r.class_id, r.kept) for r in got if r.doc_id == 2) == [(1, False), (2, True)]
+    left = sorted(map(str, (tuple(r) for r in near_duplicates.without_duplicates(docs).collect())))
+    assert left == sorted(map(str, [rows[0], rows[2], rows[3], rows[4], rows[6], rows[7]]))
+
+
+def test_two_texts_of_one_id_alone(spark):
+    docs = spark.createDataFrame([(5, "a b c d e f g"), (5, "h i j k l m n"), (6, "h i j k l m n")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.class_id, r.kept) for r in near_duplicates.near_duplicates(docs).collect())
+    assert got == [(5, 5, True), (5, 5, True), (6, 5, False)]

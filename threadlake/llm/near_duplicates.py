@@ -20,9 +20,10 @@ bounds that no link exceeds, and what is left by exact overlap. The order's coun
 they decide what it costs, not what is found. A shingle in many texts is dealt over cells of at most some CELL * 2 texts.
 As all links between different classes are found at once, there is nothing left to repeat.
 
-Results: texts of one to four words have one shingle of all of them; a null or empty text is nothing's duplicate; of
-repeated rows all are kept, as they have one id; rows with a null id are a class of their own; other columns are not
-read; an empty table gives no rows.
+Results: texts of one to four words have one shingle of all of them; a null or empty text is nothing's duplicate; every
+row gives one row, told apart by id and text, so an id with several texts has a class for each; of a class the text with
+the least id stays (of one id's several texts, that of the least hash), with all rows that repeat it; rows with a null id
+are a class of their own; other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -107,12 +108,12 @@ def signatures(row: np.ndarray, shingle: np.ndarray, count: np.ndarray, n: int,
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(id, key, bands) of docs (id, text) with words: a 128-bit key of the word sequence and the hash of each band."""
+    """(id, h, key, bands) of docs (id, h, text) with words: a 128-bit key of the word sequence and the hash of each band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in parts(batch, 1, _SLICE_BYTES):
-                words = words_of(part.column(1))
+            for part in parts(batch, 2, _SLICE_BYTES):
+                words = words_of(part.column(2))
                 hashes = words.hashes()
                 full = np.flatnonzero(words.counts())
                 if not len(full):
@@ -129,11 +130,11 @@ def sketches(docs: DataFrame) -> DataFrame:
                     powers = np.cumprod(np.full(int(length.max()), base, np.uint64))
                     key[:, j] = mix(np.add.reduceat(mix(hashes + np.uint64(j)) * powers[place], words.first[full]) + length.astype(np.uint64))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(full)), pa.array([x.tobytes() for x in key], pa.binary()), pa.FixedSizeListArray.from_arrays(pa.array(band.reshape(-1).view(np.int64)), BANDS).cast(pa.list_(pa.int64()))],
-                    ["id", "key", "bands"],
+                    [part.column(0).take(pa.array(full)), part.column(1).take(pa.array(full)), pa.array([x.tobytes() for x in key], pa.binary()), pa.FixedSizeListArray.from_arrays(pa.array(band.reshape(-1).view(np.int64)), BANDS).cast(pa.list_(pa.int64()))],
+                    ["id", "h", "key", "bands"],
                 )
 
-    return docs.select("id", "text").mapInArrow(run, "id long, key binary, bands array<long>")
+    return docs.select("id", "h", "text").mapInArrow(run, "id long, h long, key binary, bands array<long>")
 
 
 def buckets(texts: DataFrame) -> DataFrame:
@@ -233,9 +234,16 @@ def _alike(cell: np.ndarray, ids: np.ndarray, component: np.ndarray, salt: np.nd
     return pairs[1], pairs[0]
 
 
+def _with_texts(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """nodes (id, ..) with their texts, from docs (id, text); or nodes (id, doc, h, ..) from docs (doc, h, text). Always by
+    shuffle: nodes grow with the documents, so a broadcast would only hide the cost at small sizes."""
+    on = ["doc", "h"] if "doc" in nodes.columns else ["id"]
+    return docs.join(nodes.hint("shuffle_merge"), on).dropDuplicates(["id"])
+
+
 def bridges(crowd: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, cell: int = CELL) -> DataFrame:
     """(id, hub) of crowd (id, component): the pairs of texts of different components that may be alike."""
-    texts = docs.join(crowd.hint("shuffle_merge"), "id").select("id", "component", "text").dropDuplicates(["id"])
+    texts = _with_texts(crowd, docs).select("id", "component", "text")
     known = durable(_prefixes(durable(texts, "crowded-texts"), similarity), "prefixes")
     spread = known.select("id", "component", F.posexplode("tokens").alias("place", "token"))
     groups = spread.groupBy("token").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
@@ -286,11 +294,10 @@ def similarities(left: pa.Array, right: pa.Array) -> np.ndarray:
     return shared / np.maximum(np.bincount(row, count, len(left)) - shared, 1)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(id, hub, similarity) of pairs (id, hub)."""
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, hub, similarity) of pairs (id, hub) of nodes (id, doc, h)."""
     members = pairs.select("id").union(pairs.select(F.col("hub").alias("id"))).distinct()
-    # Always by shuffle: members grow with the documents, so a broadcast would only hide the cost at small sizes.
-    texts = durable(docs.join(members.hint("shuffle_merge"), "id", "left_semi").select("id", "text").dropDuplicates(["id"]), "near-texts")
+    texts = durable(_with_texts(nodes.join(members, "id", "left_semi"), docs).select("id", "text"), "near-texts")
     sides = pairs.join(texts, "id").join(texts.select(F.col("id").alias("hub"), F.col("text").alias("hub_text")), "hub")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,36 +308,57 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return sides.select("id", "hub", "text", "hub_text").mapInArrow(run, "id long, hub long, similarity double")
 
 
-def links(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(id, text_id): for each document with an id and words the least id with the same words; (a, b, similarity): links
-    between those, enough to hold every class together; and (node, component): their classes."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id IS NOT NULL")
-    known = durable(sketches(rows), "sketches")
-    firsts_of = known.groupBy("key").agg(F.min_by(F.struct("id", "bands"), "id").alias("x")).select("key", F.col("x.id").alias("text_id"), "x.bands")
-    firsts_of = durable(firsts_of, "texts")
-    members = known.select("id", "key").join(firsts_of.select("key", "text_id"), "key").select("id", "text_id").distinct()
-    spread = buckets(firsts_of.select(F.col("text_id").alias("id"), "bands"))
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, h, text): a row's id, a hash that tells the texts of one id apart, and its text."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("h"), text.alias("text"))
+
+
+def links(rows: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Of rows (doc, h, text): (doc, h, id): for each with an id and words the number of its word sequence; (id, doc, h): the
+    least row of each; (a, b, similarity): links between those, enough to hold every class together; and (node,
+    component): their classes."""
+    rows = rows.filter("doc IS NOT NULL")
+    known = durable(sketches(rows.withColumnRenamed("doc", "id")).withColumnRenamed("id", "doc"), "sketches")
+    firsts_of = known.groupBy("key").agg(F.min(F.struct("doc", "h")).alias("first"), F.first("bands").alias("bands"))
+    firsts_of = durable(firsts_of.select(F.monotonically_increasing_id().alias("id"), "key", "first.doc", "first.h", "bands"), "texts")
+    members = known.select("doc", "h", "key").distinct().join(firsts_of.select("key", "id"), "key").select("doc", "h", "id")
+    nodes, spread = firsts_of.select("id", "doc", "h"), buckets(firsts_of.select("id", "bands"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        alike = _verified(durable(pairs, "pairs"), rows).filter(F.col("similarity") >= similarity)
+        alike = _verified(durable(pairs, "pairs"), nodes, rows).filter(F.col("similarity") >= similarity)
         return durable(alike.select(F.col("id").alias("a"), F.col("hub").alias("b"), "similarity"), "near-links")
 
     found = verified(candidates(spread))
     labels = components(found)
-    crowd = durable(crowded(spread, labels), "crowded")
+    crowd = durable(crowded(spread, labels).join(nodes, "id"), "crowded")
     if crowd.isEmpty():
-        return members, found, labels
+        return members, nodes, found, labels
     found = found.union(verified(bridges(crowd, rows, similarity)))
-    return members, found, components(found)
+    return members, nodes, found, components(found)
+
+
+def _classes(rows: DataFrame, similarity: float) -> DataFrame:
+    """(doc, h, class_id, n_links, kept) of rows with an id and words, once for each id and text."""
+    members, nodes, found, labels = links(rows, similarity)
+    degree = found.select("a").union(found.select("b")).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n_links"))
+    own = nodes.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = own.groupBy("component").agg(F.min(F.struct("doc", "h")).alias("least"))
+    of = own.join(least, "component").join(degree, "id", "left").select("id", F.col("least.doc").alias("class_id"), F.col("least.h").alias("_h"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    kept = (F.col("doc") == F.col("class_id")) & (F.col("h") == F.col("_h"))
+    return members.join(of, "id").select("doc", "h", "class_id", "n_links", kept.alias("kept"))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, class_id, n_links, kept) of each document: the least id of its class, the number of links found between its
     text and other texts, and whether it is the one of its class that stays."""
-    members, found, labels = links(docs, similarity, id_col, text_col)
-    degree = found.select("a").union(found.select("b")).groupBy(F.col("a").alias("text_id")).agg(F.count("*").alias("n_links"))
-    classes = members.join(labels.withColumnRenamed("node", "text_id"), "text_id", "left").join(degree, "text_id", "left")
-    classes = classes.select("id", F.coalesce("component", "text_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    rows = docs.select(F.col(id_col).cast("long").alias("id")).join(classes, "id", "left")
-    own = F.coalesce("class_id", "id")
-    return rows.select(F.col("id").alias(id_col), own.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce(own == F.col("id"), F.lit(True)).alias("kept"))
+    rows = _rows(docs, id_col, text_col)
+    met = rows.select("doc", "h").join(_classes(rows, similarity), ["doc", "h"], "left")
+    return met.select(F.col("doc").alias(id_col), F.coalesce("class_id", "doc").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("kept", F.lit(True)).alias("kept"))
+
+
+def without_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows of each class but those of the text that stays."""
+    gone = _classes(_rows(docs, id_col, text_col), similarity).filter("NOT kept").select(F.col("doc").alias("_doc"), F.col("h").alias("_h"))
+    same = (docs[id_col].cast("long") == F.col("_doc")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("_h"))
+    return docs.join(gone, same, "left_anti")
