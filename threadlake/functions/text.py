@@ -50,6 +50,9 @@ BUG_SCORES = [
     (r"(?i)\bfailed to\b|\bnot (?:found|matching|detecting)\b", 2),
     (r"(?i)\bHTTP [45]\d\d\b", 2),
 ]
+STOP_WORDS = """the a an is are was were be been have has had do does did will would could should may might can this that these those which who what
+where when how and or but not if then than so as at by for in of on to up from with about i you we they me my""".split()
+TROUBLE = r"(?i)error|bug|fix|fail|issue|crash|broken"
 LANGUAGES = [
     (r"import React|ReactDOM|jsx|tsx|<\w+\s*/>", "typescript"),
     (r"def\s+\w+\(|from\s+\w+\s+import|print\(", "python"),
@@ -196,3 +199,12 @@ def native_id(platform: Column, url: Column) -> Column:
     path = F.try_parse_url(url, F.lit("PATH"))
     found = F.coalesce(*(F.when(platform == p, F.regexp_extract(path, r, 1)) for p, r in NATIVE_IDS.items()))
     return F.when(found != "", found)
+
+
+def query_variants(task: Column) -> Column:
+    """A task and up to four other ways to ask for it by its first six words that mean something, once each."""
+    words = F.filter(F.split(F.lower(task), r"\W+"), lambda w: (F.length(w) > 2) & ~w.isin(STOP_WORDS))
+    key = F.array_join(F.slice(words, 1, 6), " ")
+    more = F.when((key != "") & (key != F.lower(task)), F.array(key, F.concat(F.lit("implementing "), key))).otherwise(F.array().cast("array<string>"))
+    last = F.concat(F.when(task.rlike(TROUBLE), "error debugging ").otherwise("code for "), key)
+    return F.slice(F.array_distinct(F.concat(F.array(task), more, F.array(last))), 1, 5)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from threadlake.functions.text import fingerprint
@@ -64,6 +67,59 @@ def merge_partial(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     return slot.select("session_id", place.cast("bigint").alias("place"), "best.role", "best.content")
 
 
+def merge_captures(stored: DataFrame, incoming: DataFrame, longest: int = 80_000, full: int = 500_000) -> DataFrame:
+    """(session_id, place, message_id, role, content) of messages (session_id, message_index, message_id, role, content).
+
+    Incoming messages, cut to `longest` characters with a note, come one by one: each meets the first message with its id, or
+    else the first with its fingerprint, and replaces it unless it is shorter; else it is added. Where `full` characters are
+    stored, nothing is merged; such sessions, however large, never come to a task of their own. Null contents are empty."""
+    columns = ["session_id", "message_index", "message_id", "role", F.coalesce("content", F.lit("")).alias("content")]
+    old, new = stored.select(*columns), incoming.select(*columns)
+    size = old.groupBy("session_id").agg(F.sum(F.length("content")).alias("_size"))
+    closed = size.filter(F.col("_size") >= full).select("session_id")
+    place = F.row_number().over(Window.partitionBy("session_id").orderBy("message_index")) - 1
+    left = old.join(closed, "session_id", "left_semi").select("session_id", place.cast("bigint").alias("place"), "message_id", "role", "content")
+    cut = F.concat(F.substring("content", 1, longest), F.lit(f"\n\n[content truncated at {longest} chars]"))
+    new = new.withColumn("content", F.when(F.length("content") > longest, cut).otherwise(F.col("content")))
+    every = old.withColumn("_source", F.lit(0)).unionByName(new.withColumn("_source", F.lit(1))).join(closed, "session_id", "left_anti")
+    every = every.withColumn("_fp", fingerprint(F.col("role"), F.col("content"))).withColumn("_length", F.length("content"))
+    dealt = every.select("session_id", "_source", "message_index", "message_id", "role", "content", "_fp", "_length").repartition("session_id").sortWithinPartitions("session_id", "_source", "message_index")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(session: int, kept: list[tuple]) -> pa.RecordBatch:
+            ids, roles, contents = ([k[j] for k in kept] for j in (0, 1, 2))
+            return pa.RecordBatch.from_arrays([pa.array([session] * len(kept), pa.int64()), pa.array(range(len(kept)), pa.int64()), *(pa.array(c, pa.string()) for c in (ids, roles, contents))], ["session_id", "place", "message_id", "role", "content"])
+
+        # One session's merged messages, and where each id and fingerprint is.
+        session, kept, by_id, by_fp = None, [], {}, {}
+
+        def put(at: int, message: tuple) -> None:
+            if at < len(kept):
+                for index, key in ((by_id, kept[at][0]), (by_fp, kept[at][3])):
+                    index[key].discard(at)
+                kept[at] = message
+            else:
+                kept.append(message)
+            for index, key in ((by_id, message[0]), (by_fp, message[3])):
+                index.setdefault(key, set()).add(at)
+
+        for batch in batches:
+            for s, source, _, *message in zip(*(c.to_pylist() for c in batch.columns)):
+                if s != session:
+                    if kept:
+                        yield rows(session, kept)
+                    session, kept, by_id, by_fp = s, [], {}, {}
+                met = (by_id.get(message[0]) if message[0] else None) or by_fp.get(message[3]) if source else None
+                at = min(met) if met else len(kept)
+                if at == len(kept) or message[4] >= kept[at][4]:
+                    put(at, tuple(message))
+        if kept:
+            yield rows(session, kept)
+
+    merged = dealt.mapInArrow(run, "session_id long, place long, message_id string, role string, content string")
+    return merged.unionByName(left)
+
+
 def session_ends(messages: DataFrame, *more: str) -> DataFrame:
     """(session_id, n, first, last, more) of messages: their number and the first 200 characters of both ends."""
     head = F.substring("content", 1, 200)
@@ -148,6 +204,6 @@ def admitted(requests: DataFrame, limit: int, *keys: str, order: tuple[str, ...]
 
 def usage_decision(usage: DataFrame, limits: DataFrame, by: str = "tier") -> DataFrame:
     """usage with allowed, remaining and reason: what is at its limit is let through, with remaining 999 and a reason."""
-    met = usage.join(F.broadcast(limits.limit(1000)), by)
+    met = usage.join(limits, by)
     over = F.col("used") >= F.col("allowance")
     return met.withColumn("allowed", F.lit(True)).withColumn("remaining", F.when(over, F.lit(999)).otherwise(F.col("allowance") - F.col("used")).cast("bigint")).withColumn("reason", F.when(over, "limit_reached_promotional_unlocked"))

@@ -76,10 +76,12 @@ def reconciled_history(spark, sf_dir):
 
 
 def messages_of_chunks(spark, sf_dir):
-    """The messages that a session's chunks name, their places moved into the session; the last ten more if the chunks are fewer than five."""
-    m = _texts(spark, sf_dir).filter("session_id < 9000000")
+    """The messages that a session's chunks name, their places moved into the session; the last ten more if the chunks are fewer
+    than five. Chunks that belong to another session are left out."""
+    m = _texts(spark, sf_dir)
     n = m.groupBy("session_id").agg(F.count("*").alias("n"))
-    c = chunks(spark, sf_dir).select((F.col("chunk_id") % 37).alias("session_id"), F.col("message_index").alias("at"))
+    c = chunks(spark, sf_dir).select(F.when(F.col("chunk_id") % 13 == 0, 9000001 + F.col("chunk_id") % 4).otherwise(F.col("chunk_id") % 37).alias("session_id"), F.col("message_index").alias("at"), F.when(F.col("chunk_id") % 11 == 0, -1).otherwise(0).alias("shift"))
+    c = c.withColumn("owner", F.col("session_id") + F.col("shift")).filter("owner = session_id").select("session_id", "at")
     named = c.join(n, "session_id").select("session_id", F.greatest(F.lit(0), F.least("at", F.col("n") - 1)).alias("message_index")).distinct()
     few = n.join(c.groupBy("session_id").agg(F.count("*").alias("k")), "session_id", "left").filter("coalesce(k, 0) < 5")
     tail = m.join(few.select("session_id", "n"), "session_id").filter("message_index >= n - 10").select("session_id", "message_index")
@@ -215,7 +217,7 @@ ORACLES = {
         SELECT id, CASE WHEN a IS NULL THEN 'new' WHEN b > a THEN 'update' WHEN a = b THEN 'same' ELSE 'upload' END AS action FROM x""",
     "users_of_month": "SELECT c_custkey AS user_id, (SELECT count(*) FROM events WHERE user_id = c_custkey AND ts >= '2024-01-01' AND ts < '2024-02-01') AS used, coalesce((SELECT first(o_orderstatus ORDER BY o_orderdate DESC, o_orderkey DESC) FROM orders WHERE o_custkey = c_custkey), 'none') AS status FROM customer",
     "reconciled_history": "WITH c AS (SELECT user_id, strftime(ts, '%Y-%m') AS month, event_type, count(*) AS n FROM events WHERE event_type IN ('view', 'click', 'purchase') GROUP BY ALL) SELECT user_id, month, max(n) AS n FROM c GROUP BY ALL",
-    "messages_of_chunks": f"""WITH {_M}, s AS (SELECT session_id, count(*) AS n FROM m WHERE session_id < 9000000 GROUP BY session_id), c AS (SELECT vec_id % 37 AS session_id, vec_id // 10 AS at_i FROM embeddings), k AS (SELECT session_id, count(*) AS k FROM c GROUP BY session_id)
+    "messages_of_chunks": f"""WITH {_M}, s AS (SELECT session_id, count(*) AS n FROM m GROUP BY session_id), c AS (SELECT CASE WHEN vec_id % 13 = 0 THEN 9000001 + vec_id % 4 ELSE vec_id % 37 END AS session_id, vec_id // 10 AS at_i FROM embeddings WHERE vec_id % 11 <> 0), k AS (SELECT session_id, count(*) AS k FROM c GROUP BY session_id)
         SELECT m.session_id, m.message_index, m.role FROM m JOIN s USING (session_id) LEFT JOIN k USING (session_id) WHERE (coalesce(k.k, 0) < 5 AND m.message_index >= n - 10)
         OR m.message_index IN (SELECT CASE WHEN at_i < n THEN at_i ELSE n - 1 END FROM c WHERE c.session_id = m.session_id)""",
     "quality_report": f"WITH d AS (SELECT doc_id, n_chars % 101 AS score FROM documents) SELECT count(*) AS total, {_R1.format('avg(score)')} AS average, first(doc_id ORDER BY score DESC, doc_id) AS best, first(doc_id ORDER BY score, doc_id) AS worst FROM d",

@@ -1,6 +1,6 @@
 """DuckDB statements for `operator_queries`, written from the rules and not from the Spark expressions."""
 
-from threadlake.sources import samples
+from threadlake.sources import captures, samples
 
 MESSAGES = f"""messages AS (SELECT conv_id AS session_id, turn AS message_index, role, text AS content FROM conversations
     UNION ALL {samples.values(samples.MESSAGES, samples.MESSAGE_COLUMNS)})"""
@@ -10,7 +10,7 @@ ASKED = "asked AS (SELECT vec_id AS query_id, label::BIGINT AS session_id, embed
 PAGES = """web AS (SELECT page_id, ['chatgpt','claude','grok','gemini','deepseek','perplexity'][page_id % 6 + 1] AS platform, url, html FROM pages
     UNION ALL SELECT * FROM (VALUES (-1, 'chatgpt', 'https://Chat.example.com/c/ab-12?model=x&c=77', ''), (-2, 'grok', 'https://g.example.com/chat/zz9?rid=5&q=1', ''), (-3, 'grok', 'https://g.example.com/conversation/y?rid=5', ''),
     (-4, 'gemini', 'https://m.example.com/app/id7/?a=1#top', ''), (-5, 'claude', 'https://c.example.com/chat/q-1/', ''), (-6, 'deepseek', 'https://d.example.com/a/chat/s/k2', ''), (-7, 'claude', 'no address', '')) v)"""
-SNAPSHOTS = f"snapshots AS ({samples.values(samples.SNAPSHOTS, samples.SNAPSHOT_COLUMNS)})"
+SNAPSHOTS = f"{captures.SQL}, snapshots AS ({samples.values(samples.SNAPSHOTS, samples.SNAPSHOT_COLUMNS)} UNION ALL SELECT session_id, source, message_index, role, content, updated_at, name FROM captures)"
 SIZES = f"""WITH {SNAPSHOTS}, stored AS (SELECT session_id, count(*) AS n FROM snapshots WHERE source = 'stored' GROUP BY ALL),
     incoming AS (SELECT session_id, count(*) AS n FROM snapshots WHERE source = 'incoming' GROUP BY ALL)"""
 PARTS = r"""parts AS (SELECT session_id, message_index, role, generate_subscripts(p, 1) - 1 AS part_index, unnest(p) AS part FROM (
@@ -115,7 +115,8 @@ ORACLES = {
         t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS k FROM s) SELECT query_id, chunk_id, score FROM t WHERE k <= 10""",
     "session_centroids": """WITH d AS (SELECT label::BIGINT AS session_id, generate_subscripts(embedding, 1) - 1 AS dimension, unnest(embedding)::DOUBLE AS x FROM embeddings)
         SELECT session_id, count(*) AS n, dimension, round(avg(x), 6) AS x FROM d GROUP BY session_id, dimension""",
-    "message_centroids": "SELECT label::BIGINT AS session_id, vec_id // 10 AS message_index, count(*) AS n, round(avg(embedding[1]::DOUBLE), 6) AS x0, round(avg(embedding[-1]::DOUBLE), 6) AS x_last FROM embeddings GROUP BY ALL",
+    "message_centroids": """WITH d AS (SELECT label::BIGINT AS session_id, vec_id // 10 AS message_index, generate_subscripts(embedding, 1) - 1 AS dimension, unnest(embedding)::DOUBLE AS x FROM embeddings)
+        SELECT session_id, message_index, count(*) AS n, dimension, round(avg(x), 6) AS x FROM d GROUP BY ALL""",
     "retrieved_chunks": rf"""WITH {CHUNKS}, {ASKED}, s AS (SELECT query_id, c.session_id, chunk_id, message_index, has_code, text, max(message_index) OVER (PARTITION BY query_id) AS last, round({_COS}, 9) AS cos FROM chunks c JOIN asked q ON c.session_id = q.session_id),
         b AS (SELECT *, round(cos + CASE WHEN last > 0 THEN 0.15e0 * message_index / last ELSE 0 END
             + CASE WHEN coalesce({_has("\\b(?:we decided|the fix is|root cause|the issue was|bug was|the goal|next step|TypeError|ReferenceError|Traceback|throws? \\w+Error|fails? with|caused by)\\b", "i", "text")}, false) THEN 0.1e0 ELSE 0 END
@@ -163,8 +164,8 @@ ORACLES = {
              WHEN coalesce(trim(rname), '') = '' THEN lname WHEN coalesce(trim(lname), '') = '' THEN rname WHEN rt > lt THEN rname ELSE lname END AS name FROM w""",
     "newest_templates": """WITH o AS (SELECT o_custkey AS id, o_orderstatus AS s, o_orderkey AS version, o_orderdate AS updated_at FROM orders WHERE o_orderstatus IN ('O', 'F') QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderdate DESC, o_orderkey DESC) = 1)
         SELECT id, version, updated_at FROM o QUALIFY row_number() OVER (PARTITION BY id ORDER BY updated_at DESC, s DESC) = 1""",
-    "cascade_deleted": """SELECT conv_id AS session_id, count(*) AS n, 'sessions' AS table_name FROM conversations WHERE conv_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) GROUP BY conv_id
-        UNION ALL SELECT o_custkey, count(*), 'subscriptions' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) GROUP BY o_custkey""",
+    "cascade_deleted": " UNION ALL ".join(f"SELECT {c} AS session_id, count(*) AS n, '{t}' AS table_name FROM {t} WHERE {c} NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) GROUP BY {c}" for t, c in (
+        ("conversations", "conv_id"), ("orders", "o_custkey"), ("embeddings", "vec_id"), ("events", "user_id"), ("documents", "doc_id"), ("labels", "doc_id"), ("pages", "page_id"), ("lineitem", "l_suppkey"), ("customer", "c_custkey"))),
     "orphan_chunks": "SELECT vec_id AS chunk_id, label::BIGINT AS session_id FROM embeddings WHERE vec_id NOT IN (SELECT conv_id FROM conversations)",
     "newest_tombstones": """WITH o AS (SELECT o_custkey AS session_id, arg_max(o_orderdate, CASE o_orderstatus WHEN 'F' THEN o_orderdate + INTERVAL 1000 YEAR ELSE o_orderdate END) AS deleted_at FROM orders WHERE o_orderstatus IN ('O', 'F') GROUP BY o_custkey)
         SELECT session_id, deleted_at FROM o ORDER BY deleted_at DESC, session_id LIMIT 200""",

@@ -3,11 +3,13 @@ in `operator_oracles`."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from threadlake.functions import hashes, text as T
 from threadlake.operators import chunking, limits, merging, retrieval
-from threadlake.sources import samples
+from threadlake.sources import captures, samples
 from threadlake.sources.tables import table
 
 PLATFORMS = ["chatgpt", "claude", "grok", "gemini", "deepseek", "perplexity"]
@@ -44,8 +46,10 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.unionByName(extra)
 
 
-def snapshots(spark: SparkSession, source: str) -> DataFrame:
-    return samples.frame(spark, samples.SNAPSHOTS, samples.SNAPSHOT_COLUMNS).filter(F.col("source") == source).drop("source")
+def snapshots(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
+    """One capture of every conversation, and of the authored sessions."""
+    rows = captures.stored(spark, sf_dir) if source == "stored" else captures.incoming(spark, sf_dir)
+    return rows.drop("message_id").unionByName(samples.frame(spark, samples.SNAPSHOTS, samples.SNAPSHOT_COLUMNS).filter(F.col("source") == source)).drop("source")
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +138,7 @@ def session_centroids(spark, sf_dir):
 
 def message_centroids(spark, sf_dir):
     found = retrieval.centroids(chunks(spark, sf_dir), "session_id", "message_index")
-    return found.select("session_id", "message_index", "n", F.round(F.element_at("centroid", 1), 6).alias("x0"), F.round(F.element_at("centroid", -1), 6).alias("x_last"))
+    return found.select("session_id", "message_index", "n", F.posexplode("centroid").alias("dimension", "x")).withColumn("x", F.round("x", 6))
 
 
 def retrieved_chunks(spark, sf_dir):
@@ -174,25 +178,25 @@ def upserted_subscriptions(spark, sf_dir):
     return merging.upsert(old, new, ["id"], keep=("created_at",))
 
 
-def _sizes(spark, source):
-    return snapshots(spark, source).groupBy("session_id").agg(F.count("*").alias("n"))
+def _sizes(spark, sf_dir, source):
+    return snapshots(spark, sf_dir, source).groupBy("session_id").agg(F.count("*").alias("n"))
 
 
 def known_snapshots(spark, sf_dir):
-    return merging.best_known(_sizes(spark, "stored"), _sizes(spark, "incoming"))
+    return merging.best_known(_sizes(spark, sf_dir, "stored"), _sizes(spark, sf_dir, "incoming"))
 
 
 def accepted_snapshots(spark, sf_dir):
-    taken = merging.accepted(_sizes(spark, "incoming"), _sizes(spark, "stored")).withColumn("rule", F.lit("shrink"))
-    return taken.unionByName(merging.full_history(_sizes(spark, "incoming"), _sizes(spark, "stored")).withColumn("rule", F.lit("history")))
+    taken = merging.accepted(_sizes(spark, sf_dir, "incoming"), _sizes(spark, sf_dir, "stored")).withColumn("rule", F.lit("shrink"))
+    return taken.unionByName(merging.full_history(_sizes(spark, sf_dir, "incoming"), _sizes(spark, sf_dir, "stored")).withColumn("rule", F.lit("history")))
 
 
 def merged_messages(spark, sf_dir):
-    return merging.merge_partial(snapshots(spark, "stored"), snapshots(spark, "incoming"))
+    return merging.merge_partial(snapshots(spark, sf_dir, "stored"), snapshots(spark, sf_dir, "incoming"))
 
 
 def better_sessions(spark, sf_dir):
-    sides = [merging.session_ends(snapshots(spark, s), "updated_at", "name") for s in ("stored", "incoming")]
+    sides = [merging.session_ends(snapshots(spark, sf_dir, s), "updated_at", "name") for s in ("stored", "incoming")]
     return merging.pick_better(*sides)
 
 
@@ -202,11 +206,15 @@ def newest_templates(spark, sf_dir):
     return merging.last_writer(side("O"), side("F"), "id")
 
 
+#: Tables of a cascade, with the column that names the session.
+CASCADE = {"conversations": "conv_id", "orders": "o_custkey", "embeddings": "vec_id", "events": "user_id", "documents": "doc_id", "labels": "doc_id", "pages": "page_id", "lineitem": "l_suppkey", "customer": "c_custkey"}
+
+
 def cascade_deleted(spark, sf_dir):
     gone = table(spark, sf_dir, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("session_id"))
-    kept = merging.without({"sessions": table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id")), "subscriptions": orders(spark, sf_dir).select(F.col("o_custkey").alias("session_id"))}, gone)
+    kept = merging.without({n: table(spark, sf_dir, n).select(F.col(c).alias("session_id")) for n, c in CASCADE.items()}, gone)
     counted = [t.groupBy("session_id").agg(F.count("*").alias("n")).withColumn("table_name", F.lit(n)) for n, t in kept.items()]
-    return counted[0].unionByName(counted[1])
+    return reduce(DataFrame.unionByName, counted)
 
 
 def orphan_chunks(spark, sf_dir):
