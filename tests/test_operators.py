@@ -1,9 +1,10 @@
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
-from threadlake.operators import chunking, limits, merging, retrieval
+from threadlake.operators import chunking, limits, merging, retrieval, summaries
 from threadlake.plans import operator_oracles, operator_queries
 from threadlake.sources import samples
 from threadlake.streaming import assembly, windows
@@ -14,7 +15,7 @@ def rows(df):
 
 
 def test_every_operator_query_has_its_own_oracle():
-    assert set(operator_queries.QUERIES) - set(operator_oracles.ORACLES) == {"assembled_streams"}
+    assert set(operator_queries.QUERIES) == set(operator_oracles.ORACLES)
 
 
 def test_chunks_of_code_and_prose(spark):
@@ -140,3 +141,56 @@ def test_flushed_keeps_the_newest_of_each_key(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert rows(spark.read.parquet(str(tmp_path / "out")).select("key", "at")) == [(1, 2), (2, 1)]
+
+
+def test_no_category_and_no_limit_is_dropped(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None)], "id long, vector array<double>")
+    many = spark.range(150).select(F.col("id").alias("category"), F.array(F.col("id") + 1.0, F.lit(1.0)).alias("vector"))
+    got = retrieval.category_scores(vectors, many)
+    assert got.count() == 450 and got.filter("id > 1 AND score <> 0").count() == 0
+    used = spark.range(1500).select(F.col("id").alias("user_id"), F.col("id").cast("string").alias("tier"), F.lit(1).alias("used"))
+    limits_of = used.select("tier", F.lit(5).cast("long").alias("allowance"))
+    assert merging.usage_decision(used, limits_of).count() == 1500
+    assert retrieval.category_scores(vectors, many.limit(0)).count() == 0
+
+
+def merged_by_hand(stored, incoming, longest, full):
+    fp = lambda m: m[1] + "::" + " ".join(m[2][:80].split())
+    if sum(len(m[2]) for m in stored) >= full:
+        return list(stored)
+    out = list(stored)
+    for m in incoming:
+        m = m if len(m[2]) <= longest else (m[0], m[1], m[2][:longest] + f"\n\n[content truncated at {longest} chars]")
+        at = next((i for i, o in enumerate(out) if m[0] and o[0] == m[0]), None)
+        at = next((i for i, o in enumerate(out) if fp(o) == fp(m)), None) if at is None else at
+        if at is None:
+            out.append(m)
+        elif len(m[2]) >= len(out[at][2]):
+            out[at] = m
+    return out
+
+
+def test_captures_merge_as_one_by_one(spark):
+    draw = random.Random(2)
+    make = lambda: (draw.choice([None, "a", "b", "c", "d"]), draw.choice(["user", "assistant"]), draw.choice(["x", "y", "z z"]) * draw.randint(1, 60))
+    sides = {s: ([make() for _ in range(draw.randint(0, 6))], [make() for _ in range(draw.randint(0, 8))]) for s in range(60)}
+    frame = lambda j: spark.createDataFrame([(s, i, *m) for s, x in sides.items() for i, m in enumerate(x[j])], "session_id long, message_index long, message_id string, role string, content string").repartition(3)
+    got = rows(merging.merge_captures(frame(0), frame(1), 100, 400).select("session_id", "place", F.coalesce("message_id", F.lit("-")), "role", "content"))
+    assert got == sorted((s, i, m[0] or "-", m[1], m[2]) for s, x in sides.items() for i, m in enumerate(merged_by_hand(*x, 100, 400)))
+
+
+def test_summary_items_fit_any_budget(spark):
+    """Sections give up items as a walk through them would."""
+    draw = random.Random(8)
+    items = [(s, section, place, "x" * draw.randint(1, 90)) for s in range(300) for section in summaries.FLOORS for place in range(1, draw.randint(0, 7) + 1)]
+    fixed = [(s, draw.randint(0, 120)) for s in range(0, 300, 2)]
+    got = rows(summaries.trimmed(spark.createDataFrame(items, "session_id long, section string, place long, text string"), spark.createDataFrame(fixed, "session_id long, tokens long"), 150).select("session_id", "section", "place"))
+    want = []
+    for s in range(300):
+        lists = {k: [i for i in items if i[0] == s and i[1] == k] for k in summaries.FLOORS}
+        over = sum(-(-len(i[3]) // 4) for x in lists.values() for i in x) + dict(fixed).get(s, 0) - 150
+        for k, floor in summaries.FLOORS.items():
+            while over > 0 and len(lists[k]) > floor:
+                over -= -(-len(lists[k].pop()[3]) // 4)
+        want += [i[:3] for x in lists.values() for i in x]
+    assert got == sorted(want)

@@ -48,7 +48,8 @@ def chunk_messages(messages: DataFrame, newest: int = NEWEST) -> DataFrame:
     prose = prose.select("session_id", "message_index", "role", "part_index", "is_code", "language", F.posexplode(packed(F.col("text"))).alias("piece_index", "text"))
     prose = prose.filter(F.length(stripped(F.col("text"))) >= LEAST_CHARS)
     every = code.unionByName(prose).select("session_id", "message_index", "part_index", "piece_index", "role", "text", F.col("is_code").alias("has_code"), "language", token_estimate(F.col("text")).alias("token_count"))
-    # A rank with a limit is cut in every task before the shuffle, so a session with a third of all rows is not one task's.
+    # One task ranks a session's chunks: Spark cuts ranks before the shuffle up to spark.sql.optimizer.windowGroupLimitThreshold
+    # only, 1000 unless set; where sessions are huge, set it to `newest`.
     late = Window.partitionBy("session_id").orderBy(F.desc("message_index"), F.desc("part_index"), F.desc("piece_index"))
     return every.withColumn("r", F.row_number().over(late)).filter(F.col("r") <= newest).drop("r")
 

@@ -131,6 +131,19 @@ def nearest_chunks(spark, sf_dir, k: int = 10):
     return retrieval.nearest(rows, vector_queries(spark, sf_dir), k).select("query_id", F.col("id").alias("chunk_id"), "score")
 
 
+def _spread(spark, sf_dir):
+    """The vectors as chunks of 61 sessions."""
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), (F.col("vec_id") % 61).alias("session_id"), "embedding")
+
+
+def searched_everywhere(spark, sf_dir):
+    return retrieval.global_search(_spread(spark, sf_dir), vector_queries(spark, sf_dir), 10)
+
+
+def searched_near_sessions(spark, sf_dir):
+    return retrieval.global_search(_spread(spark, sf_dir), vector_queries(spark, sf_dir), 10, sessions=20)
+
+
 def session_centroids(spark, sf_dir):
     found = retrieval.centroids(chunks(spark, sf_dir), "session_id")
     return found.select("session_id", "n", F.posexplode("centroid").alias("dimension", "x")).select("session_id", "n", "dimension", F.round("x", 6).alias("x"))
@@ -275,16 +288,10 @@ def adaptive_timeouts(spark, sf_dir):
     return found.select("id", F.round("timeout", 6).alias("timeout"))
 
 
-def assembled_streams(spark, sf_dir):
-    from threadlake.streaming.assembly import assemble
-
-    return assemble(samples.frame(spark, samples.STREAMS, samples.STREAM_COLUMNS))
-
-
 NAMES = """chunked_messages code_blocks message_hashes session_hashes url_keys sanitised_pages sanitised_messages message_predicates
-file_chunk_sizes sampled_chunks best_per_session nearest_chunks session_centroids message_centroids retrieved_chunks keyword_retrieved
+file_chunk_sizes sampled_chunks best_per_session nearest_chunks searched_everywhere searched_near_sessions session_centroids message_centroids retrieved_chunks keyword_retrieved
 keyword_search boosted_chunks attention_chunks category_scores upserted_subscriptions known_snapshots accepted_snapshots
 merged_messages better_sessions newest_templates cascade_deleted orphan_chunks newest_tombstones first_sync manifest_status
-sessions_needing_index counted_requests usage_decisions request_windows adaptive_timeouts assembled_streams""".split()
+sessions_needing_index counted_requests usage_decisions request_windows adaptive_timeouts""".split()
 
 QUERIES = {name: globals()[name] for name in NAMES}
