@@ -10,7 +10,14 @@ ROLE_MARKS = {
     "assistant": [r'(?i)<message role="assistant">', r"(?i)\*\*(?:AI|Assistant|Grok|Claude|Gemini|Previous AI):\*\*", r"(?im)^\s*(?:AI|Assistant):", r"(?i)\[ASSISTANT\]", r'(?i)role="assistant"'],
 }
 GRADES = [(90, "Excellent"), (75, "Good"), (60, "Acceptable"), (40, "Poor")]
-SIGNALS = [r"(?i)\bdecided\b", r"(?i)\bthe fix\b", r"(?i)\broot cause\b", r"(?i)\bnext step\b", r"(?i)\bthe goal\b"]
+#: Signals of decisions, bugs, goals and facts; each counts for itself, so that some phrases count twice.
+SIGNALS = [
+    r"(?i)\bwe decided\b", r"(?i)\bdecided to\b", r"(?i)\bgoing with\b", r"(?i)\bopted for\b", r"(?i)\bwe('?ll| will) use\b", r"(?i)\bchose to\b", r"(?i)\bwe chose\b", r"(?i)\bswitching to\b", r"(?i)\bmigrating to\b", r"(?i)\bbest approach\b",
+    r"(?i)\bthe approach is\b", r"(?i)\bwe use\b", r"(?i)\busing\b", r"(?i)\bwent with\b", r"(?i)\bthe (fix|bug|issue|problem|root cause)\b", r"(?i)\broot cause\b", r"(?i)\bthe fix\b", r"(?i)\bfixed by\b", r"(?i)\bbug was\b", r"(?i)\berror occurs\b",
+    r"(?i)\bissue was\b", r"(?i)\bresolved by\b", r"(?i)\bfound it\b", r"(?i)\bthe goal\b", r"(?i)\bour goal\b", r"(?i)\bwe want to\b", r"(?i)\bwe need to\b", r"(?i)\bwe('?re| are) building\b", r"(?i)\bthe plan\b", r"(?i)\bnext step\b",
+    r"(?i)\bthis works because\b", r"(?i)\bthe reason\b", r"(?i)\bbecause of\b", r"(?i)\bturns out\b", r"(?i)\brealized that\b", r"(?i)\barchitecture\b", r"(?i)\bwe chose\b", r"(?i)\bwe('?re| are) going with\b", r"(?i)\bdecision\b", r"(?i)\bcompleted\b",
+    r"(?i)\bpending\b", r"(?i)\btodo\b",
+]
 
 
 def rounded(x: Column) -> Column:

@@ -7,15 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from threadlake.functions.text import collapsed
+from threadlake.operators.summaries import TECHNOLOGIES
 
-# FIXED values: limits of platforms in tokens, warnings of quality records, technologies by their pattern.
+# FIXED values: limits of platforms in tokens, warnings of quality records.
 TOKEN_LIMITS = {"claude": 180_000, "chatgpt": 100_000, "gemini": 900_000, "grok": 100_000, "perplexity": 60_000, "deepseek": 100_000}
 OTHER_LIMIT, WARN_AT = 80_000, 0.80
 WARNINGS = [("survival", 15, "Low message survival — check compression"), ("integrity", 12, "Code blocks lost or truncated"), ("freshness", 10, "Recent messages not preserved"), ("retention", 8, "Key decisions / signals dropped")]
-TECHNOLOGIES = [
-    (r"(?i)\breact\b", "React"), (r"(?i)\bnext[/\s]|next\.config", "Next.js"), (r"(?i)\bvue\b", "Vue"), (r"(?i)\bexpress\b", "Express"), (r"(?i)\bfastapi\b|\bflask\b|\bdjango\b", "Python Web"),
-    (r"(?i)\bdocker\b", "Docker"), (r"(?i)\bredis\b", "Redis"), (r"(?i)\btypescript\b|\.tsx?\b", "TypeScript"), (r"(?i)\bpython\b|import numpy|import pandas", "Python"), (r"(?i)\brust\b|\bcargo\b", "Rust"), (r"(?i)\bgolang\b|\bgo\b", "Go"),
-]
 
 
 def valid_messages(messages: DataFrame) -> DataFrame:
@@ -91,7 +88,7 @@ def sentence(text: Column, most: int = 280) -> Column:
 
 
 def technologies(text: Column) -> Column:
-    return F.array_compact(F.array(*(F.when(text.rlike(p), F.lit(name)) for p, name in TECHNOLOGIES)))
+    return F.array_compact(F.array(*(F.when(text.rlike(f"(?i){p}"), F.lit(name)) for p, name in TECHNOLOGIES)))
 
 
 def module_type(path: Column, functions: Column, classes: Column) -> Column:

@@ -204,7 +204,7 @@ _ANY = lambda patterns, text: " OR ".join(f"regexp_matches({text}, '{p}')" for p
 _R1 = "floor({} * 10 + 0.5e0) / 10"
 _COUNT = lambda pattern, text="output": f"length(regexp_extract_all({text}, '{pattern}'))"
 _MARKS = lambda role: "greatest(" + ", ".join(_COUNT(p) for p in quality.ROLE_MARKS[role]) + ")"
-_SIGNS = lambda text: "(" + " + ".join(_COUNT(p, text) for p in ("(?i)\\bdecided\\b", "(?i)\\bthe fix\\b", "(?i)\\broot cause\\b", "(?i)\\bnext step\\b", "(?i)\\bthe goal\\b")) + ")"
+_SIGNS = lambda text: "(" + " + ".join(_COUNT(p.replace("'", "''"), text) for p in quality.SIGNALS) + ")"
 ORACLES = {
     "token_titles": f"""WITH t AS (SELECT page_id, regexp_replace(url, '^https?://', '') AS title FROM pages UNION ALL SELECT * FROM (VALUES (-1, 'eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9'), (-2, 'aa.bb.cc'), (-3, repeat('A', 41)), (-4, 'a plain title')) v)
         SELECT page_id, {_ANY(TOKEN_TITLES, 'trim(title)')} AS suspicious FROM t""",

@@ -117,7 +117,7 @@ ORACLES = {
         SELECT query_id, session_id, chunk_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 10""",
     "searched_near_sessions": f"""WITH {ASKED}, d AS (SELECT vec_id % 61 AS session_id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), a AS (SELECT session_id, i, avg(x) AS x FROM d GROUP BY ALL), c AS (SELECT session_id, list(x ORDER BY i) AS middle FROM a GROUP BY session_id),
         n AS (SELECT query_id, c.session_id FROM c, asked QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(middle, wanted), 6) DESC, c.session_id) <= 20),
-        s AS (SELECT query_id, session_id, vec_id AS chunk_id, round(list_cosine_similarity(embedding::DOUBLE[], wanted), 6) AS score FROM n JOIN asked USING (query_id) JOIN embeddings ON vec_id % 61 = n.session_id)
+        s AS (SELECT query_id, n.session_id, vec_id AS chunk_id, round(list_cosine_similarity(embedding::DOUBLE[], wanted), 6) AS score FROM n JOIN asked USING (query_id) JOIN embeddings ON vec_id % 61 = n.session_id)
         SELECT query_id, session_id, chunk_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 10""",
     "session_centroids": """WITH d AS (SELECT label::BIGINT AS session_id, generate_subscripts(embedding, 1) - 1 AS dimension, unnest(embedding)::DOUBLE AS x FROM embeddings)
         SELECT session_id, count(*) AS n, dimension, round(avg(x), 6) AS x FROM d GROUP BY session_id, dimension""",

@@ -254,7 +254,8 @@ ORACLES = {
     "usage_months": "SELECT event_id, strftime(ts, '%Y-%m') AS month, strftime(date_trunc('month', ts) + INTERVAL 1 MONTH, '%Y-%m-%d') AS reset, date_diff('day', ts::DATE, (date_trunc('month', ts) + INTERVAL 1 MONTH)::DATE) AS days FROM events",
     "formatted": """SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') || ' UTC' AS at, CASE WHEN event_id * event_id * 7 < 1024 THEN (event_id * event_id * 7) || 'B' WHEN event_id * event_id * 7 < 1048576 THEN format('{:.1f}KB', event_id * event_id * 7 / 1024e0) ELSE format('{:.1f}MB', event_id * event_id * 7 / 1048576e0) END AS size FROM events""",
     "parsed_properties": "SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 0 ELSE coalesce((props->>'$.k')::BIGINT, 0) END AS k FROM events",
-    "technologies_used": rf"""WITH {MESSAGES}, t(p, technology) AS (VALUES ('\breact\b', 'React'), ('\bnext[/\s]|next\.config', 'Next.js'), ('\bvue\b', 'Vue'), ('\bexpress\b', 'Express'), ('\bfastapi\b|\bflask\b|\bdjango\b', 'Python Web'), ('\bdocker\b', 'Docker'), ('\bredis\b', 'Redis'),
+    "technologies_used": rf"""WITH {MESSAGES}, t(p, technology) AS (VALUES ('\breact\b', 'React'), ('\bnext[/\s]|next\.config', 'Next.js'), ('\bvite\b', 'Vite'), ('\bvue\b', 'Vue'), ('\bsvelte\b', 'Svelte'), ('\bangular\b', 'Angular'), ('\bexpress\b', 'Express'), ('\bfastapi\b|\bflask\b|\bdjango\b', 'Python Web'),
+        ('\bprisma\b', 'Prisma'), ('\bsupabase\b', 'Supabase'), ('\bdrizzle\b', 'Drizzle'), ('\btailwind\b', 'TailwindCSS'), ('\btrpc\b', 'tRPC'), ('\bgraphql\b', 'GraphQL'), ('\bwebpack\b', 'Webpack'), ('\bdocker\b', 'Docker'), ('\bkubernetes\b|\bk8s\b', 'Kubernetes'), ('\bpostgres\b|\bpg\b', 'PostgreSQL'), ('\bmongodb\b|\bmongoose\b', 'MongoDB'), ('\bredis\b', 'Redis'),
         ('\btypescript\b|\.tsx?\b', 'TypeScript'), ('\bpython\b|import numpy|import pandas', 'Python'), ('\brust\b|\bcargo\b', 'Rust'), ('\bgolang\b|\bgo\b', 'Go')) SELECT DISTINCT session_id, technology FROM messages, t WHERE regexp_matches(content, '(?i)' || p)""",
     "module_types": r"""WITH p AS (SELECT page_id, lower(url) AS u FROM pages) SELECT page_id, CASE WHEN regexp_matches(u, '\.test\.|\.spec\.|__tests__') THEN 'test' WHEN regexp_matches(u, 'config|settings|\.env') THEN 'config'
         WHEN regexp_matches(u, 'components?/|\.tsx$') OR page_id % 5 = 0 THEN 'component' WHEN regexp_matches(u, 'service|api|client|fetch|http') THEN 'service' WHEN regexp_matches(u, 'util|helper|lib/|shared') OR page_id % 2 = 0 THEN 'util' ELSE 'unknown' END AS module_type FROM p""",
