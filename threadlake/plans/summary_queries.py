@@ -61,7 +61,7 @@ def task_summaries(spark, sf_dir):
 
 
 def scored_messages(spark, sf_dir):
-    return S.message_scores(_all(spark, sf_dir)).select("session_id", "message_index", "i", F.round("score", 6).alias("score"))
+    return S.message_scores(_all(spark, sf_dir)).select("session_id", "message_index", "i", "score")
 
 
 def session_transcripts(spark, sf_dir):
@@ -207,7 +207,7 @@ ORACLES = {
     "session_contexts": _CONTEXTS,
     "session_summaries": _SUMMARIES,
     "task_summaries": _TASKS,
-    "scored_messages": f"WITH {_M}, {_SCORES} SELECT session_id, at_i AS message_index, i, round(score, 6) AS score FROM k",
+    "scored_messages": f"WITH {_M}, {_SCORES} SELECT session_id, at_i AS message_index, i, score FROM k",
     "session_transcripts": f"WITH {_TRANSCRIPTS} SELECT session_id, at_i AS message_index, role, md5(content) AS md5 FROM kept WHERE content IS NOT NULL",
     "long_transcripts": f"""WITH {_TRANSCRIPTS}, lines AS (SELECT session_id, at_i, n, unnest(l) AS text, generate_subscripts(l, 1) - 1 AS block FROM (SELECT *, string_split(upper(role) || ': ' || content, chr(10) || chr(10)) AS l FROM kept WHERE content IS NOT NULL)),
         r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY at_i, block) AS p, count(*) OVER (PARTITION BY session_id) AS k FROM lines),
