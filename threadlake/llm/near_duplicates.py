@@ -138,13 +138,15 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def buckets(texts: DataFrame) -> DataFrame:
-    """(id, band, bucket) of texts (id, bands)."""
-    return texts.select("id", F.posexplode("bands").alias("band", "bucket"))
+    """(id, doc, band, bucket) of texts (id, doc, bands)."""
+    return texts.select("id", "doc", F.posexplode("bands").alias("band", "bucket"))
 
 
 def candidates(spread: DataFrame) -> DataFrame:
-    """(id, hub) of buckets: pairs to compare, each text with the ends of its buckets."""
-    hubs = spread.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least <> most")
+    """(id, hub) of buckets: pairs to compare, each text with the ends of its buckets, by documents' ids: what others were
+    made from tends to come first, and is like all of them."""
+    place = F.struct("doc", "id")
+    hubs = spread.groupBy("bucket").agg(F.min(place)["id"].alias("least"), F.max(place)["id"].alias("most")).filter("least <> most")
     met = spread.join(hubs, "bucket").select("id", F.explode(F.array("least", "most")).alias("hub")).filter("id <> hub")
     return met.select(F.greatest("id", "hub").alias("id"), F.least("id", "hub").alias("hub")).distinct()
 
@@ -323,7 +325,7 @@ def links(rows: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, D
     firsts_of = known.groupBy("key").agg(F.min(F.struct("doc", "h")).alias("first"), F.first("bands").alias("bands"))
     firsts_of = durable(firsts_of.select(F.monotonically_increasing_id().alias("id"), "key", "first.doc", "first.h", "bands"), "texts")
     members = known.select("doc", "h", "key").distinct().join(firsts_of.select("key", "id"), "key").select("doc", "h", "id")
-    nodes, spread = firsts_of.select("id", "doc", "h"), buckets(firsts_of.select("id", "bands"))
+    nodes, spread = firsts_of.select("id", "doc", "h"), buckets(firsts_of.select("id", "doc", "bands"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         alike = _verified(durable(pairs, "pairs"), nodes, rows).filter(F.col("similarity") >= similarity)
