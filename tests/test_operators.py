@@ -4,7 +4,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
-from threadlake.operators import chunking, limits, merging, retrieval, summaries
+from threadlake.operators import chunking, limits, merging, retrieval, sessions, summaries
 from threadlake.plans import operator_oracles, operator_queries
 from threadlake.sources import samples
 from threadlake.streaming import assembly, windows
@@ -194,3 +194,16 @@ def test_summary_items_fit_any_budget(spark):
                 over -= -(-len(lists[k].pop()[3]) // 4)
         want += [i[:3] for x in lists.values() for i in x]
     assert got == sorted(want)
+
+
+def test_smallest_rows_equal_a_sort(spark):
+    rng = random.Random(2)
+    for n, values in ((40, 3), (3000, 7), (3000, 100_000)):
+        data = [(rng.choice([None, *range(values)]) if values < 10 else rng.randrange(values), i) for i in range(n)]
+        df = spark.createDataFrame(data, "at long, id long").repartition(5)
+        order = sorted(data, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        for k in (0, 1, n // 5, n - 1, n, n + 1):
+            got = [tuple(r) for r in sessions.smallest(df, ["at", "id"], k).collect()]
+            assert len(got) == min(k, n) and set(got) == set(order[:k])
+    twice = spark.createDataFrame([(1, 1), (1, 1), (2, 1)], "at long, id long")
+    assert sessions.smallest(twice, ["at", "id"], 1).count() == 2 and sessions.evicted(twice, 3, "at", "id").count() == 0

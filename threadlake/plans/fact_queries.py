@@ -48,7 +48,6 @@ BODIES = {
     "rate_limited": """WITH t AS (SELECT user_id, id, at_s, count(*) OVER (PARTITION BY user_id ORDER BY at_s RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW) AS n FROM metrics)
         SELECT user_id, count(CASE WHEN n > 4 THEN 1 END) AS over_limit, max(n) AS most FROM t GROUP BY user_id""",
     "documents_by_language": "SELECT lang, source, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM texts GROUP BY lang, source",
-    "page_urls": "SELECT page_id, lower(url) AS url, length(html) AS size FROM web_pages",
 }
 
 QUERIES = {name: spark_query(body) for name, body in BODIES.items()}

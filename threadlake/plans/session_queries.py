@@ -15,10 +15,6 @@ BODIES = {
     "valid_messages": "SELECT session_id, message_index, role, content FROM messages WHERE role IN ('user', 'assistant') AND trim(content) <> ''",
     "list_projection": """SELECT session_id, message_index, substr(content, 1, 2000) AS content, length(content) > 2000 AS truncated,
         count(*) OVER (PARTITION BY session_id) AS message_count FROM messages""",
-    "suspicious_titles": "SELECT session_id, title FROM sessions WHERE length(title) >= 40 AND title NOT LIKE '% %'",
-    "acknowledgements": "SELECT session_id, message_index FROM messages WHERE lower(trim(content)) IN ('ok', 'okay', 'thanks', 'thank you', 'yes', 'no', 'sure', 'great', 'got it')",
-    "errors_mentioned": """SELECT session_id, message_index FROM messages WHERE lower(content) LIKE '%error%' OR lower(content) LIKE '%exception%'
-        OR lower(content) LIKE '%traceback%' OR lower(content) LIKE '%failed%'""",
     # -- joins
     "chunks_with_sessions": """SELECT c.chunk_id, c.session_id, s.title FROM chunks c LEFT JOIN sessions s ON c.session_id = s.session_id
         ORDER BY c.chunk_id DESC LIMIT 5000""",
@@ -88,7 +84,6 @@ BODIES = {
     "titles": """WITH f AS (SELECT session_id, min(message_index) AS i FROM messages WHERE role = 'user' GROUP BY session_id)
         SELECT m.session_id, CASE WHEN length(trim(m.content)) > 72 THEN concat(substr(trim(m.content), 1, 71), '…') ELSE trim(m.content) END AS title
         FROM messages m JOIN f ON m.session_id = f.session_id AND m.message_index = f.i""",
-    "fingerprints": "SELECT session_id, message_index, concat(role, '::', trim(substr(content, 1, 80))) AS fingerprint FROM messages",
     "escaped": """SELECT session_id, message_index, replace(replace(replace(replace(content, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS content FROM messages""",
     "keyword_counts": "SELECT session_id, message_index, CAST((length(lower(content)) - length(replace(lower(content), 'the', ''))) / 3 AS BIGINT) AS n FROM messages",
     "merged_snapshots": """WITH a AS (SELECT session_id, count(*) AS n FROM messages WHERE message_index < 5 GROUP BY session_id),
