@@ -1,5 +1,5 @@
 from pyspark.sql import functions as F
-from threadlake.operators import handovers as H
+from threadlake.operators import handovers as H, merging, retrieval
 
 S, M = "session_id long, title string, platform string", "session_id long, message_index long, role string, content string"
 STORED, FILES = "session_id long, tier long, content string", "session_id long, path string, language string, size long, content string"
@@ -58,3 +58,17 @@ def test_prompts_to_build_at_their_limits(spark):
     got = H.prompts_to_build(m, built, 100).groupBy("session_id").agg(F.countDistinct("target").alias("t"), F.max("tier").alias("tier"), F.count("*").alias("n"))
     assert {tuple(r) for r in got.collect()} == {(1, 6, 2, 12), (4, 6, 2, 12)}
     assert {tuple(r) for r in H.prompts_to_build(m, built.limit(0), 100).filter("session_id = 3").select("tier").distinct().collect()} == {(1,)}
+
+
+def test_texts_of_the_best_chunks(spark):
+    c = [(1, 1, "a", [1.0, 0.0]), (1, 2, "b", [1.0, 0.0]), (1, 3, "c", [0.5, 0.5]), (1, 4, None, [1.0, 0.0]), (1, 5, "e", None), (2, 6, "f", [1.0, 0.0]), (None, 7, "g", [1.0, 0.0])]
+    chunks = spark.createDataFrame(c, "session_id long, chunk_id long, text string, embedding array<double>")
+    queries = spark.createDataFrame([(10, 1, [1.0, 0.0]), (11, 1, [0.0, 1.0]), (12, 9, [1.0, 0.0]), (13, 1, None), (14, 2, [0.0, 0.0])], "query_id long, session_id long, vector array<double>")
+    got = {r.query_id: (r.n, r.text) for r in retrieval.context_texts(chunks, queries, 2).collect()}
+    assert got == {10: (2, "a\n\n---\n\nb"), 11: (2, "c\n\n---\n\na"), 14: (1, "f")}
+
+
+def test_only_tombstones_that_a_user_set_count(spark):
+    rows = spark.createDataFrame([(1,), (2,), (3,), (3,), (None,)], "session_id long")
+    entries = spark.createDataFrame([(1, "user_deleted"), (1, "expired"), (2, None), (3, "expired"), (None, None)], "session_id long, reason string")
+    assert sorted((r.session_id for r in merging.without_deleted(rows, entries).collect()), key=str) == [3, 3, None]

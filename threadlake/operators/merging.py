@@ -169,6 +169,13 @@ def tombstones(old: DataFrame, new: DataFrame, key: str = "session_id", at: str
     return one.orderBy(F.desc(at), key).limit(most).drop("_r", "_new")
 
 
+def without_deleted(rows: DataFrame, entries: DataFrame, key: str = "session_id") -> DataFrame:
+    """The rows whose key no tombstone (key, reason) names that a user set: reason user_deleted, or none in entries from before
+    there were reasons. Rows with a null key stay."""
+    gone = entries.filter("coalesce(reason, 'user_deleted') = 'user_deleted'").select(key).distinct()
+    return rows.join(gone, key, "left_anti")
+
+
 def first_sync(local: DataFrame, remote: DataFrame, key: str = "session_id") -> tuple[DataFrame, DataFrame]:
     """What only the remote side has, to be seeded, and what only the local side has, to be uploaded."""
     return remote.join(local.select(key), key, "left_anti"), local.join(remote.select(key), key, "left_anti")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threadlake.operators import handovers as H
+from threadlake.operators import handovers as H, merging, retrieval
+from threadlake.plans.operator_oracles import ASKED, CHUNKS
+from threadlake.plans.operator_queries import chunks, vector_queries
 from threadlake.plans.summary_queries import _M, _all
 from threadlake.sources.tables import table
 
@@ -68,6 +70,17 @@ def prompts_to_build(spark, sf_dir):
     return H.prompts_to_build(m, old.unionByName(older), 100).withColumn("signature", F.md5("signature"))
 
 
+def context_texts(spark, sf_dir):
+    return _digest(retrieval.context_texts(chunks(spark, sf_dir), vector_queries(spark, sf_dir)))
+
+
+def sessions_not_deleted(spark, sf_dir):
+    """Tombstones of customers' numbers: set by users, without a reason, and by other things."""
+    reason = F.when(F.col("c_mktsegment") == "BUILDING", "user_deleted").when(F.col("c_mktsegment") != "AUTOMOBILE", "expired")
+    entries = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("session_id"), reason.alias("reason"))
+    return merging.without_deleted(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id")).distinct(), entries)
+
+
 _NL, _GAP = "chr(10)", "chr(10) || chr(10)"
 _TITLE = "'Talk <' || session_id || '> & it''s \"on\"'"
 _SAFE = lambda x: f"replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
@@ -111,6 +124,10 @@ _T = "'Be exact.' || chr(10) || 'Ask \"when\" unsure.'"
 _ENGINE = "'  <prompt_engine>' || chr(10) || '    <template_name>Expert</template_name>' || chr(10) || '    <template_icon>*</template_icon>' || chr(10) || '    <instructions>' || chr(10) || '      Be exact.' || chr(10) || '      Ask \"when\" unsure.' || chr(10) || '    </instructions>' || chr(10) || '  </prompt_engine>'"
 
 ORACLES = {
+    "context_texts": f"""WITH {CHUNKS}, {ASKED}, sc AS (SELECT query_id, q.session_id, chunk_id, text, row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(list_cosine_similarity(embedding, wanted), 0), 6) DESC, chunk_id) AS place
+        FROM chunks c JOIN asked q ON c.session_id = q.session_id WHERE text IS NOT NULL AND embedding IS NOT NULL)
+        SELECT query_id, session_id, count(*) AS n, md5(string_agg(text, {_GAP} || '---' || {_GAP} ORDER BY place)) AS text FROM sc WHERE place <= 10 GROUP BY query_id, session_id""",
+    "sessions_not_deleted": "SELECT DISTINCT conv_id AS session_id FROM conversations WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = conv_id AND c_mktsegment IN ('BUILDING', 'AUTOMOBILE'))",
     "session_briefs": f"WITH {_PIECES} SELECT session_id, md5({_BRIEF}) AS text FROM pc",
     "active_summaries": f"WITH {_PIECES} SELECT session_id, tier::BIGINT AS tier, md5(coalesce(summary, {_QUICK})) AS text FROM pc",
     "prompts_in_xml": f"WITH {_PIECES} SELECT session_id, md5({_xml(True)}) AS text FROM pc",
