@@ -179,6 +179,26 @@ def test_captures_merge_as_one_by_one(spark):
     assert got == sorted((s, i, m[0] or "-", m[1], m[2]) for s, x in sides.items() for i, m in enumerate(merged_by_hand(*x, 100, 400)))
 
 
+def test_captures_stay_whole_whatever_the_shuffles(spark):
+    """A session's stored and incoming messages meet in one task, also where both sides' shuffles are coalesced apart."""
+    conf = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    make = lambda n, longer: spark.createDataFrame([(s, i, None, "user", f"{i}" * (900 if longer and s % 10 == 0 else 20)) for s in range(200) for i in range(n)], "session_id long, message_index long, message_id string, role string, content string")
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = merging.merge_captures(make(6, True), make(3, False), 1000, 400).select("session_id", "place").collect()
+        requests = spark.createDataFrame([(k, 10 * i, i) for k in range(200) for i in range(6)], "key long, at long, id long")
+        known = requests.groupBy("key").count().filter("count > 1").select("key")
+        both = requests.join(known, "key").unionByName(requests.filter("id < 3").selectExpr("key", "at + 5 AS at", "id + 10 AS id").join(known, "key"))
+        ok = limits.first_request_windows(both, 2, 1000).filter("ok").groupBy("key").count().collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sorted(map(tuple, got)) == [(s, i) for s in range(200) for i in range(6)]
+    assert len(ok) == 200 and {r["count"] for r in ok} == {2}
+
+
 def test_summary_items_fit_any_budget(spark):
     """Sections give up items as a walk through them would."""
     draw = random.Random(8)

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from threadlake.functions.placing import together
+
 
 def first_request_windows(requests: DataFrame, limit: int, seconds: int) -> DataFrame:
     """(key, at, id, ok, remaining, retry_after) of requests (key, at, id): a key's window opens with a request that no
@@ -30,8 +32,7 @@ def first_request_windows(requests: DataFrame, limit: int, seconds: int) -> Data
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(ok, pa.bool_()), pa.array(left, pa.int64()), pa.array(wait, pa.int64())], ["key", "at", "id", "ok", "remaining", "retry_after"])
 
     rows = requests.select(F.col("key").cast("long"), F.col("at").cast("long"), F.col("id").cast("long")).filter("key IS NOT NULL AND at IS NOT NULL")
-    rows = rows.repartition("key").sortWithinPartitions("key", "at", "id")
-    return rows.mapInArrow(run, "key long, at long, id long, ok boolean, remaining long, retry_after long")
+    return together(rows, ["key"], "at", "id").mapInArrow(run, "key long, at long, id long, ok boolean, remaining long, retry_after long")
 
 
 def floor_rank(values: Column, percent: int) -> Column:

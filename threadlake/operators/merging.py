@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from threadlake.functions.placing import together
 from threadlake.functions.text import fingerprint
 
 
@@ -83,7 +84,7 @@ def merge_captures(stored: DataFrame, incoming: DataFrame, longest: int = 80_000
     new = new.withColumn("content", F.when(F.length("content") > longest, cut).otherwise(F.col("content")))
     every = old.withColumn("_source", F.lit(0)).unionByName(new.withColumn("_source", F.lit(1))).join(closed, "session_id", "left_anti")
     every = every.withColumn("_fp", fingerprint(F.col("role"), F.col("content"))).withColumn("_length", F.length("content"))
-    dealt = every.select("session_id", "_source", "message_index", "message_id", "role", "content", "_fp", "_length").repartition("session_id").sortWithinPartitions("session_id", "_source", "message_index")
+    dealt = together(every.select("session_id", "_source", "message_index", "message_id", "role", "content", "_fp", "_length"), ["session_id"], "_source", "message_index")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(session: int, kept: list[tuple]) -> pa.RecordBatch:

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
+from threadlake.functions.placing import together
+
 DEPTH, LEAST = 12, 10
 _NAME, _NUMBER = re.compile(r"[a-zA-Z0-9_-]+\Z"), re.compile(r"[\d.eE+-]+\Z")
 ANSWERS = "stream_id long, content string"
@@ -117,7 +119,7 @@ def answers(lines: DataFrame) -> DataFrame:
         close()
         yield out()
 
-    rows = lines.select("stream_id", "line_number", "line").filter("stream_id IS NOT NULL").repartition("stream_id").sortWithinPartitions("stream_id", "line_number")
+    rows = together(lines.select("stream_id", "line_number", "line").filter("stream_id IS NOT NULL"), ["stream_id"], "line_number")
     return rows.mapInArrow(run, ANSWERS)
 
 

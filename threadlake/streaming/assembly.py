@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from threadlake.functions.placing import together
+
 SCHEMA = "stream_id long, message_id string, role string, content string"
 
 
@@ -109,7 +111,7 @@ def assemble(lines: DataFrame) -> DataFrame:
         if rest := _rows(held, state):
             yield as_batch(rest)
 
-    rows = lines.select("stream_id", "line_number", "line").filter("stream_id IS NOT NULL").repartition("stream_id").sortWithinPartitions("stream_id", "line_number")
+    rows = together(lines.select("stream_id", "line_number", "line").filter("stream_id IS NOT NULL"), ["stream_id"], "line_number")
     return rows.mapInArrow(run, SCHEMA)
 
 

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from threadlake.functions.placing import together
 from threadlake.streaming.assembly import SCHEMA, _new, _rows, advance
 
 FLUSHES = "key long, fired_at long, first_at long, n long, last_id long"
@@ -96,7 +97,7 @@ def _in_order(events: DataFrame, rule, schema: str) -> DataFrame:
         until(None)
         yield taken()
 
-    rows = events.select("key", "at", "id").filter("key IS NOT NULL AND at IS NOT NULL").repartition("key").sortWithinPartitions("key", "at", "id")
+    rows = together(events.select("key", "at", "id").filter("key IS NOT NULL AND at IS NOT NULL"), ["key"], "at", "id")
     return rows.mapInArrow(run, schema)
 
 
