@@ -1,7 +1,7 @@
 """From raw documents to token ids: every stage works on what the stage before it kept, written and read again.
 
 All stages but the last return the columns of documents; the last returns (doc_id, n_tokens, token_ids, ids_sha256,
-decoded_sha256). Rows with a null doc_id or text pass through all stages; a null text encodes to no tokens.
+decoded_sha256). Rows with a null text pass through all stages and encode to no tokens.
 """
 
 from __future__ import annotations
@@ -27,8 +27,7 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that hold a window of a benchmark item."""
-    found = decontamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.filter("contaminated").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    return decontamination.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(docs.columns)
 
 
 def surrogates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

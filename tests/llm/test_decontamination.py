@@ -37,10 +37,21 @@ def test_same_as_brute_force(spark):
     got = decontamination.contamination(docs, spark.createDataFrame([(*i, 1) for i in items], "item_id long, text string, words int")).collect()
     assert len(got) == len(texts) + 2
     for r in got:
-        if r.doc_id is None:
-            assert not r.contaminated and r.n_words == 40
-        else:
-            assert (r.n_words, r.n_hit, r["items"], r.contaminated) == brute(texts[r.doc_id], items), texts[r.doc_id]
+        text = texts[8 if r.doc_id is None else r.doc_id]
+        assert (r.n_words, r.n_hit, r["items"], r.contaminated) == brute(text, items), text
+
+
+def test_rows_are_told_apart_by_id_and_text(spark):
+    """Null ids and ids with several texts: each row is judged by its own text, and goes or stays by itself."""
+    hit, clean = "one two three four five six seven eight nine ten", "one two three four five six seven eight nine"
+    rows = [(None, hit), (None, clean), (None, hit), (1, hit), (1, clean), (2, clean), (2, clean), (3, None), (None, None)]
+    docs = spark.createDataFrame([(*r, 7, "x") for r in rows], "doc_id long, text string, id long, _doc string")
+    items = spark.createDataFrame([(1, "ZERO " + hit)], "item_id long, text string")
+    got = decontamination.contamination(docs, items).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_hit) for r in got) == sorted((str(i), len(split(t)), 10 if t == hit else 0) for i, t in rows)
+    left = decontamination.without_contaminated(docs, items)
+    assert left.columns == docs.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in left.collect()) == sorted((str(i), str(t)) for i, t in rows if t != hit)
 
 
 def test_proximity(spark):

@@ -141,3 +141,9 @@ def test_two_texts_of_one_id_alone(spark):
     docs = spark.createDataFrame([(5, "a b c d e f g"), (5, "h i j k l m n"), (6, "h i j k l m n")], "doc_id long, text string")
     got = sorted((r.doc_id, r.class_id, r.kept) for r in near_duplicates.near_duplicates(docs).collect())
     assert got == [(5, 5, True), (5, 5, True), (6, 5, False)]
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", "x", 1), (2, "a b c d e f", "y", 2), (3, "g h", None, None)], "doc_id long, text string, _doc string, _h long")
+    left = near_duplicates.without_duplicates(docs)
+    assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [1, 3]

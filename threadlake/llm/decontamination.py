@@ -12,8 +12,10 @@ The terms of the items are broadcast while there are no more than BROADCAST_ROWS
 shuffle. Everything else is keyed by document, so a passage that a third of all documents hold spreads like they do.
 
 Results: words are lower-cased from A to Z only; a null text or a null item id has none; repeated items count once; an
-empty table of documents gives no rows and one of items no hits; rows with one id are taken to hold one text and each
-get its result; rows with a null id get none; other columns are not read.
+empty table of documents gives no rows and one of items no hits; rows are told apart by a 64-bit hash of id and text, so that
+a null id has results like any other, one id may have several texts, and each row gets its own result (rows whose hashes
+collide share candidates, which each text's words confirm or not); proximity leaves rows with a null id out; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -38,6 +40,10 @@ def _lower(text: Column) -> Column:
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
 
 
+def _row(id_: Column, text: Column) -> Column:
+    return F.xxhash64(id_, text)
+
+
 def _bounded(small: DataFrame, n: int) -> DataFrame:
     return F.broadcast(small) if n <= BROADCAST_ROWS else small
 
@@ -72,8 +78,10 @@ def index(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def phrases(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
-    """(id, size, hits) of docs (id, text); size: number of words; hits: (start, n, item), the exact matches of item
-    windows."""
+    """(id, size, hits) of docs (id, text), and row, the hash of both; size: number of words; hits: (start, n, item), the
+    exact matches of item windows."""
+    named = docs.select(F.col("id").alias("doc"), _row(F.col("id"), F.col("text")).alias("id"), "text")
+    docs = named.select("id", "text")
     items = durable(items, "item-words")
     wanted = durable(slots(docs, items, width), "slots")
     n = wanted.count()
@@ -89,7 +97,8 @@ def phrases(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     none = F.array().cast("array<struct<start:int,n:int,item:string>>")
     matched = lambda ws: F.filter("c", lambda c: _lower(F.array_join(F.slice(ws, c["start"] + 1, c["n"]), " ")) == c["t"])
     judged = let(_words(F.col("text")), lambda ws: F.struct(F.size(ws).alias("size"), F.when(F.col("c").isNull(), none).otherwise(F.transform(matched(ws), lambda c: c.dropFields("t"))).alias("hits")))
-    return docs.select("id", "text").join(found, "id", "left").select("id", judged.alias("j")).select("id", "j.size", F.coalesce("j.hits", none).alias("hits"))
+    rows = named.join(found, "id", "left").select(F.col("doc").alias("id"), F.col("id").alias("row"), judged.alias("j"))
+    return rows.select("id", "row", "j.size", F.coalesce("j.hits", none).alias("hits"))
 
 
 def proximity(docs: DataFrame, items: DataFrame, width: int = 10, span: int = 20, least: int = 3, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
@@ -116,3 +125,11 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10, id_col: st
         F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item"]))).alias("items"),
         (F.size("hits") > 0).alias("contaminated"),
     )
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """docs without the rows whose text holds a window of an item, also where the id is null or has other texts."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    gone = phrases(rows, item_words(items, item_col), width).filter(F.size("hits") > 0).select(F.col("id").alias("_doc"), F.col("row").alias("_row")).distinct()
+    same = docs[id_col].eqNullSafe(gone["_doc"]) & (_row(docs[id_col], docs[text_col].cast("string")) == gone["_row"])
+    return docs.join(gone, same, "left_anti")

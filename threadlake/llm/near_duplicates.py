@@ -362,5 +362,5 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
 def without_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows of each class but those of the text that stays."""
     gone = _classes(_rows(docs, id_col, text_col), similarity).filter("NOT kept").select(F.col("doc").alias("_doc"), F.col("h").alias("_h"))
-    same = (docs[id_col].cast("long") == F.col("_doc")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("_h"))
+    same = (docs[id_col].cast("long") == gone["_doc"]) & (F.xxhash64(docs[text_col].cast("string")) == gone["_h"])
     return docs.join(gone, same, "left_anti")
