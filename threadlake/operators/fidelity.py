@@ -8,8 +8,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from threadlake.functions.keeping import once
 from threadlake.functions.text import stripped
-from threadlake.operators.sessions import like_enough
+from threadlake.operators.sessions import like_enough, long_words
 from threadlake.operators.summaries import clauses, matches
 
 # FIXED values: weights, grades, steps of compression, patterns and caps of what an output should keep.
@@ -48,7 +49,7 @@ def _percent(found: Column, of: Column) -> Column:
 def _keyed(outputs: DataFrame) -> DataFrame:
     """Each different row of (session_id, tier, output) once, under a key of its own."""
     rows = outputs.select("session_id", "tier", F.coalesce("output", F.lit("")).alias("output"))
-    return rows.withColumn("key", F.md5(F.to_json(F.struct("session_id", "tier", "output"), {"ignoreNullFields": "false"}))).dropDuplicates(["key"])
+    return once(rows.withColumn("key", F.md5(F.to_json(F.struct("session_id", "tier", "output"), {"ignoreNullFields": "false"}))).dropDuplicates(["key"]))
 
 
 def _items(m: DataFrame) -> DataFrame:
@@ -74,9 +75,12 @@ def _items(m: DataFrame) -> DataFrame:
 
 
 def _met(m: DataFrame, outs: DataFrame) -> DataFrame:
-    """Outputs with each item of their session and whether it is kept: items are few, so an output is not copied."""
-    kept = F.transform("items", lambda x: F.struct(x["section"].alias("section"), x["place"].alias("place"), x["text"].alias("text"), like_enough(x["text"], F.col("output")).alias("kept")))
-    return outs.join(_items(m), "session_id", "left").withColumn("items", F.coalesce(kept, F.array().cast("array<struct<section:string,place:int,text:string,kept:boolean>>")))
+    """Outputs with each item of their session and whether it is kept: items are few, so an output is not copied. An output
+    is put in small letters before the join, once and not for each word of each item."""
+    lower = outs.withColumn("_lower", F.lower("output"))
+    kept = F.transform("items", lambda x: F.struct(x["section"].alias("section"), x["place"].alias("place"), x["text"].alias("text"), like_enough(x["words"], F.col("_lower")).alias("kept")))
+    items = _items(m).withColumn("items", F.transform("items", lambda x: x.withField("words", long_words(x["text"]))))
+    return lower.join(items, "session_id", "left").withColumn("items", F.coalesce(kept, F.array().cast("array<struct<section:string,place:int,text:string,kept:boolean>>"))).drop("_lower")
 
 
 def _code(m: DataFrame, outs: DataFrame) -> DataFrame:

@@ -144,10 +144,14 @@ def token_warnings(usage: DataFrame) -> DataFrame:
     return rows.withColumn("level", F.when(F.col("tokens") >= limit, "over").when(F.col("tokens") >= WARN_AT * limit, "large"))
 
 
-def like_enough(item: Column, target: Column, share: float = 0.6) -> Column:
-    """Whether a share of the item's words of over four letters occurs in the target; true without such words."""
-    words = F.filter(F.split(F.lower(item), r"\W+"), lambda w: F.length(w) > 4)
-    hits = F.size(F.filter(words, lambda w: F.lower(target).contains(w)))
+def long_words(text: Column) -> Column:
+    """The words of over four letters, in small letters."""
+    return F.filter(F.split(F.lower(text), r"\W+"), lambda w: F.length(w) > 4)
+
+
+def like_enough(words: Column, lower: Column, share: float = 0.6) -> Column:
+    """Whether a share of an item's long_words occurs in a text that is in small letters; true without such words."""
+    hits = F.size(F.filter(words, lambda w: lower.contains(w)))
     return F.when(F.size(words) == 0, True).otherwise(hits / F.size(words) >= share)
 
 

@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from threadlake.functions import text as T
+from threadlake.functions.keeping import once
 from threadlake.functions.text import stripped
 
 # FIXED values: patterns by section, limits, and messages that are no goals. Those of one list are alternatives.
@@ -274,9 +275,10 @@ def summaries(messages: DataFrame, task: str | None = None) -> DataFrame:
         code = code.withColumn("place", F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc(near), "place")))
     user = F.col("role") == "user"
     goal = _one(m, "goal", F.substring(stripped(c), 1, 600), user & _goal(c))
-    parts = reduce(DataFrame.unionByName, map(_full, (goal, _state(m), told, done, code, _technologies(m), _summary_tail(m))))
-    kept = parts.filter("section <> 'tech'").groupBy("session_id").agg(F.sum(F.length("text")).alias("kept"))
-    whole = m.groupBy("session_id").agg(F.sum(F.length("content")).alias("whole")).join(kept, "session_id")
+    parts = once(reduce(DataFrame.unionByName, map(_full, (goal, _state(m), told, done, code, _technologies(m), _summary_tail(m)))))
+    # A union, as in a join of what comes from the same messages the planner no longer knows the parts that are kept.
+    sizes = m.select("session_id", F.length("content").alias("whole"), F.lit(0).alias("kept")).unionByName(parts.filter("section <> 'tech'").select("session_id", F.lit(0).alias("whole"), F.length("text").alias("kept")))
+    whole = sizes.filter("session_id IS NOT NULL").groupBy("session_id").agg(F.sum("whole").alias("whole"), F.sum("kept").alias("kept"))
     saved = F.when(F.col("whole") > 0, F.greatest(F.lit(0), F.floor((1 - F.col("kept") / F.col("whole")) * 100 + 0.5))).otherwise(0).cast("bigint").cast("string")
     return parts.unionByName(_full(whole.select("session_id", F.lit("ratio").alias("section"), F.lit(1).alias("place"), saved.alias("text"))))
 
@@ -392,7 +394,7 @@ def scored_summaries(messages: DataFrame, scored: DataFrame, budget: int = TOKEN
     """(session_id, section, place, text): summaries whose goal, decisions and bugs also come from the messages that scored
     (session_id, message_index, scores, boost) puts first, within a budget of tokens."""
     base = summaries(messages)
-    m = messages.withColumn("content", F.coalesce("content", F.lit(""))).join(scored, ["session_id", "message_index"])
+    m = messages.withColumn("content", F.coalesce("content", F.lit(""))).join(once(scored), ["session_id", "message_index"])
     lists = F.col("section").isin(list(FLOORS))
     first = {}
     for section in ("decisions", "bugs"):

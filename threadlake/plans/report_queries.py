@@ -186,7 +186,7 @@ def token_warnings(spark, sf_dir):
 def fuzzy_matches(spark, sf_dir):
     m = messages(spark, sf_dir).filter("content <> ''")
     following = F.lead("content").over(Window.partitionBy("session_id").orderBy("message_index"))
-    return m.withColumn("after", following).filter("after IS NOT NULL").select("session_id", "message_index", S.like_enough(F.substring("content", 1, 80), F.col("after")).alias("kept"))
+    return m.withColumn("after", following).filter("after IS NOT NULL").select("session_id", "message_index", S.like_enough(S.long_words(F.substring("content", 1, 80)), F.lower("after")).alias("kept"))
 
 
 def last_chunks(spark, sf_dir):
