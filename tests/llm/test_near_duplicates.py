@@ -147,3 +147,10 @@ def test_clashing_names(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", "x", 1), (2, "a b c d e f", "y", 2), (3, "g h", None, None)], "doc_id long, text string, _doc string, _h long")
     left = near_duplicates.without_duplicates(docs)
     assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [1, 3]
+
+
+def test_a_large_bucket_meets_one_drawn_member_a_text(spark):
+    spread = spark.createDataFrame([(i, i, b, 7000 + b) for i in range(300) for b in range(4)], "id long, doc long, band int, bucket long")
+    labels = spark.createDataFrame([(i, 0) for i in range(100)], "node long, component long")
+    pairs = [{(r.id, r.hub) for r in near_duplicates.drawn(spread, labels, turn).collect()} for turn in range(2)]
+    assert all(0 < len(p) <= 300 and all(b < a and a >= 100 for a, b in p) for p in pairs) and pairs[0] != pairs[1]

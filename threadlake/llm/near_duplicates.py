@@ -12,7 +12,8 @@ whole texts. Classes are the connected components of the links found. A link of
 of 4 registers with a probability of 5e-8.
 
 In a bucket of four members or more two texts may be alike though neither is an end. Such a link matters only where it
-would join two classes, so the texts in crowded buckets that still hold several classes are joined exactly, those of
+would join two classes. Texts of such buckets first meet a drawn member of another class, one a turn: that joins most of a
+large group of near copies with as many pairs as it has texts. Then the texts in crowded buckets that still hold several classes are joined exactly, those of
 different classes with each other. Of the n shingles of a text, a shingle of count w being w of them, those that come
 first in one order for all texts, rarest first, are its prefix: n - ceil(0.8 n) + 1 of them, of which alike texts share
 one. Texts that share one are compared by length, by place of the shared shingle and by a bitmap of their shingles, all
@@ -41,6 +42,8 @@ from threadlake.llm.storage import durable
 SHINGLE, BANDS, ROWS, SIMILARITY = 5, 32, 4, 0.8
 #: Texts of one salt that share a prefix shingle, on average at most; a cell has those of two salts.
 CELL = 4096
+#: Turns in which texts of crowded buckets meet drawn members, before those still apart are joined exactly.
+TURNS = 4
 #: Bits of a text's bitmap; counters of the table of shingle counts.
 BITS, COUNTERS = 1024, 1 << 20
 _EPS = 1e-9
@@ -161,6 +164,16 @@ def crowded(spread: DataFrame, labels: DataFrame) -> DataFrame:
     return known.join(several, "bucket", "left_semi").select("id", "component").distinct()
 
 
+def drawn(spread: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """(id, hub): each text of a bucket of several classes with one member, drawn anew in each turn, of one of its buckets,
+    if that is of another class. One pair a text, so a large group costs its size and not its square."""
+    known = spread.join(labels.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    hubs = known.groupBy("bucket").agg(F.min_by(F.struct("id", "component"), F.xxhash64("id", F.lit(turn))).alias("hub"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+    met = known.join(hubs.select("bucket", F.col("hub.id").alias("hub"), F.col("hub.component").alias("far")), "bucket").filter("component <> far")
+    own = met.groupBy("id").agg(F.min_by("hub", F.xxhash64("id", "bucket", F.lit(turn))).alias("hub"))
+    return own.select(F.greatest("id", "hub").alias("id"), F.least("id", "hub").alias("hub")).distinct()
+
+
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(row, token): each shingle of count w as w different tokens, sorted by row."""
     words = words_of(texts)
@@ -327,16 +340,27 @@ def links(rows: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, D
     members = known.select("doc", "h", "key").distinct().join(firsts_of.select("key", "id"), "key").select("doc", "h", "id")
     nodes, spread = firsts_of.select("id", "doc", "h"), buckets(firsts_of.select("id", "doc", "bands"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        alike = _verified(durable(pairs, "pairs"), nodes, rows).filter(F.col("similarity") >= similarity)
+    def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+        alike = _verified(durable(pairs, "pairs"), nodes, docs).filter(F.col("similarity") >= similarity)
         return durable(alike.select(F.col("id").alias("a"), F.col("hub").alias("b"), "similarity"), "near-links")
 
-    found = verified(candidates(spread))
+    found = verified(candidates(spread), rows)
     labels = components(found)
     crowd = durable(crowded(spread, labels).join(nodes, "id"), "crowded")
     if crowd.isEmpty():
         return members, nodes, found, labels
-    found = found.union(verified(bridges(crowd, rows, similarity)))
+    own = durable(_with_texts(crowd.select("id", "doc", "h"), rows).select("id", "doc", "h", "text"), "crowd")
+    texts = own.select("doc", "h", "text")
+    for turn in range(TURNS):
+        more = verified(drawn(spread.join(own.select("id"), "id", "left_semi"), labels, turn), texts)
+        if more.isEmpty():
+            break
+        found = found.union(more)
+        labels = components(found)
+    crowd = durable(crowded(spread, labels).join(nodes, "id"), "crowded")
+    if crowd.isEmpty():
+        return members, nodes, found, labels
+    found = found.union(verified(bridges(crowd, texts, similarity), texts))
     return members, nodes, found, components(found)
 
 
