@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 
-from threadlake.llm import near_duplicates, queries
+from threadlake.llm import components, near_duplicates, queries
 
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -154,3 +154,44 @@ def test_a_large_bucket_meets_one_drawn_member_a_text(spark):
     labels = spark.createDataFrame([(i, 0) for i in range(100)], "node long, component long")
     pairs = [{(r.id, r.hub) for r in near_duplicates.drawn(spread, labels, turn).collect()} for turn in range(2)]
     assert all(0 < len(p) <= 300 and all(b < a and a >= 100 for a, b in p) for p in pairs) and pairs[0] != pairs[1]
+
+
+def group(seed, n, words, edits):
+    """Variants of one text that are like many others, but not all."""
+    draw = random.Random(seed)
+    base, rows = [f"w{k}" for k in range(words)], []
+    for i in range(n):
+        own = list(base)
+        for k in draw.sample(range(words), draw.randrange(edits)):
+            own[k] = f"n{draw.random()}"
+        rows.append((i, " ".join(own)))
+    return rows
+
+
+def test_a_large_group_is_joined_by_a_forest(spark):
+    """Check failure: pairs inside a large group of near copies became rows, by the square of its size."""
+    rows = group(3, 500, 150, 5)
+    docs = spark.createDataFrame(rows, "id long, text string")
+    crowd = spark.createDataFrame([(i, i) for i, _ in rows], "id long, component long")
+    known = near_duplicates._prefixes(near_duplicates._with_texts(crowd, docs).select("id", "component", "text"), 0.8)
+    found = {flag: {(r.id, r.hub) for r in near_duplicates._bridges(known.coalesce(1), forest=flag).collect()} for flag in (True, False)}
+    assert len(found[False]) > 50 * len(rows) > 0 and found[True] <= found[False]
+    assert len(found[True]) < 5 * len(rows)
+    links = spark.createDataFrame(sorted(found[True]), "a long, b long")
+    assert {r.component for r in components.components(links).collect()} == {0}
+
+
+def test_classes_are_joined_to_texts_not_to_their_buckets(spark):
+    """Check failures: each text met its class once for every one of its 32 buckets, in each turn."""
+    texts = spark.createDataFrame([(i, i, [7, 100 + i, 900 + i // 3]) for i in range(9)], "id long, doc long, bands array<long>")
+    labels = spark.createDataFrame([(1, 0), (0, 0)], "node long, component long")
+    assert {tuple(r) for r in near_duplicates.crowded(texts, labels).collect()} == {(i, 0 if i < 2 else i) for i in range(9)}
+    assert near_duplicates.crowded(texts, texts.select(texts.id.alias("node"), (texts.id * 0).alias("component"))).isEmpty()
+
+
+def test_merged_classes_are_those_of_all_links(spark):
+    draw = random.Random(2)
+    pairs = [(draw.randrange(80), draw.randrange(80)) for _ in range(60)]
+    table = lambda rows: spark.createDataFrame([(max(p), min(p)) for p in rows if p[0] != p[1]], "a long, b long")
+    got = components.merged(components.components(table(pairs[:35])), table(pairs[35:]))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, components.components(table(pairs)).collect()))

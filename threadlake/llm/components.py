@@ -22,3 +22,15 @@ def components(links: DataFrame) -> DataFrame:
         labels = moved.select("node", "component")
         if moved.filter("component <> was").isEmpty():
             return labels
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """components of all links so far, from those before (node, component) and the links (a, b) that came after. Only classes
+    that the new links join go through rounds."""
+    of = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"{end}_of"))
+    known = durable(links.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("a_of", "a").alias("a_of"), F.coalesce("b_of", "b").alias("b_of")), "links")
+    joined = components(known.select(F.col("a_of").alias("a"), F.col("b_of").alias("b")))
+    # A node without links before is a class of its own.
+    new = known.select(F.col("a").alias("node"), F.col("a_of").alias("component")).union(known.select("b", "b_of")).filter("node = component").distinct()
+    every = labels.union(new.join(labels, "node", "left_anti"))
+    return durable(every.join(joined.select(F.col("node").alias("component"), F.col("component").alias("least")), "component", "left").select("node", F.coalesce("least", "component").alias("component")), "labels")

@@ -12,14 +12,16 @@ whole texts. Classes are the connected components of the links found. A link of
 of 4 registers with a probability of 5e-8.
 
 In a bucket of four members or more two texts may be alike though neither is an end. Such a link matters only where it
-would join two classes. Texts of such buckets first meet a drawn member of another class, one a turn: that joins most of a
-large group of near copies with as many pairs as it has texts. Then the texts in crowded buckets that still hold several classes are joined exactly, those of
-different classes with each other. Of the n shingles of a text, a shingle of count w being w of them, those that come
+would join two classes. So the texts in crowded buckets that hold several classes are joined exactly, those of different
+classes with each other. Of the n shingles of a text, a shingle of count w being w of them, those that come
 first in one order for all texts, rarest first, are its prefix: n - ceil(0.8 n) + 1 of them, of which alike texts share
 one. Texts that share one are compared by length, by place of the shared shingle and by a bitmap of their shingles, all
 bounds that no link exceeds, and what is left by exact overlap. The order's counts come from a table of fixed size;
 they decide what it costs, not what is found. A shingle in many texts is dealt over cells of at most some CELL * 2 texts.
-As all links between different classes are found at once, there is nothing left to repeat.
+The join is done twice. First a cell gives only a forest of the pairs that are alike by the estimate of their bitmaps, as
+many pairs as it has texts at most: that makes one class of a large group of near copies, without the pairs inside it.
+Then, with the classes after those links were verified, it gives all pairs that no bound rules out. As these hold all links
+between different classes, there is nothing left to repeat.
 
 Results: texts of one to four words have one shingle of all of them; a null or empty text is nothing's duplicate; every
 row gives one row, told apart by id and text, so an id with several texts has a class for each; of a class the text with
@@ -35,15 +37,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from threadlake.llm.components import components
+from threadlake.llm.components import components, merged
 from threadlake.llm.packed import Words, firsts, grams, mix, parts, words_of
 from threadlake.llm.storage import durable
 
 SHINGLE, BANDS, ROWS, SIMILARITY = 5, 32, 4, 0.8
 #: Texts of one salt that share a prefix shingle, on average at most; a cell has those of two salts.
 CELL = 4096
-#: Turns in which texts of crowded buckets meet drawn members, before those still apart are joined exactly.
-TURNS = 4
+#: Pairs that a task holds before it hands them on.
+HELD = 1 << 18
 #: Bits of a text's bitmap; counters of the table of shingle counts.
 BITS, COUNTERS = 1024, 1 << 20
 _EPS = 1e-9
@@ -154,13 +156,12 @@ def candidates(spread: DataFrame) -> DataFrame:
     return met.select(F.greatest("id", "hub").alias("id"), F.least("id", "hub").alias("hub")).distinct()
 
 
-def crowded(spread: DataFrame, labels: DataFrame) -> DataFrame:
-    """(id, component) of the texts in buckets of four members or more and of several classes by labels (node, component):
-    in smaller buckets the ends meet all others, so nothing is left to compare."""
-    large = spread.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 3").select("bucket")
-    known = spread.join(large, "bucket", "left_semi").join(labels.withColumnRenamed("node", "id"), "id", "left")
-    known = known.select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    several = known.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
+def crowded(texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, component) of the texts (id, doc, bands) in buckets of four members or more and of several classes by labels
+    (node, component): in smaller buckets the ends meet all others, so nothing is left to compare. Classes are joined to
+    texts, before those are spread over their buckets."""
+    known = texts.join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"), F.explode("bands").alias("bucket"))
+    several = known.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("n > 3 AND low <> high").select("bucket")
     return known.join(several, "bucket", "left_semi").select("id", "component").distinct()
 
 
@@ -228,25 +229,61 @@ def _prefixes(texts: DataFrame, similarity: float) -> DataFrame:
     return texts.mapInArrow(run, "id long, component long, size long, bits binary, tokens array<long>")
 
 
-def _alike(cell: np.ndarray, ids: np.ndarray, component: np.ndarray, salt: np.ndarray, one: np.ndarray, size: np.ndarray, place: np.ndarray, bits: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of a cell, of rows sorted by cell and size, that no bound rules out."""
-    found, i, step = [], np.arange(len(cell)), 0
+def _roots(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the pairs of classes (a, b) join two, one after the other; and each class's root after that."""
+
+    def root(x: int) -> int:
+        while of[x] != x:
+            of[x] = x = of[of[x]]
+        return x
+
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    of, joins = list(range(len(names))), np.zeros(len(a), bool)
+    for k, (x, y) in enumerate(at.reshape(2, -1).T.tolist()):
+        x, y = root(x), root(y)
+        if x != y:
+            of[max(x, y)], joins[k] = min(x, y), True
+    parent = parent.copy()
+    parent[names] = names[[root(x) for x in range(len(names))]]
+    return joins, parent[parent]
+
+
+def _alike(cell: np.ndarray, ids: np.ndarray, component: np.ndarray, salt: np.ndarray, one: np.ndarray, size: np.ndarray, place: np.ndarray, bits: np.ndarray, similarity: float, forest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of a cell, of rows sorted by cell and size, that no bound rules out, HELD or so at a time. With `forest`
+    only pairs whose bitmaps differ in no more bits than alike texts' do on average, and of these only what joins a cell's
+    classes."""
+    # A class in a cell is known by its first row there.
+    order = np.lexsort((component, cell))
+    head = firsts(cell[order], component[order])
+    group = np.empty(len(cell), np.int64)
+    group[order] = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(cell))))
+    found, held, i, step = [], 0, np.arange(len(cell)), 0
     while len(i):
         step += 1
         i = i[i + step < len(cell)]
         j = i + step
         i = i[(cell[i] == cell[j]) & (size[i] >= similarity * size[j] - _EPS)]
         j = i + step
-        worth = (component[i] != component[j]) & (one[i] | (salt[i] != salt[j]))
+        worth = (group[i] != group[j]) & (one[i] | (salt[i] != salt[j]))
         a, b = i[worth], j[worth]
         least = np.ceil(similarity / (1 + similarity) * (size[a] + size[b]) - _EPS)
         near = np.minimum(place[a], place[b]) + np.minimum(size[a] - place[a], size[b] - place[b]) >= least
-        a, b, least = a[near], b[near], least[near]
-        near = size[a] + size[b] - np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64) >= 2 * least
-        found.append(np.stack([ids[a[near]], ids[b[near]]]))
-    pairs = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
-    pairs = np.unique(np.sort(pairs, 0), axis=1)
-    return pairs[1], pairs[0]
+        a, b = a[near], b[near]
+        most = size[a] + size[b] - 2 * least[near]
+        if forest:
+            most = BITS / 2 * (1 - np.exp(-2 * most / BITS))
+        near = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64) <= most
+        a, b = a[near], b[near]
+        if forest and len(a):
+            joins, parent = _roots(np.arange(len(head)), group[a], group[b])
+            a, b, group = a[joins], b[joins], parent[group]
+        if len(a):
+            found.append(np.stack([ids[a], ids[b]]))
+            held += len(a)
+        if held >= HELD or found and not len(i):
+            pairs = np.unique(np.sort(np.concatenate(found, 1), 0), axis=1)
+            found, held = [], 0
+            yield pairs[1], pairs[0]
 
 
 def _with_texts(nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -259,7 +296,12 @@ def _with_texts(nodes: DataFrame, docs: DataFrame) -> DataFrame:
 def bridges(crowd: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, cell: int = CELL) -> DataFrame:
     """(id, hub) of crowd (id, component): the pairs of texts of different components that may be alike."""
     texts = _with_texts(crowd, docs).select("id", "component", "text")
-    known = durable(_prefixes(durable(texts, "crowded-texts"), similarity), "prefixes")
+    return _bridges(durable(_prefixes(durable(texts, "crowded-texts"), similarity), "prefixes"), similarity, cell)
+
+
+def _bridges(known: DataFrame, similarity: float = SIMILARITY, cell: int = CELL, forest: bool = False) -> DataFrame:
+    """(id, hub) of known (id, component, size, bits, tokens): the pairs of different components that may be alike; with
+    `forest` not all of them, but in each cell as many as it has texts at most."""
     spread = known.select("id", "component", F.posexplode("tokens").alias("place", "token"))
     groups = spread.groupBy("token").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
     groups = groups.filter("low <> high").select("token", F.ceil(F.col("n") / cell).cast("int").alias("salts"))
@@ -267,28 +309,31 @@ def bridges(crowd: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, c
     met = met.withColumn("salt", F.pmod(F.xxhash64("id"), "salts").cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     met = met.select("token", F.least("salt", "other").alias("low"), F.greatest("salt", "other").alias("high"), "size", "id", "component", "salt", "place", "bits")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = met.repartition(n, "token", "low", "high").sortWithinPartitions("token", "low", "high", "size", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(rows: pa.Table, more: bool) -> tuple[pa.RecordBatch, pa.Table]:
+        def pairs(rows: pa.Table, more: bool) -> tuple[Iterator[tuple[np.ndarray, np.ndarray]], pa.Table]:
             """Those of all cells but the last, if more rows come, and the rows of that."""
             token, low, high, size, ids, component, salt, place = (rows.column(k).to_numpy() for k in range(8))
             begin = firsts(token, low, high)
             end = begin[-1] if more else len(token)
             at = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(token))))
             bits = np.frombuffer(b"".join(rows.column(8).slice(0, end).to_pylist()), np.uint64).reshape(-1, BITS // 64)
-            a, b = _alike(*(x[:end] for x in (at, ids, component, salt, low == high, size, place.astype(np.int64))), bits, similarity)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["id", "hub"]), rows.slice(end)
+            return _alike(*(x[:end] for x in (at, ids, component, salt, low == high, size, place.astype(np.int64))), bits, similarity, forest), rows.slice(end)
+
+        def told(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            for a, b in found:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["id", "hub"])
 
         rest = None
         for batch in batches:
             if batch.num_rows:
                 rows = pa.Table.from_batches([batch])
                 out, rest = pairs(rows if rest is None else pa.concat_tables([rest, rows]), True)
-                yield out
+                yield from told(out)
         if rest is not None:
-            yield pairs(rest, False)[0]
+            yield from told(pairs(rest, False)[0])
 
     return met.mapInArrow(run, "id long, hub long").distinct()
 
@@ -338,30 +383,27 @@ def links(rows: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, D
     firsts_of = known.groupBy("key").agg(F.min(F.struct("doc", "h")).alias("first"), F.first("bands").alias("bands"))
     firsts_of = durable(firsts_of.select(F.monotonically_increasing_id().alias("id"), "key", "first.doc", "first.h", "bands"), "texts")
     members = known.select("doc", "h", "key").distinct().join(firsts_of.select("key", "id"), "key").select("doc", "h", "id")
-    nodes, spread = firsts_of.select("id", "doc", "h"), buckets(firsts_of.select("id", "doc", "bands"))
+    nodes, texts = firsts_of.select("id", "doc", "h"), firsts_of.select("id", "doc", "bands")
 
-    def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
         alike = _verified(durable(pairs, "pairs"), nodes, docs).filter(F.col("similarity") >= similarity)
         return durable(alike.select(F.col("id").alias("a"), F.col("hub").alias("b"), "similarity"), "near-links")
 
-    found = verified(candidates(spread), rows)
+    found = verified(candidates(buckets(texts)), nodes, rows)
     labels = components(found)
-    crowd = durable(crowded(spread, labels).join(nodes, "id"), "crowded")
+    crowd = durable(crowded(texts, labels).join(nodes, "id"), "crowded")
     if crowd.isEmpty():
         return members, nodes, found, labels
-    own = durable(_with_texts(crowd.select("id", "doc", "h"), rows).select("id", "doc", "h", "text"), "crowd")
-    texts = own.select("doc", "h", "text")
-    for turn in range(TURNS):
-        more = verified(drawn(spread.join(own.select("id"), "id", "left_semi"), labels, turn), texts)
+    own = durable(_with_texts(crowd, rows).select("id", "component", "text"), "crowded-texts")
+    known = durable(_prefixes(own, similarity), "prefixes")
+    for forest in (True, False):
+        more = verified(_bridges(known, similarity, forest=forest), own.select("id"), own.select("id", "text"))
         if more.isEmpty():
-            break
-        found = found.union(more)
-        labels = components(found)
-    crowd = durable(crowded(spread, labels).join(nodes, "id"), "crowded")
-    if crowd.isEmpty():
-        return members, nodes, found, labels
-    found = found.union(verified(bridges(crowd, texts, similarity), texts))
-    return members, nodes, found, components(found)
+            continue
+        found, labels = found.union(more), merged(labels, more)
+        if forest:
+            known = durable(known.drop("component").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")), "prefixes")
+    return members, nodes, found, labels
 
 
 def _classes(rows: DataFrame, similarity: float) -> DataFrame:
