@@ -195,3 +195,46 @@ def test_merged_classes_are_those_of_all_links(spark):
     table = lambda rows: spark.createDataFrame([(max(p), min(p)) for p in rows if p[0] != p[1]], "a long, b long")
     got = components.merged(components.components(table(pairs[:35])), table(pairs[35:]))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, components.components(table(pairs)).collect()))
+
+
+def unlike(seed, n):
+    """Variants of one text in eleven classes, those of different ones just not alike: 78 of 98 shingles."""
+    draw = random.Random(seed)
+    rows = []
+    for i in range(n):
+        own = [f"w{k}" for k in range(92)]
+        own[5 + 8 * (i % 11) + draw.randrange(2)] = f"n{draw.random()}"
+        rows.append((i, " ".join(own)))
+    return rows
+
+
+def test_a_pair_comes_from_few_cells(spark):
+    """Check failure: texts that shared many prefix shingles gave their pair once for each of these."""
+    rows = unlike(8, 200)
+    known = near_duplicates._prefixes(spark.createDataFrame(rows, "id long, text string").selectExpr("id", "id AS component", "text"), 0.8).localCheckpoint()
+    bags = {i: bag(t) for i, t in rows}
+    alike = {(b, a) for a in bags for b in bags if a < b and jaccard(bags[a], bags[b]) >= 0.8}
+    for cell in (16, 4096):
+        got = [(r.id, r.hub) for r in near_duplicates._pairs(known, 0.8, cell, False).collect()]
+        assert alike <= set(got) and len(got) < 1.5 * len(set(got))
+
+
+def test_compared_pairs_stay_inside_tasks(spark):
+    """Check failure: each pair that no bound ruled out was a row, by the square of a group's size."""
+    rows = unlike(9, 300) + [(300, "a " * 50), (301, "a " * 55), (302, "x y"), (303, " ".join(f"z{k}" for k in range(40))), (304, " ".join(f"z{k}" for k in range(42)))]
+    texts = spark.createDataFrame(rows, "id long, text string")
+    known = near_duplicates._prefixes(texts.selectExpr("id", "id AS component", "text"), 0.8).localCheckpoint()
+    pairs, bags = near_duplicates._bridges(known).count(), {i: bag(t) for i, t in rows}
+    alike = [(a, b) for a in bags for b in bags if a < b and jaccard(bags[a], bags[b]) >= 0.8]
+    classes = lambda links: sorted(map(tuple, components.components(spark.createDataFrame([(max(p), min(p)) for p in links], "a long, b long")).collect()))
+    for cell, tokens in ((4096, 1 << 20), (16, 1 << 20), (4096, 400)):
+        got = near_duplicates._joins(known, texts, 0.8, cell, tokens).collect()
+        assert 0 < len(got) < (3 * len(rows) if cell * tokens == 1 << 32 else pairs) and 3 * len(rows) < pairs / 5
+        assert all(r.id > r.hub and r.similarity == jaccard(bags[r.id], bags[r.hub]) >= 0.8 for r in got)
+        assert classes((r.id, r.hub) for r in got) == classes(alike) and len({c for _, c in classes(alike)}) == 13
+
+
+def test_measured_pairs_of_places():
+    texts = ["a b c d e f g", "a b c d e f g h", "", "x", "a a a a a a a a", "a a a a a a a"]
+    a, b = np.divmod(np.arange(36), 6)
+    assert near_duplicates._measured(pa.chunked_array([texts[:2], texts[2:]]))(a, b).tolist() == [jaccard(bag(texts[x]), bag(texts[y])) for x, y in zip(a, b)]

@@ -18,10 +18,13 @@ first in one order for all texts, rarest first, are its prefix: n - ceil(0.8 n)
 one. Texts that share one are compared by length, by place of the shared shingle and by a bitmap of their shingles, all
 bounds that no link exceeds, and what is left by exact overlap. The order's counts come from a table of fixed size;
 they decide what it costs, not what is found. A shingle in many texts is dealt over cells of at most some CELL * 2 texts.
-The join is done twice. First a cell gives only a forest of the pairs that are alike by the estimate of their bitmaps, as
-many pairs as it has texts at most: that makes one class of a large group of near copies, without the pairs inside it.
-Then, with the classes after those links were verified, it gives all pairs that no bound rules out. As these hold all links
-between different classes, there is nothing left to repeat.
+Texts that share many prefix shingles meet in as many cells; a cell leaves a pair to an earlier one where the shingles right
+before the shared one, in the common order, show that the two share one of those too. The join is done twice. First a cell
+gives only a forest of the pairs that are alike by the estimate of their bitmaps, as many pairs as it has texts at most:
+that makes one class of a large group of near copies, without the pairs inside it. Then, with the classes after those links
+were verified, it compares all pairs that no bound rules out. Those never are rows: a cell hands on its texts that have such
+a pair, these come with their whole texts, and the cell's task measures the pairs and gives the links that join classes, fewer
+than it has texts. As the pairs hold all links between different classes, there is nothing left to repeat.
 
 Results: texts of one to four words have one shingle of all of them; a null or empty text is nothing's duplicate; every
 row gives one row, told apart by id and text, so an id with several texts has a class for each; of a class the text with
@@ -31,10 +34,11 @@ are a class of their own; other columns are not read; an empty table gives no ro
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from threadlake.llm.components import components, merged
@@ -46,6 +50,10 @@ SHINGLE, BANDS, ROWS, SIMILARITY = 5, 32, 4, 0.8
 CELL = 4096
 #: Pairs that a task holds before it hands them on.
 HELD = 1 << 18
+#: Tokens of one salt's texts where texts are compared, on average at most; also those of the pairs compared at once.
+TOKENS = 1 << 20
+#: Tokens before its own that a row of a cell brings along.
+BEFORE = 4
 #: Bits of a text's bitmap; counters of the table of shingle counts.
 BITS, COUNTERS = 1024, 1 << 20
 _EPS = 1e-9
@@ -248,16 +256,24 @@ def _roots(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray
     return joins, parent[parent]
 
 
-def _alike(cell: np.ndarray, ids: np.ndarray, component: np.ndarray, salt: np.ndarray, one: np.ndarray, size: np.ndarray, place: np.ndarray, bits: np.ndarray, similarity: float, forest: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The pairs of a cell, of rows sorted by cell and size, that no bound rules out, HELD or so at a time. With `forest`
-    only pairs whose bitmaps differ in no more bits than alike texts' do on average, and of these only what joins a cell's
-    classes."""
+def _alike(rows: pa.Table, similarity: float, forest: bool = False, measured: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of rows of whole cells, sorted by cell and size, that no bound rules out, by their places in the table. A pair
+    of which it shows that an earlier cell has it too is left to that. With `forest` only pairs whose bitmaps differ in no
+    more bits than alike texts' do on average, and of these only what joins a cell's classes; with `measured`, which gives
+    the similarities of pairs, only pairs that are alike, and of these too only what joins a cell's classes."""
+    token, low, high, size, _, component, salt, place = (rows.column(k).to_numpy() for k in range(8))
+    begin = firsts(token, low, high)
+    cell = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(token))))
+    one, place = low == high, place.astype(np.int64)
+    bits = np.frombuffer(b"".join(rows.column(8).to_pylist()), np.uint64).reshape(-1, BITS // 64)
+    flat = pc.list_flatten(rows.column(9))
+    before, is_there = (x.to_numpy().reshape(rows.num_rows, -1) for x in (pc.fill_null(flat, 0), pc.is_valid(flat)))
     # A class in a cell is known by its first row there.
     order = np.lexsort((component, cell))
     head = firsts(cell[order], component[order])
     group = np.empty(len(cell), np.int64)
     group[order] = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(cell))))
-    found, held, i, step = [], 0, np.arange(len(cell)), 0
+    i, step = np.arange(len(cell)), 0
     while len(i):
         step += 1
         i = i[i + step < len(cell)]
@@ -274,16 +290,19 @@ def _alike(cell: np.ndarray, ids: np.ndarray, component: np.ndarray, salt: np.nd
             most = BITS / 2 * (1 - np.exp(-2 * most / BITS))
         near = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64) <= most
         a, b = a[near], b[near]
-        if forest and len(a):
+        new = np.ones(len(a), bool)
+        for x in range(before.shape[1]):
+            for y in range(before.shape[1]):
+                new &= (before[a, x] != before[b, y]) | ~is_there[a, x] | ~is_there[b, y]
+        if measured:
+            a, b = a[new], b[new]
+            near = measured(a, b) >= similarity
+            a, b, new = a[near], b[near], np.ones(np.count_nonzero(near), bool)
+        if (forest or measured) and len(a):
             joins, parent = _roots(np.arange(len(head)), group[a], group[b])
-            a, b, group = a[joins], b[joins], parent[group]
-        if len(a):
-            found.append(np.stack([ids[a], ids[b]]))
-            held += len(a)
-        if held >= HELD or found and not len(i):
-            pairs = np.unique(np.sort(np.concatenate(found, 1), 0), axis=1)
-            found, held = [], 0
-            yield pairs[1], pairs[0]
+            new, group = new & joins, parent[group]
+        if new.any():
+            yield a[new], b[new]
 
 
 def _with_texts(nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -299,43 +318,123 @@ def bridges(crowd: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, c
     return _bridges(durable(_prefixes(durable(texts, "crowded-texts"), similarity), "prefixes"), similarity, cell)
 
 
-def _bridges(known: DataFrame, similarity: float = SIMILARITY, cell: int = CELL, forest: bool = False) -> DataFrame:
-    """(id, hub) of known (id, component, size, bits, tokens): the pairs of different components that may be alike; with
-    `forest` not all of them, but in each cell as many as it has texts at most."""
-    spread = known.select("id", "component", F.posexplode("tokens").alias("place", "token"))
+def _placed(known: DataFrame, cell: int) -> DataFrame:
+    """(token, size, id, component, place, bits, before, salts) of known (id, component, size, bits, tokens): each text once for
+    each token of its prefix that several components have, with its place there and the BEFORE tokens before it."""
+    before = F.array(*(F.get("tokens", F.col("place") - k) for k in range(1, BEFORE + 1)))
+    spread = known.select("id", "component", "tokens", F.posexplode("tokens").alias("place", "token")).select("id", "component", "place", "token", before.alias("before"))
     groups = spread.groupBy("token").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
     groups = groups.filter("low <> high").select("token", F.ceil(F.col("n") / cell).cast("int").alias("salts"))
-    met = spread.join(groups, "token").join(known.select("id", "size", "bits"), "id")
-    met = met.withColumn("salt", F.pmod(F.xxhash64("id"), "salts").cast("int"))
+    return spread.join(groups, "token").join(known.select("id", "size", "bits"), "id")
+
+
+def _cells(placed: DataFrame, *more: str) -> DataFrame:
+    """The rows of placed once for each cell of their token, those of a cell together, sorted by size: the texts of a token
+    have `salts` salts, and a cell (low, high) has those of two or one of them."""
+    met = placed.withColumn("salt", F.pmod(F.xxhash64("id"), "salts").cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    met = met.select("token", F.least("salt", "other").alias("low"), F.greatest("salt", "other").alias("high"), "size", "id", "component", "salt", "place", "bits")
-    n = int(known.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = met.repartition(n, "token", "low", "high").sortWithinPartitions("token", "low", "high", "size", "id")
+    met = met.select("token", F.least("salt", "other").alias("low"), F.greatest("salt", "other").alias("high"), "size", "id", "component", "salt", "place", "bits", "before", *more)
+    n = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return met.repartition(n, "token", "low", "high").sortWithinPartitions("token", "low", "high", "size", "id")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(rows: pa.Table, more: bool) -> tuple[Iterator[tuple[np.ndarray, np.ndarray]], pa.Table]:
-            """Those of all cells but the last, if more rows come, and the rows of that."""
-            token, low, high, size, ids, component, salt, place = (rows.column(k).to_numpy() for k in range(8))
-            begin = firsts(token, low, high)
-            end = begin[-1] if more else len(token)
-            at = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(token))))
-            bits = np.frombuffer(b"".join(rows.column(8).slice(0, end).to_pylist()), np.uint64).reshape(-1, BITS // 64)
-            return _alike(*(x[:end] for x in (at, ids, component, salt, low == high, size, place.astype(np.int64))), bits, similarity, forest), rows.slice(end)
-
-        def told(found: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-            for a, b in found:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["id", "hub"])
 
+def _by_cells(met: DataFrame, made: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """What `made` gives for tables of whole cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
             if batch.num_rows:
                 rows = pa.Table.from_batches([batch])
-                out, rest = pairs(rows if rest is None else pa.concat_tables([rest, rows]), True)
-                yield from told(out)
+                rows = rows if rest is None else pa.concat_tables([rest, rows])
+                last = int(firsts(*(rows.column(k).to_numpy() for k in range(3)))[-1])
+                if last:
+                    yield from made(rows.slice(0, last))
+                rest = rows.slice(last)
         if rest is not None:
-            yield from told(pairs(rest, False)[0])
+            yield from made(rest)
+
+    return met.mapInArrow(run, schema)
+
 
-    return met.mapInArrow(run, "id long, hub long").distinct()
+def _pairs(known: DataFrame, similarity: float, cell: int, forest: bool) -> DataFrame:
+    """(id, hub) as in `_bridges`, but a pair may come from several cells."""
+
+    def made(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, found, held = rows.column("id").to_numpy(), [], 0
+
+        def told() -> pa.RecordBatch:
+            pairs = np.unique(np.sort(np.concatenate(found, 1), 0), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[1], pa.int64()), pa.array(pairs[0], pa.int64())], ["id", "hub"])
+
+        for a, b in _alike(rows, similarity, forest):
+            found.append(np.stack([ids[a], ids[b]]))
+            held += len(a)
+            if held >= HELD:
+                yield told()
+                found, held = [], 0
+        if found:
+            yield told()
+
+    return _by_cells(_cells(_placed(known, cell)), made, "id long, hub long")
+
+
+def _bridges(known: DataFrame, similarity: float = SIMILARITY, cell: int = CELL, forest: bool = False) -> DataFrame:
+    """(id, hub) of known (id, component, size, bits, tokens): the pairs of different components that may be alike; with
+    `forest` not all of them, but in each cell as many as it has texts at most."""
+    return _pairs(known, similarity, cell, forest).distinct()
+
+
+def _measured(texts: pa.ChunkedArray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A function that gives the similarities of the texts at places a and b."""
+    tokens = []
+    for batch in pa.table([texts], ["text"]).to_batches():
+        for part in parts(batch, 0):
+            row, token = _tokens(part.column(0))
+            tokens.append((np.bincount(row, minlength=part.num_rows), token))
+    size = np.concatenate([n for n, _ in tokens])
+    first = np.cumsum(size) - size
+    names, name = np.unique(np.concatenate([t for _, t in tokens]), return_inverse=True)
+
+    def measured(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        shared, upto, at = np.zeros(len(a), np.int64), np.cumsum(size[a] + size[b]), 0
+        while at < len(a):
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + TOKENS, "right")))
+            own = np.concatenate([a[at:to], b[at:to]])
+            n = size[own]
+            place = np.arange(n.sum()) + np.repeat(first[own] - (np.cumsum(n) - n), n)
+            # A token is in a text once, so one that is found twice for a pair is in both.
+            met = np.sort(np.repeat(np.tile(np.arange(to - at), 2), n) * len(names) + name[place])
+            shared[at:to] = np.bincount(met[1:][met[1:] == met[:-1]] // max(len(names), 1), minlength=to - at)
+            at = to
+        return shared / np.maximum(size[a] + size[b] - shared, 1)
+
+    return measured
+
+
+def _joins(known: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, cell: int = CELL, tokens: int = TOKENS) -> DataFrame:
+    """(id, hub, similarity) of known (id, component, size, bits, tokens) and texts (id, text): links between different
+    components, in each cell what joins its classes, so all together join what all links do. Pairs stay inside the tasks:
+    first a cell hands on those of its texts that have a pair there which no bound rules out, each once, then these come
+    with their texts, are compared there and give links, fewer than they are."""
+    met = _cells(_placed(known, cell))
+
+    def members(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        some = np.zeros(rows.num_rows, bool)
+        for a, b in _alike(rows, similarity):
+            some[a] = some[b] = True
+        yield from rows.filter(pa.array(some)).to_batches()
+
+    def joined(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, measured = rows.column("id").to_numpy(), _measured(rows.column("text"))
+        found = [(np.maximum(ids[a], ids[b]), np.minimum(ids[a], ids[b]), measured(a, b)) for a, b in _alike(rows, similarity, measured=measured)]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["id", "hub", "similarity"])
+
+    some = durable(_by_cells(met, members, met.schema).drop("low", "high", "salt").dropDuplicates(["token", "id"]), "compared")
+    groups = some.groupBy("token").agg(F.ceil(F.greatest(F.count("*") / cell, F.sum("size") / tokens)).cast("int").alias("salts"))
+    own = some.join(groups, "token").join(texts.hint("shuffle_merge"), "id")
+    return _by_cells(_cells(own, "text"), joined, "id long, hub long, similarity double").dropDuplicates(["id", "hub"])
 
 
 def similarities(left: pa.Array, right: pa.Array) -> np.ndarray:
@@ -396,13 +495,13 @@ def links(rows: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, D
         return members, nodes, found, labels
     own = durable(_with_texts(crowd, rows).select("id", "component", "text"), "crowded-texts")
     known = durable(_prefixes(own, similarity), "prefixes")
-    for forest in (True, False):
-        more = verified(_bridges(known, similarity, forest=forest), own.select("id"), own.select("id", "text"))
-        if more.isEmpty():
-            continue
+    likely = verified(_bridges(known, similarity, forest=True), own.select("id"), own.select("id", "text"))
+    if not likely.isEmpty():
+        found, labels = found.union(likely), merged(labels, likely)
+        known = durable(known.drop("component").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")), "prefixes")
+    more = durable(_joins(known, own.select("id", "text"), similarity).select(F.col("id").alias("a"), F.col("hub").alias("b"), "similarity"), "near-links")
+    if not more.isEmpty():
         found, labels = found.union(more), merged(labels, more)
-        if forest:
-            known = durable(known.drop("component").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")), "prefixes")
     return members, nodes, found, labels
 
 
