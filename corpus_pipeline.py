@@ -41,7 +41,7 @@ def surrogates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, and digests of them and of the text decoded from them."""
     short_batches(spark)
-    coded = bpe.decode(bpe.encode(docs, word_vocabulary()), word_vocabulary())
+    coded = bpe.encode_and_decode(docs, word_vocabulary())
     return coded.select(
         "doc_id",
         (F.octet_length("token_ids") / 4).cast("bigint").alias("n_tokens"),

@@ -1,8 +1,10 @@
 import hashlib
 import random
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from threadlake.llm import bpe, queries
@@ -57,3 +59,27 @@ def test_query_over_documents(spark):
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.decode(bpe.encode(none, PATH), PATH).count() == 0
+
+
+def test_one_python_worker_a_task(spark):
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    for made in (queries.op9_bpe(spark, d), corpus_pipeline.encoding_stage(spark, docs, d)):
+        assert made._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_one_pass_is_both(spark):
+    rows = spark.createDataFrame([*enumerate(ODD), (len(ODD), None), (None, "no id"), (0, "id again")], "doc_id long, text string")
+    one, two = bpe.encode_and_decode(rows, PATH), bpe.decode(bpe.encode(rows, PATH), PATH)
+    assert one.schema == two.schema
+    both = [sorted((str(r.doc_id), bytes(r.token_ids), r.decoded) for r in x.collect()) for x in (one, two)]
+    assert both[0] == both[1] and len(both[0]) == len(ODD) + 3
+
+
+def test_a_task_leaves_no_words(spark):
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["some words", "x " * (1 << 20)]})
+    held, out = [], []
+    for made in bpe._passed(iter([batch]), PATH, True, True):
+        held.append(len(bpe.load(PATH).store))
+        out.append(made.num_rows)
+    assert out == [1, 1] and held[0] and not bpe.load(PATH).store

@@ -22,8 +22,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from threadlake.llm.packed import parts
+
 LONG = 96
-#: Words kept per Python worker; the store is emptied when it is full.
+#: Words kept per task; the store is emptied when it is full.
 CACHE_WORDS = 200_000
 CACHE_LENGTH = 64
 _NO_RANK = 1 << 60
@@ -150,33 +152,53 @@ def load(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, token_ids): the ids of each whole text, packed as little-endian unsigned 32-bit integers."""
-    rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
-    kind = pa.binary()
+def _encoded(bpe: WordBpe, texts: pa.Array) -> pa.Array:
+    return pa.array([bpe.encode(t or "") for t in texts.to_pylist()], pa.binary())
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(vocabulary)
+def _decoded(tokens: np.ndarray, ids: pa.Array) -> pa.Array:
+    return pa.array([" ".join(tokens[np.frombuffer(b or b"", "<u4")]) for b in ids.to_pylist()], pa.string())
+
+
+def _passed(batches: Iterator[pa.RecordBatch], vocabulary: str, encoding: bool, decoding: bool) -> Iterator[pa.RecordBatch]:
+    """The columns of each batch (id, text or ids) without the text, with those made. A task leaves no words behind: its
+    worker goes on to other steps, which would carry them along."""
+    bpe = load(vocabulary)
+    tokens = np.array(bpe.tokens, object) if decoding else None
+    try:
         for batch in batches:
             for at in range(0, batch.num_rows, _DOCS_PER_BATCH):
-                part = batch.slice(at, _DOCS_PER_BATCH)
-                ids = [bpe.encode(t or "") for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, kind)], [id_col, "token_ids"])
+                for part in parts(batch.slice(at, _DOCS_PER_BATCH), 1):
+                    ids = _encoded(bpe, part.column(1)) if encoding else part.column(1)
+                    made = [_decoded(tokens, ids)] if decoding else []
+                    yield pa.RecordBatch.from_arrays([part.column(0), ids, *made], [part.schema.names[0], "token_ids", "decoded"][: 2 + len(made)])
+    finally:
+        bpe.store.clear()
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
 
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, token_ids binary")
+
+def _schema(rows: DataFrame, made: str) -> str:
+    return f"`{rows.columns[0]}` {rows.schema[0].dataType.simpleString()}, {made}"
+
+
+def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, token_ids): the ids of each whole text, packed as little-endian unsigned 32-bit integers."""
+    rows = _rows(docs, id_col, text_col)
+    return rows.mapInArrow(lambda batches: _passed(batches, vocabulary, True, False), _schema(rows, "token_ids binary"))
 
 
 def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id") -> DataFrame:
     """(id, token_ids, decoded): the tokens of each row's ids, special ones too, joined by spaces; this vocabulary's
     file names no decoder, and then its library joins tokens in that way."""
     rows = encoded.select(id_col, "token_ids")
+    return rows.mapInArrow(lambda batches: _passed(batches, vocabulary, False, True), _schema(rows, "token_ids binary, decoded string"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = np.array(load(vocabulary).tokens, object)
-        for batch in batches:
-            for at in range(0, batch.num_rows, _DOCS_PER_BATCH):
-                part = batch.slice(at, _DOCS_PER_BATCH)
-                texts = [" ".join(tokens[np.frombuffer(b or b"", "<u4")]) for b in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [id_col, "token_ids", "decoded"])
 
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, token_ids binary, decoded string")
+def encode_and_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, token_ids, decoded): as `decode` gives of what `encode` gives, by one Python worker a task. Two in turn would
+    take a second worker for each core, which Spark keeps and hands out in the steps after, too."""
+    rows = _rows(docs, id_col, text_col)
+    return rows.mapInArrow(lambda batches: _passed(batches, vocabulary, True, True), _schema(rows, "token_ids binary, decoded string"))

@@ -29,8 +29,7 @@ def word_vocabulary() -> str:
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of each document's ids and of the text decoded from them."""
-    vocabulary = word_vocabulary()
-    coded = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    coded = bpe.encode_and_decode(_table(spark, sf_dir, "documents"), word_vocabulary())
     return coded.select(
         "doc_id",
         (F.octet_length("token_ids") / 4).cast("bigint").alias("n_tokens"),
